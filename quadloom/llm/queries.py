@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import components, leaks, mojibake, survivors
+from quadloom.llm import components, leaks, mojibake, packing, survivors
 from quadloom.runtime import table
 
 
@@ -21,6 +21,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.tile_groups(table(spark, sf_dir, "frame_tiles"))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_summary(packing.pack_documents(table(spark, sf_dir, "documents")))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -41,7 +49,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p5_found, p9_found, p9_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p5_found, p8_packed, p8_fill, p9_found, p9_report, p10_found, p10_restored)}
 
 _COMPARED = r"""cmp as (select *, regexp_extract(trim(quad_key), '^(?:.*/)?(0[0-3]*)(?:\.[A-Za-z]+)?$', 1) as qk from tile_comparisons),
 c as (select * from cmp where qk <> '' and pyramid_id is not null)"""
