@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.llm.mojibake import look_alike
+
 MIN_WORDS = 14  # fixed values of the definition: words of the item, and words an edit
 WORDS_PER_EDIT = 8
 WINDOW = 8
@@ -37,12 +39,13 @@ _OTHER, _GAP = -1, -2
 
 
 def normal_text(text: str) -> str:
-    """Text without case, markup, invisible characters, accents, line-end hyphens and width variants."""
+    """Text without case, markup, invisible characters, accents, line-end hyphens, look-alikes and width variants."""
     if "<" in text:
         text = _TAG.sub("", text)
     if "-\n" in text or "-\r" in text or "- " in text:
         text = _SPLIT_WORD.sub("", text)
     if not text.isascii():
+        text = look_alike(text)
         text = unicodedata.normalize("NFKD", text)
         text = "".join([ch for ch in text if ch.isascii() or unicodedata.category(ch) not in ("Mn", "Cf")])
     return text.casefold()
