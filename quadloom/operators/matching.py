@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadloom.runtime import two_level_rank
+
 RMSE_MAX, RATIO_MAX = 35.0, 0.75  # fixed values: an accepted match, and best against second best
 
 
@@ -14,14 +16,58 @@ def rmse(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.sqrt(sq / F.size(a)))
 
 
-def spaced_sample(df: DataFrame, group: list[str], order: str, n: int = 16) -> DataFrame:
+def spaced_sample(df: DataFrame, group: str, order: str, n: int = 16) -> DataFrame:
     """Up to ``n`` evenly spaced rows of each group: positions ``i * (size - 1) / (n - 1)``."""
-    w = Window.partitionBy(*group)
-    d = df.withColumn("_p", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    size = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    d = two_level_rank(df, [group], order, "_p").join(size, group).withColumn("_p", F.col("_p") - 1)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / (n - 1)))
     return d.filter((F.col("_n") <= n) | F.array_contains(wanted, F.col("_p").cast("bigint"))).drop("_p", "_n")
 
 
+def nearest_vectors(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 2, block: int = 4096) -> DataFrame:
+    """For every query row the ``k`` rows with the smallest error, itself left out.
+
+    The queries are a stated set and go to the tasks in blocks of at most ``block``; each task keeps
+    its best ``k`` a query, so the shuffle carries queries times tasks rows, never all pairs.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    q = queries.select(F.col(key).cast("bigint").alias("q"), F.col(vector).alias("v")).filter("q is not null and v is not null")
+    n = q.count()
+    parts = max(1, -(-n // block))
+    schema = "query_id bigint, vec_id bigint, rmse double"
+    out = None
+    for p in range(parts):
+        part = (q if parts == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(parts)) == p)).collect()
+        if not part:
+            continue
+        ids, mat = np.array([r["q"] for r in part]), np.array([r["v"] for r in part], float)
+
+        def run(batches, ids=ids, mat=mat):
+            best: list[tuple] = []
+            for b in batches:
+                keep = [i for i, x in enumerate(b.column(1).to_pylist()) if x is not None and len(x) == mat.shape[1]]
+                if not keep:
+                    continue
+                rid = np.array(b.column(0).take(pa.array(keep)).to_pylist())
+                rows_ = np.array(b.column(1).take(pa.array(keep)).to_pylist(), float)
+                for i in range(len(ids)):
+                    e = np.sqrt(((rows_ - mat[i]) ** 2).sum(1) / mat.shape[1])
+                    e[rid == ids[i]] = np.inf
+                    o = np.lexsort((rid, e))[:k]
+                    best += [(int(ids[i]), int(rid[j]), float(e[j])) for j in o if np.isfinite(e[j])]
+            cols = list(zip(*best)) if best else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "rmse"])
+
+        hits = rows.select(F.col(key).cast("bigint").alias(key), vector).mapInArrow(run, schema)
+        out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], schema + ", rank int")
+    w = Window.partitionBy("query_id").orderBy("rmse", "vec_id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def best_two(pairs: DataFrame, key: str, error: str, tie: str) -> DataFrame:
     """The two smallest errors of each key with their rank; partial ranking happens before the shuffle."""
     w = Window.partitionBy(key).orderBy(error, tie)
@@ -41,13 +87,24 @@ def majority(votes: DataFrame, group: list[str], value: list[str], order: str, l
     return total.filter((F.col("n_votes") >= least) & (2 * F.col("n_votes") > F.col("n_all"))).select(*group, *[F.col(f"v.{c}").alias(c) for c in value], "n_votes", "n_all")
 
 
-def asof_path(queries: DataFrame, textures: DataFrame, key: str, at: str, version: str, path: str) -> DataFrame:
-    """Path of a texture as of a frame: the exact or latest version up to it, else the earliest."""
-    t = textures.select(key, version, path)
-    j = queries.join(t, key, "left")
-    before = F.max_by(F.when(F.col(version) <= F.col(at), F.col(path)), F.when(F.col(version) <= F.col(at), F.col(version)))
-    cols = [c for c in queries.columns]
-    return j.groupBy(*cols).agg(F.coalesce(before, F.min_by(path, version)).alias(path))
+def asof_path(queries: DataFrame, textures: DataFrame, key: str, at: str, version: str, path: str, width: int = 4096) -> DataFrame:
+    """Path of a texture as of a frame: the exact or latest version up to it, else the earliest.
+
+    Versions and queries are put in one order and the last version is carried forward, in blocks of
+    ``width`` frames whose closing versions are carried over; work stays in proportion to rows even
+    where one texture has a third of them.  Queries of unknown textures get null.
+    """
+    block = F.floor(F.col("_at") / width)
+    t = textures.select(key, F.col(version).alias("_at"), F.lit(0).alias("_q"), F.col(path).alias("_p")).filter(F.col("_at").isNotNull())
+    q = queries.select(key, F.col(at).alias("_at"), F.lit(1).alias("_q"), F.lit(None).cast(dict(textures.dtypes)[path]).alias("_p"))
+    e = t.unionByName(q).withColumn("_b", block)
+    close = t.withColumn("_b", block).groupBy(key, "_b").agg(F.max_by("_p", "_at").alias("_last"))
+    seen = e.select(key, "_b").distinct().join(close, [key, "_b"], "left")
+    carry = seen.select(key, "_b", F.last("_last", ignorenulls=True).over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    w = Window.partitionBy(key, "_b").orderBy("_at", "_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = e.withColumn("_in", F.last("_p", ignorenulls=True).over(w)).filter("_q = 1")
+    first = textures.groupBy(key).agg(F.min_by(path, version).alias("_first"))
+    return run.join(carry, [key, "_b"], "left").join(first, key, "left").select(key, F.col("_at").alias(at), F.coalesce("_in", "_carry", "_first").alias(path))
 
 
 def duplicate_groups(df: DataFrame, content: str, item: str) -> DataFrame:

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIRS: list[str] = []
@@ -105,6 +105,18 @@ def buckets_for(rows: int, per_bucket: int) -> int:
     return max(1, -(-rows // per_bucket))
 
 
+def two_level_rank(df: DataFrame, keys: list[str], order: str, out: str, width: int = 65536) -> DataFrame:
+    """Row numbers (from 1) within ``keys`` by a bigint column, without one task a key.
+
+    Rows are numbered inside blocks of ``width`` order values; the sizes of the blocks before are added.
+    """
+    b = df.withColumn("_b", F.floor(F.col(order) / width))
+    n = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    base = n.select(*keys, "_b", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    rn = b.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order)))
+    return rn.join(base, [*keys, "_b"]).withColumn(out, F.col("_rn") + F.col("_base")).drop("_b", "_rn", "_base")
+
+
 def cached(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
