@@ -220,7 +220,7 @@ def write_containers(containers: DataFrame, uri: str) -> DataFrame:
                 if zlib.crc32(payload) != crc:
                     raise ValueError(f"container {cid} changed on its way")
                 path = f"{base}/{cid}.zst"
-                with store.open_output_stream(path) as s:
+                with store.open_output_stream(path, compression=None) as s:
                     s.write(payload)
                 out.append({"container_id": cid, "path": path, "n_bytes": len(payload)})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("container_id", pa.string()), ("path", pa.string()), ("n_bytes", pa.int64())]))

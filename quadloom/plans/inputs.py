@@ -138,3 +138,41 @@ def src1(spark, d):
         return pa.table({"call_no": pa.array(a, pa.int64()), "thread_id": pa.array(b, pa.int64()), "name": pa.array(n, pa.string()), "k": pa.array(k, pa.int64())})
 
     return e.groupBy("day").applyInArrow(run, "call_no bigint, thread_id bigint, name string, k bigint")
+
+
+def _drain(stream, base: str, mode: str = "append"):
+    """Runs a stream over what is there, to the end, into a folder."""
+    q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return f"{base}/out"
+
+
+@query("str1_file_events", "select event_id, event_type from events")
+def str1(spark, d):
+    from quadloom.streaming import activity
+
+    s = Scratch(spark, "str1")
+    table(spark, d, "events").select("event_id", "event_type").write.json(f"{s.base}/in")
+    return spark.read.parquet(_drain(activity.file_events(spark, f"{s.base}/in", "event_id bigint, event_type string"), s.base))
+
+
+@query("str2_stream_sessions")
+def str2s(spark, d):
+    """The continuous form of the inactivity sessions; sessions still open at the end are not out yet."""
+    from quadloom.streaming import activity
+
+    s = Scratch(spark, "str2")
+    table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(f"{s.base}/in")
+    e = activity.file_events(spark, f"{s.base}/in", "user_id bigint, ts timestamp", "parquet")
+    return spark.read.parquet(_drain(activity.inactivity_sessions(e, "user_id", "ts", "6 hours", "1 hour"), s.base))
+
+
+@query("str3_stream_stop", "select user_id as key, count(*) as n, count(*) filter (rn = 5) as n_stops from (select *, row_number() over (partition by user_id order by event_id) as rn from events) where rn <= 5 group by 1")
+def str3s(spark, d):
+    from quadloom.streaming import activity
+
+    s = Scratch(spark, "str3")
+    table(spark, d, "events").select("user_id", "event_id").write.parquet(f"{s.base}/in")
+    e = activity.file_events(spark, f"{s.base}/in", "user_id bigint, event_id bigint", "parquet")
+    out = spark.read.parquet(_drain(activity.stop_after(e, "user_id", 5), s.base))
+    return out.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("stopped").alias("n_stops"))

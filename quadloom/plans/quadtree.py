@@ -71,7 +71,7 @@ def qk5(spark, d):
 
 
 @query("qk6_layout_path", f"""with recursive {PYRAMID_SQL} select quadkey, regexp_replace(substr(quadkey, 2), '(.)', '\\1/', 'g') || quadkey || '.png' as digit_path,
-  coalesce(list_aggregate([left(quadkey, i::int) || '/' for i in range(2, length(quadkey) + 1)], 'string_agg', ''), '') || quadkey || '.png' as cumulative_path, 'cumulative' as layout from base""")
+  coalesce(list_aggregate([left(quadkey, i::int) || '/' for i in range(2, length(quadkey) + 1)], 'string_agg', ''), '') || quadkey || '.png' as cumulative_path, case when length(quadkey) = 1 then 'digit' else 'cumulative' end as layout from base""")
 def qk6(spark, d):
     return pyramid_all(spark, d).select("quadkey", qk.digit_path(K).alias("digit_path"), qk.cumulative_path(K).alias("cumulative_path"), qk.layout_of(qk.cumulative_path(K), K).alias("layout"))
 

@@ -150,9 +150,10 @@ class Trace:
                     n += 1
                     self._details(call)
                 elif event == LEAVE:
-                    call = open_.pop(self.c.uint(), None) or {"_names": [], "args": {}}
+                    no = self.c.uint()
+                    call = open_.get(no) or {"_names": [], "args": {}}
                     self._details(call)
-                    if "call_no" in call:
+                    if open_.pop(no, None):
                         call["complete"] = True
                         yield call
                 else:
