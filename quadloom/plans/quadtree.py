@@ -10,7 +10,6 @@ from quadloom.operators import pyramid as py
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-K = F.col("quadkey")
 
 
 def query(name: str, sql: str | None = None):
@@ -31,7 +30,7 @@ _DEC = """dec as (select quadkey, tile_no, length(quadkey) - 1 as d,
 
 @query("qk1_decode", f"with recursive {PYRAMID_SQL}, {_DEC} select quadkey, d::int as tile_depth, col, row as south_row from dec")
 def qk1(spark, d):
-    return pyramid_all(spark, d).select("quadkey", qk.depth(K).alias("tile_depth"), qk.column(K).alias("col"), qk.south_row(K).alias("south_row"))
+    return pyramid_all(spark, d).select("quadkey", qk.depth(F.col("quadkey")).alias("tile_depth"), qk.column(F.col("quadkey")).alias("col"), qk.south_row(F.col("quadkey")).alias("south_row"))
 
 
 def pyramid_all(spark, d):
@@ -42,50 +41,50 @@ def pyramid_all(spark, d):
 
 @query("qk1_encode_inverse", f"with recursive {PYRAMID_SQL} select quadkey, quadkey as again from base")
 def qk1b(spark, d):
-    return pyramid_all(spark, d).select("quadkey", qk.encode(qk.depth(K), qk.column(K), qk.south_row(K)).alias("again"))
+    return pyramid_all(spark, d).select("quadkey", qk.encode(qk.depth(F.col("quadkey")), qk.column(F.col("quadkey")), qk.south_row(F.col("quadkey"))).alias("again"))
 
 
 @query("qk2_bounds", f"with recursive {PYRAMID_SQL}, {_DEC} select quadkey, col * (360.0::double / (1 << d)) - 180 as lon, row * (180.0::double / (1 << d)) - 90 as lat from dec")
 def qk2(spark, d):
-    return pyramid_all(spark, d).select("quadkey", qk.lon(K).alias("lon"), qk.lat(K).alias("lat"))
+    return pyramid_all(spark, d).select("quadkey", qk.lon(F.col("quadkey")).alias("lon"), qk.lat(F.col("quadkey")).alias("lat"))
 
 
 @query("qk3_child_append", f"with recursive {PYRAMID_SQL} select quadkey, quadkey || case tile_no % 4 when 0 then '0' when 1 then '1' when 2 then '2' else '3' end as child from base")
 def qk3(spark, d):
     names = F.array(*[F.lit(x) for x in ("WEST_SOUTH", "SOUTH_EAST", "EAST_NORTH", "NORTH_WEST")])
-    return pyramid_all(spark, d).select("quadkey", qk.child(K, F.element_at(names, (F.col("tile_no") % 4 + 1).cast("int"))).alias("child"))
+    return pyramid_all(spark, d).select("quadkey", qk.child(F.col("quadkey"), F.element_at(names, (F.col("tile_no") % 4 + 1).cast("int"))).alias("child"))
 
 
 @query("qk4_ancestors", f"with recursive {PYRAMID_SQL} select quadkey, left(quadkey, n::int) as ancestor, (n - 1)::int as ancestor_depth from base, unnest(range(1, length(quadkey))) as t(n)")
 def qk4(spark, d):
-    return pyramid_all(spark, d).select("quadkey", F.explode(qk.ancestors(K)).alias("ancestor")).withColumn("ancestor_depth", qk.depth(F.col("ancestor")))
+    return pyramid_all(spark, d).select("quadkey", F.explode(qk.ancestors(F.col("quadkey"))).alias("ancestor")).withColumn("ancestor_depth", qk.depth(F.col("ancestor")))
 
 
 @query("qk5_node_bounds", f"""with recursive {PYRAMID_SQL}, {_DEC}, r as (select quadkey, d, col, row, case when length(quadkey) > 2 then 2 else length(quadkey) - 1 end as ad from dec)
   select quadkey, col::double / (1 << d) as x0, row::double / (1 << d) as y0, (col - ((col >> (d - ad)) << (d - ad)))::double / (1 << (d - ad)) as rel_x0, (row - ((row >> (d - ad)) << (d - ad)))::double / (1 << (d - ad)) as rel_y0 from r""")
 def qk5(spark, d):
-    n = F.pow(F.lit(2.0), qk.depth(K))
-    down = F.pow(F.lit(2), qk.depth(K) - F.least(qk.depth(K), F.lit(2))).cast("bigint")
+    n = F.pow(F.lit(2.0), qk.depth(F.col("quadkey")))
+    down = F.pow(F.lit(2), qk.depth(F.col("quadkey")) - F.least(qk.depth(F.col("quadkey")), F.lit(2))).cast("bigint")
     rel = lambda c: F.pmod(c, down) / down
-    return pyramid_all(spark, d).select("quadkey", (qk.column(K) / n).alias("x0"), (qk.south_row(K) / n).alias("y0"), rel(qk.column(K)).alias("rel_x0"), rel(qk.south_row(K)).alias("rel_y0"))
+    return pyramid_all(spark, d).select("quadkey", (qk.column(F.col("quadkey")) / n).alias("x0"), (qk.south_row(F.col("quadkey")) / n).alias("y0"), rel(qk.column(F.col("quadkey"))).alias("rel_x0"), rel(qk.south_row(F.col("quadkey"))).alias("rel_y0"))
 
 
 @query("qk6_layout_path", f"""with recursive {PYRAMID_SQL} select quadkey, regexp_replace(substr(quadkey, 2), '(.)', '\\1/', 'g') || quadkey || '.png' as digit_path,
   coalesce(list_aggregate([left(quadkey, i::int) || '/' for i in range(2, length(quadkey) + 1)], 'string_agg', ''), '') || quadkey || '.png' as cumulative_path, case when length(quadkey) = 1 then 'digit' else 'cumulative' end as layout from base""")
 def qk6(spark, d):
-    return pyramid_all(spark, d).select("quadkey", qk.digit_path(K).alias("digit_path"), qk.cumulative_path(K).alias("cumulative_path"), qk.layout_of(qk.cumulative_path(K), K).alias("layout"))
+    return pyramid_all(spark, d).select("quadkey", qk.digit_path(F.col("quadkey")).alias("digit_path"), qk.cumulative_path(F.col("quadkey")).alias("cumulative_path"), qk.layout_of(qk.cumulative_path(F.col("quadkey")), F.col("quadkey")).alias("layout"))
 
 
 @query("qk7_subtree", f"with recursive {PYRAMID_SQL} select quadkey from base where starts_with(quadkey, '012')")
 def qk7(spark, d):
-    return pyramid_all(spark, d).filter(K.startswith("012")).select("quadkey")
+    return pyramid_all(spark, d).filter(F.col("quadkey").startswith("012")).select("quadkey")
 
 
 @query("qk8_source_region", f"""with recursive {PYRAMID_SQL}, {_DEC}, t as (select b.quadkey, max(length(a.quadkey)) as la from base b join dest a on starts_with(b.quadkey, a.quadkey) and length(a.quadkey) <= greatest(length(b.quadkey) - 2, 1) group by 1),
   x as (select t.quadkey, left(t.quadkey, t.la) as ancestor, d.d - (t.la - 1) as delta, d.col - ((d.col >> (d.d - t.la + 1)) << (d.d - t.la + 1)) as c, d.row - ((d.row >> (d.d - t.la + 1)) << (d.d - t.la + 1)) as r from t join dec d using (quadkey))
   select quadkey, ancestor, (c * 256 // (1 << delta))::bigint as x0, ((c + 1) * 256 // (1 << delta))::bigint as x1, (256 - (r + 1) * 256 // (1 << delta))::bigint as y0, (256 - r * 256 // (1 << delta))::bigint as y1 from x""")
 def qk8(spark, d):
-    near = py.nearest_ancestor(pyramid_all(spark, d), pyramid(spark, d), F.greatest(qk.depth(K) - 2, F.lit(0)))
+    near = py.nearest_ancestor(pyramid_all(spark, d), pyramid(spark, d), F.greatest(qk.depth(F.col("quadkey")) - 2, F.lit(0)))
     return py.source_region(near)
 
 
@@ -135,7 +134,7 @@ def qk13(spark, d):
     """Level-of-detail cut: descend while the projected area (100 at the root, a quarter a level) exceeds 0.8."""
     tiles = pyramid_all(spark, d).select("quadkey").distinct()
     area = F.pow(F.lit(0.25), qk.depth(F.col("node"))) * 100
-    node = tiles.select(F.explode(qk.prefixes(K)).alias("node"), K.alias("below")).groupBy("node").agg(F.max(F.length("below")).alias("deepest"), F.max((F.col("below") == F.col("node")).cast("int")).alias("own"))
+    node = tiles.select(F.explode(qk.prefixes(F.col("quadkey"))).alias("node"), F.col("quadkey").alias("below")).groupBy("node").agg(F.max(F.length("below")).alias("deepest"), F.max((F.col("below") == F.col("node")).cast("int")).alias("own"))
     reached = node.filter((F.length("node") == 1) | (area * 4 > 0.8))
     return reached.filter((area <= 0.8) | (F.col("deepest") == F.length("node"))).select(F.col("node").alias("quadkey"), (F.col("own") == 1).alias("present"))
 
@@ -154,7 +153,7 @@ def agg15(spark, d):
 
 @query("agg16_tile_count", f"with recursive {PYRAMID_SQL} select count(*) as n_tiles, max(length(quadkey) - 1)::int as max_depth from dest")
 def agg16(spark, d):
-    return pyramid(spark, d).agg(F.count(F.lit(1)).alias("n_tiles"), F.max(qk.depth(K)).alias("max_depth"))
+    return pyramid(spark, d).agg(F.count(F.lit(1)).alias("n_tiles"), F.max(qk.depth(F.col("quadkey"))).alias("max_depth"))
 
 
 @query("jn15_nearest_ancestor", f"""with recursive {PYRAMID_SQL} select b.quadkey, arg_max(a.quadkey, length(a.quadkey)) as ancestor from base b left join dest a on starts_with(b.quadkey, a.quadkey) group by 1""")
@@ -266,7 +265,7 @@ def jn14(spark, d):
 
 @query("agg14_summary", f"with recursive {_CLS} select kind, count(*) as n_tiles, min(length(quadkey) - 1)::int as min_level, max(length(quadkey) - 1)::int as max_level from cls group by kind")
 def agg14(spark, d):
-    return _classified(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n_tiles"), F.min(qk.depth(K)).alias("min_level"), F.max(qk.depth(K)).alias("max_level"))
+    return _classified(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n_tiles"), F.min(qk.depth(F.col("quadkey"))).alias("min_level"), F.max(qk.depth(F.col("quadkey"))).alias("max_level"))
 
 
 @query("srt7_cache_budget", "select c_custkey, sum(c_custkey % 97 + 1) over (order by c_custkey desc)::bigint <= 5000 as cached from customer")
