@@ -82,11 +82,11 @@ def decompose(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-_LOCAL = pa.schema([("session_id", pa.int64()), ("id", pa.int64()), ("root", pa.int64()), ("cross", pa.list_(pa.int64()))])
+_LOCAL = pa.schema([("session_id", pa.int64()), ("id", pa.int64()), ("root", pa.int64())])
 
 
 def _local_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole blocks (sorted by block): labels inside, links that leave the block."""
+    """Labels inside each block; rows come sorted by block and ``links`` stay inside it."""
 
     def run(t: pa.Table) -> pa.RecordBatch:
         sess, ids = t.column("session_id").to_numpy(), t.column("id").to_numpy()
@@ -94,17 +94,14 @@ def _local_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         lens = np.diff(lists.offsets.to_numpy())
         to = lists.flatten().to_numpy(zero_copy_only=False)
         frm = np.repeat(np.arange(len(ids)), lens)
-        inside = (ids[frm] >> BLOCK_BITS) == (to >> BLOCK_BITS)
         key = np.rec.fromarrays([sess, ids])
         order = np.argsort(key, kind="stable")
         ks = key[order]
-        ask = np.rec.fromarrays([sess[frm[inside]], to[inside]])
+        ask = np.rec.fromarrays([sess[frm], to])
         at = np.minimum(np.searchsorted(ks, ask), max(len(ks) - 1, 0))
         hit = ks[at] == ask if len(ask) else np.zeros(0, bool)
-        lab = decompose(len(ids), frm[inside][hit], order[at[hit]] if len(ask) else np.zeros(0, np.int64))
-        out_to, out_frm = to[~inside], frm[~inside]
-        offs = np.concatenate([[0], np.cumsum(np.bincount(out_frm, minlength=len(ids)))]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(sess), pa.array(ids), pa.array(ids[lab]), pa.ListArray.from_arrays(pa.array(offs), pa.array(out_to, pa.int64()))], schema=_LOCAL)
+        lab = decompose(len(ids), frm[hit], order[at[hit]] if len(ask) else np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(sess), pa.array(ids), pa.array(ids[lab])], schema=_LOCAL)
 
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -127,18 +124,16 @@ def _local_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def tile_links(tiles: DataFrame, fields: list[str]) -> DataFrame:
-    """Distinct tiles of each session with the distinct tiles they link to.
+    """Distinct ``session_id, id, to``: every tile with the tiles it names, ``to`` null at least once.
 
     ``id`` packs frame and tile number into one bigint (31 bits each; ids beyond that, or of another
-    form, are no tiles).  The grouping combines the records of one tile before the shuffle, and a
-    tile's links are at most the distinct ones it names.
+    form, are no tiles).  Repeated records and links are combined before the shuffle.
     """
     pack = lambda c: F.shiftleft(id_frame(c), 31).bitwiseOR(id_tile(c))
     ok = lambda c: (id_frame(c) < (1 << 31)) & (id_tile(c) < (1 << 31))
     ref = [F.when(ok(F.col(f)), pack(reference_or_none(F.col(f)))) for f in fields]
     rows = tiles.filter(F.col("session_id").isNotNull() & ok(F.col("content_id"))).select(F.col("session_id").cast("bigint").alias("session_id"), pack(F.col("content_id")).alias("id"), F.explode(F.array(*ref)).alias("to"))
-    pairs = rows.withColumn("to", F.when(F.col("to") != F.col("id"), F.col("to"))).distinct()
-    return pairs.groupBy("session_id", "id").agg(F.collect_set("to").alias("links"))
+    return rows.withColumn("to", F.when(F.col("to") != F.col("id"), F.col("to"))).distinct()
 
 
 def _decompose_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,13 +197,17 @@ def tile_groups(tiles: DataFrame, fields: list[str] = ("south_neighbor", "east_n
     ``<frame>_<tile>``.  Repeated records add their links.
     """
     scratch = Scratch(tiles.sparkSession, "components")
-    linked = tile_links(tiles, list(fields))
+    pairs = scratch.save(tile_links(tiles, list(fields)))
     block = F.shiftright("id", BLOCK_BITS)
-    local = linked.repartition("session_id", block).sortWithinPartitions("session_id", block).mapInArrow(_local_clusters, "session_id bigint, id bigint, root bigint, cross array<bigint>")
+    inside = F.shiftright("to", BLOCK_BITS) == block
+    # a block has at most 2^BLOCK_BITS tiles, and so many links a tile inside it
+    grouped = pairs.groupBy("session_id", "id").agg(F.collect_set(F.when(inside, F.col("to"))).alias("links"))
+    local = grouped.repartition("session_id", block).sortWithinPartitions("session_id", block).mapInArrow(_local_clusters, "session_id bigint, id bigint, root bigint")
     local = scratch.save(local)
     # links that leave their block, between tiles that exist, on the level of block clusters
-    cross = local.filter("size(cross) > 0").select("session_id", "root", F.explode("cross").alias("id")).distinct()
-    edges = cross.join(local.select("session_id", "id", F.col("root").alias("root2")), ["session_id", "id"]).select(F.struct("session_id", "root").alias("a"), F.struct("session_id", F.col("root2").alias("root")).alias("b"))
+    here = local.select("session_id", "id", F.struct("session_id", "root").alias("a"))
+    there = local.select("session_id", F.col("id").alias("to"), F.struct("session_id", "root").alias("b"))
+    edges = pairs.filter(~inside).join(here, ["session_id", "id"]).join(there, ["session_id", "to"]).select("a", "b")
     roots = connect(edges, scratch)
     far = roots.select(F.col("v.session_id").alias("session_id"), F.col("v.root").alias("root"), F.col("root.root").alias("top"))
     whole = local.select("session_id", "id", "root").join(far, ["session_id", "root"], "left").select("session_id", "id", F.coalesce("top", "root").alias("g"))
