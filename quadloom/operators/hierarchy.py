@@ -8,7 +8,6 @@ laid out by ``nested_sets_distributed``, whose rounds are Spark jobs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quadloom.functions import geo, geometry as g
-from quadloom.functions import quadkey as qk
 from quadloom.functions.ids import five_digit
 from quadloom.operators import spatial
 from quadloom.runtime import table

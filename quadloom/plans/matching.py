@@ -225,7 +225,7 @@ def src16(spark, d):
     return f.filter(F.length("quadkey") <= 31).groupBy("quadkey").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-@query("snk2_strip_json", "select json_group_object(s, n) as doc from (select label::varchar as s, n from (select label, count(*) as n from embeddings group by label) order by label)")
+@query("snk2_strip_json", "select json_group_object(s, n)::varchar as doc from (select label::varchar as s, n from (select label, count(*) as n from embeddings group by label) order by label)")
 def snk2(spark, d):
     g = table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     entries = F.transform(F.sort_array(F.collect_list(F.struct("label", "n"))), lambda x: F.struct(x["label"].cast("string").alias("key"), x["n"].alias("value")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions.ids import five_digit, id_frame
 from quadloom.functions.quadkey import is_valid
-from quadloom.model import CELLS_SQL, UNCLES_SQL, cells, pyramid, uncle_edges
+from quadloom.model import CELLS_SQL, UNCLES_SQL, cells, uncle_edges
 from quadloom.operators import hierarchy, matrices as mx
 from quadloom.operators.graph import inconsistent_links, placed_components
 from quadloom.runtime import table, two_level_rank
@@ -347,7 +347,7 @@ def mtx17(spark, d):
     return p.select("p_partkey", anchor(k % 50, s % 2, k % 7).alias("anchor_row"), anchor(k % 40, (s % 3) % 2, k % 5).alias("anchor_col"))
 
 
-@query("mtx18_grid_assembly", f"with {_PIECES} select matrix_id, i, j, i - root_i as grid_i, 0::bigint as grid_j from pieces")
+@query("mtx18_grid_assembly", f"with {_PIECES} select matrix_id, i, j, (i - root_i)::bigint as grid_i, 0::bigint as grid_j from pieces")
 def mtx18(spark, d):
     c = cells(spark, d, first_only=False)
     p = placed_components(mx.cell_links(c)).select(F.col("v.matrix_id").alias("matrix_id"), F.col("v.i").alias("i"), F.col("v.j").alias("j"), F.col("di").alias("grid_i"), F.col("dj").alias("grid_j"))

@@ -46,3 +46,11 @@ def test_entry_points():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert "agg2_frame_info" in e.queries()
+
+
+def test_names_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[1])
+    assert out.returncode == 0, out.stderr
