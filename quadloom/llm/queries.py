@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quadloom.llm import components, leaks, mojibake, packing, survivors
 from quadloom.runtime import table
