@@ -176,3 +176,35 @@ def str3s(spark, d):
     e = activity.file_events(spark, f"{s.base}/in", "user_id bigint, event_id bigint", "parquet")
     out = spark.read.parquet(_drain(activity.stop_after(e, "user_id", 5), s.base))
     return out.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("stopped").alias("n_stops"))
+
+
+@query("src19_placemarks", "select count(*) as n_placemarks from nation where n_regionkey = 2")
+def src19(spark, d):
+    s = Scratch(spark, "kml")
+    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    marks = F.array_join(F.transform("names", lambda x: F.concat(F.lit("<Placemark><name>"), x, F.lit("</name></Placemark>"))), "")
+    n.select(F.concat(F.lit("<kml><Folder><name>r"), "n_regionkey", F.lit("</name>"), marks, F.lit("</Folder></kml>")).alias("value")).write.text(s.base)
+    return frames.count_placemarks(spark, s.base, "r2")
+
+
+@query("src3_names_only", "select event_type as name, max(event_id) as last_call from events group by 1")
+def src3(spark, d):
+    """Values that nobody asks for are not read: the scan holds two columns."""
+    from quadloom.model import calls
+
+    return calls(spark, d).groupBy("name").agg(F.max("call_no").alias("last_call"))
+
+
+@query("src4_bookmark", "select event_id as call_no, event_type as name from events where event_id >= 5000")
+def src4(spark, d):
+    """Reading on from a bookmark is a filter that reaches the scan."""
+    from quadloom.model import calls
+
+    return calls(spark, d).filter("call_no >= 5000").select("call_no", "name")
+
+
+@query("flt5_early_stop", "select event_id as call_no from events where event_type = 'click' and event_id <= 1000")
+def flt5(spark, d):
+    from quadloom.model import calls
+
+    return calls(spark, d).filter("call_no <= 1000 and name = 'click'").select("call_no")
