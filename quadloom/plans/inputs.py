@@ -183,7 +183,7 @@ def src19(spark, d):
     s = Scratch(spark, "kml")
     n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
     marks = F.array_join(F.transform("names", lambda x: F.concat(F.lit("<Placemark><name>"), x, F.lit("</name></Placemark>"))), "")
-    n.select(F.concat(F.lit("<kml><Folder><name>r"), "n_regionkey", F.lit("</name>"), marks, F.lit("</Folder></kml>")).alias("value")).write.text(s.base)
+    n.select(F.concat(F.lit("<kml><Folder><name>r"), "n_regionkey", F.lit("</name>"), marks, F.lit("</Folder></kml>")).alias("value"), "n_regionkey").write.partitionBy("n_regionkey").text(s.base)  # a document a file
     return frames.count_placemarks(spark, s.base, "r2")
 
 
