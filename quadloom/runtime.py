@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +15,25 @@ from pyspark.sql import functions as F
 _OWN_DIRS: list[str] = []
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quadloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():
+        folder = tempfile.mkdtemp(prefix="quadloom-package-")
+        _OWN_DIRS.append(folder)
+        path = f"{folder}/quadloom.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"quadloom/{f.relative_to(root)}")
+        sc.addPyFile(path)
+    sc._quadloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
