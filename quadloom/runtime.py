@@ -109,6 +109,12 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly where the scan has fewer tasks than there are cores (few small files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def two_level_rank(df: DataFrame, keys: list[str], order: str, out: str, width: int = 65536) -> DataFrame:
     """Row numbers (from 1) within ``keys`` by a bigint column, without one task a key.
 
