@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm.mojibake import look_alike
+from quadloom.runtime import spread
 
 MIN_WORDS = 14  # fixed values of the definition: words of the item, and words an edit
 WORDS_PER_EDIT = 8
@@ -252,7 +253,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, item_block: int = ITEM_BLOCK
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
         index = Index([(r["item_id"], r["text"]) for r in part.collect()])  # one block of the stated query set
-        hits = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_mapper(index), "doc_id bigint, item_id bigint")
+        hits = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(_mapper(index), "doc_id bigint, item_id bigint")
         out = hits if out is None else out.unionByName(hits)
     return out.distinct()
 
