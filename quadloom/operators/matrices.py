@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quadloom.operators.graph import placed_components
 from quadloom.runtime import Scratch
 
+HOLDERS_A_TASK = 2_000
+
 
 def cell_links(cells: DataFrame) -> DataFrame:
     """Links between orthogonal neighbours of one matrix, by equality on the shifted cell."""
@@ -39,15 +41,17 @@ def validity(raw: DataFrame, components: DataFrame) -> DataFrame:
     return n.join(c, "matrix_id").select("matrix_id", (F.col("nt") == F.col("n")).alias("unique_ids"), (F.col("nc") == F.col("n")).alias("unique_cells"), (F.col("pieces") == 1).alias("connected"), ok.alias("valid"))
 
 
-def shared_tiles(cells: DataFrame) -> DataFrame:
-    """Links between matrices that share a tile: each holder and the next one, with ``di, dj``.
+def shared_tiles(cells: DataFrame, holders_a_task: int = HOLDERS_A_TASK) -> DataFrame:
+    """Every pair of matrices ``a < b`` that share a tile, with ``tile_id, di, dj``, for each shared tile.
 
-    All holders of a tile are linked through this chain, and the offset between any two is the sum
-    along it; rows stay in proportion to cells where all pairs of a popular tile would not.
+    A tile with more than ``holders_a_task`` holders is dealt out over several join keys: each cell is
+    once on the side of a, under its own key, and on the side of b under every key of its tile.
     """
-    w = Window.partitionBy("tile_id").orderBy("matrix_id", "i", "j")
-    prev = lambda c: F.lag(c).over(w)
-    return cells.select(prev("matrix_id").alias("a"), F.col("matrix_id").alias("b"), "tile_id", (prev("i") - F.col("i")).alias("di"), (prev("j") - F.col("j")).alias("dj")).filter("a is not null and a <> b")
+    n = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("tile_id")) / holders_a_task).cast("int")
+    c = cells.filter("tile_id is not null").select("matrix_id", "tile_id", "i", "j", n.alias("_n"))
+    a = c.select(F.col("matrix_id").alias("a"), "tile_id", F.col("i").alias("ai"), F.col("j").alias("aj"), F.pmod(F.xxhash64("matrix_id"), F.col("_n")).cast("int").alias("_k"))
+    b = c.select(F.col("matrix_id").alias("b"), "tile_id", F.col("i").alias("bi"), F.col("j").alias("bj"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
+    return a.join(b, ["tile_id", "_k"]).filter("a < b").select("a", "b", "tile_id", (F.col("ai") - F.col("bi")).alias("di"), (F.col("aj") - F.col("bj")).alias("dj"))
 
 
 def unanimous(shared: DataFrame) -> DataFrame:
@@ -56,19 +60,47 @@ def unanimous(shared: DataFrame) -> DataFrame:
     return g.filter("di = di2 and dj = dj2").select("a", "b", "n_shared", "di", "dj")
 
 
+def _place(i: Column, j: Column) -> Column:
+    """A cell's place as one number, so that a move is an addition; coordinates are below 2^30."""
+    return i.cast("bigint") * (1 << 32) + j
+
+
+def beside(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Pairs with both whole matrices (``a_places``, ``b_tiles``, ...; those of b not moved yet) and ``n_conflicts``.
+
+    A conflict is a cell of b that meets another tile when moved onto a.  A matrix holds a tile and a
+    place once, so places met less the shared tiles, which all meet themselves, are the conflicts.
+    """
+    one = cells.groupBy("matrix_id").agg(
+        F.sort_array(F.collect_list(F.struct(_place(F.col("i"), F.col("j")).alias("p"), "tile_id"))).alias("c"),
+        F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1"),
+    )
+    side = lambda k: one.select(F.col("matrix_id").alias(k), F.col("c.p").alias(f"{k}_places"), F.col("c.tile_id").alias(f"{k}_tiles"), *[F.col(x).alias(f"{k}_{x}") for x in ("i0", "i1", "j0", "j1")])
+    x = pairs.join(side("a"), "a").join(side("b"), "b")
+    move = _place(F.col("di"), F.col("dj"))
+    return x.withColumn("n_conflicts", F.size(F.array_intersect("a_places", F.transform("b_places", lambda p: p + move))) - F.col("n_shared"))
+
+
 def conflicts(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells of b, moved onto a, that meet another tile there: ``a, b, n_conflicts`` (0 where none)."""
-    b = pairs.join(cells.select(F.col("matrix_id").alias("b"), "tile_id", "i", "j"), "b").select("a", "b", "tile_id", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
-    here = cells.select(F.col("matrix_id").alias("a"), F.col("tile_id").alias("there"), "i", "j")
-    return b.join(here, ["a", "i", "j"], "left").groupBy("a", "b").agg(F.count_if(F.col("there").isNotNull() & (F.col("there") != F.col("tile_id"))).alias("n_conflicts"))
+    return beside(pairs, cells).select("a", "b", "n_conflicts")
+
+
+def merged_sizes(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cells, rows and columns of each pair without conflicts, merged."""
+    span = lambda k, d: F.greatest(f"a_{k}1", F.col(f"b_{k}1") + F.col(d)) - F.least(f"a_{k}0", F.col(f"b_{k}0") + F.col(d)) + 1
+    return beside(pairs, cells).filter("n_conflicts = 0").select("a", "b", (F.size("a_tiles") + F.size("b_tiles") - F.col("n_shared")).alias("n_cells"), span("i", "di").alias("n_rows"), span("j", "dj").alias("n_cols"))
 
 
 def merge_pairs(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Cells of each accepted pair on a's grid, moved to begin at 0."""
-    a = pairs.join(cells.select(F.col("matrix_id").alias("a"), "tile_id", "i", "j"), "a").select("a", "b", "tile_id", "i", "j")
-    b = pairs.join(cells.select(F.col("matrix_id").alias("b"), "tile_id", "i", "j"), "b").select("a", "b", "tile_id", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
-    u = a.unionByName(b).distinct()
-    return normalize(u, ["a", "b"])
+    """Cells of each pair without conflicts on a's grid, moved to begin at 0."""
+    x = beside(pairs, cells).filter("n_conflicts = 0")
+    move = _place(F.col("di"), F.col("dj"))
+    pick = lambda k, m: F.transform(F.arrays_zip(F.col(f"{k}_places").alias("p"), F.col(f"{k}_tiles").alias("tile_id")), lambda c: F.struct((c["p"] + m).alias("p"), c["tile_id"].alias("tile_id")))
+    both = F.concat(pick("a", F.lit(0).cast("bigint")), F.filter(pick("b", move), lambda c: ~F.array_contains("a_places", c["p"])))
+    low = lambda k, d: F.least(f"a_{k}0", F.col(f"b_{k}0") + F.col(d)).alias(f"_{k}")
+    u = x.select("a", "b", low("i", "di"), low("j", "dj"), F.explode(both).alias("c")).withColumn("i", F.shiftright(F.col("c.p") + (1 << 31), 32))
+    return u.select("a", "b", "c.tile_id", (F.col("i") - F.col("_i")).cast("int").alias("i"), (F.col("c.p") - F.shiftleft("i", 32) - F.col("_j")).cast("int").alias("j"))
 
 
 def normalize(cells: DataFrame, keys: list[str]) -> DataFrame:

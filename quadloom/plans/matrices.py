@@ -71,26 +71,23 @@ def agg13(spark, d):
 def _pairs(spark, d):
     c = cells(spark, d)
     u = mx.unanimous(mx.shared_tiles(c))
-    return c, u, mx.conflicts(u, c)
+    return c, u
 
 
 @query("jn11_conflicts", f"with {_SHARED} select * from cf")
 def jn11(spark, d):
-    return _pairs(spark, d)[2]
+    c, u = _pairs(spark, d)
+    return mx.conflicts(u, c)
 
 
 _MERGED = f"""{_SHARED}, mu as (select g.a, g.b, c.tile_id, c.i, c.j from good g join cells c on c.matrix_id = g.a union select g.a, g.b, c.tile_id, c.i + g.di, c.j + g.dj from good g join cells c on c.matrix_id = g.b),
 merged as (select a, b, tile_id, i - min(i) over (partition by a, b) as i, j - min(j) over (partition by a, b) as j from mu)"""
 
 
-def _merged(spark, d):
-    c, u, k = _pairs(spark, d)
-    return mx.merge_pairs(u.join(k.filter("n_conflicts = 0").select("a", "b"), ["a", "b"]), c)
-
-
 @query("mtx4_pair_merge", f"with {_MERGED} select a, b, count(*) as n_cells, max(i)::int + 1 as n_rows, max(j)::int + 1 as n_cols from merged group by a, b")
 def mtx4(spark, d):
-    return _merged(spark, d).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_cells"), (F.max("i") + 1).alias("n_rows"), (F.max("j") + 1).alias("n_cols"))
+    c, u = _pairs(spark, d)
+    return mx.merged_sizes(u, c)
 
 
 @query("mtx5_normalize", f"with {CELLS_SQL} select matrix_id, tile_id, i - min(i) over (partition by matrix_id) as i, j - min(j) over (partition by matrix_id) as j from cells")
@@ -106,7 +103,8 @@ def mtx6(spark, d):
 
 @query("set2_union_cells", f"with {_MERGED} select a, b, tile_id, i, j from merged")
 def set2(spark, d):
-    return _merged(spark, d)
+    c, u = _pairs(spark, d)
+    return mx.merge_pairs(u, c)
 
 
 @query("mtx7_merge_sweep")
@@ -135,8 +133,8 @@ def mtx8(spark, d):
 
 @query("mtx9_full_merge", f"with {_SHARED} select count(*) as n_merges, count(distinct b) as n_gone from good")
 def mtx9(spark, d):
-    c, u, k = _pairs(spark, d)
-    return k.filter("n_conflicts = 0").agg(F.count(F.lit(1)).alias("n_merges"), F.countDistinct("b").alias("n_gone"))
+    c, u = _pairs(spark, d)
+    return mx.conflicts(u, c).filter("n_conflicts = 0").agg(F.count(F.lit(1)).alias("n_merges"), F.countDistinct("b").alias("n_gone"))
 
 
 _CUT = f"""{CELLS_SQL}, cutters as (select distinct tile_id from cells where tile_id % 97 = 0), marked as (select distinct matrix_id, j from cells where tile_id in (select tile_id from cutters)),
@@ -398,8 +396,9 @@ def evt6(spark, d):
 @query("evt8_retry_order", f"with {_SHARED}, c as (select distinct matrix_id from cells), f as (select matrix_id, matrix_id not in (select b from good) as failed from c) select matrix_id, failed, rank() over (partition by failed order by matrix_id)::bigint as place from f")
 def evt8(spark, d):
     """Order of the next sweep: merged matrices keep their order, failed ones come after them."""
-    _, _, k = _pairs(spark, d)
-    c = cells(spark, d).select("matrix_id").distinct().join(k.filter("n_conflicts = 0").select(F.col("b").alias("matrix_id"), F.lit(True).alias("ok")).distinct(), "matrix_id", "left").select("matrix_id", F.col("ok").isNull().alias("failed"))
+    c, u = _pairs(spark, d)
+    k = mx.conflicts(u, c)
+    c = c.select("matrix_id").distinct().join(k.filter("n_conflicts = 0").select(F.col("b").alias("matrix_id"), F.lit(True).alias("ok")).distinct(), "matrix_id", "left").select("matrix_id", F.col("ok").isNull().alias("failed"))
     return two_level_rank(c, ["failed"], "matrix_id", "place")
 
 
