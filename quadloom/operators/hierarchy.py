@@ -240,6 +240,33 @@ def descendants(sets: DataFrame, ancestors: DataFrame) -> DataFrame:
     return sets.filter("lft >= 0").join(a, ["group_id", "root_key"]).filter("lft > a_lft and lft <= a_rgt").select("group_id", "ancestor_key", F.col("node_key").alias("descendant_key"), (F.col("node_depth") - F.col("a_depth")).alias("distance"))
 
 
+def paths(sets: DataFrame, keys: tuple[str, ...] = ("group_id",)) -> DataFrame:
+    """``keys, node_key, node_path``: the node keys from the root down to each node; null on or below a loop.
+
+    Each round puts the path of the node that a path hangs on before it, so the paths double and
+    log2(depth) rounds do; finished paths stay out of the joins.
+    """
+    scratch = Scratch(sets.sparkSession, "paths")
+    t = scratch.save(sets.select(*keys, "node_key", "parent_key", "node_depth"))
+    live = t.filter("node_depth >= 0")
+    deepest = live.agg(F.max("node_depth").alias("d")).first()["d"] or 0
+    cur = scratch.save(live.select(*keys, "node_key", F.col("parent_key").alias("up"), F.array("node_key").alias("node_path")))
+    for _ in range(int(deepest).bit_length()):
+        above = cur.select(*keys, F.col("node_key").alias("up"), F.col("up").alias("up2"), F.col("node_path").alias("path2"))
+        longer = cur.filter("up is not null").join(above, [*keys, "up"]).select(*keys, "node_key", F.col("up2").alias("up"), F.concat("path2", "node_path").alias("node_path"))
+        new = scratch.save(cur.filter("up is null").unionByName(longer))
+        scratch.drop(cur)
+        cur = new
+    loops = t.filter("node_depth < 0").select(*keys, "node_key", F.lit(None).cast("array<string>").alias("node_path"))
+    return cur.select(*keys, "node_key", "node_path").unionByName(loops)
+
+
+def all_descendants(paths: DataFrame, keys: tuple[str, ...] = ("group_id",)) -> DataFrame:
+    """All (ancestor, descendant) pairs of all nodes, by exploding each node's path; no join."""
+    x = paths.filter("node_path is not null").select(*keys, F.col("node_key").alias("descendant_key"), F.size("node_path").alias("_n"), F.posexplode(F.slice("node_path", 1, F.size("node_path") - 1)).alias("_at", "ancestor_key"))
+    return x.select(*keys, "ancestor_key", "descendant_key", (F.col("_n") - 1 - F.col("_at")).cast("bigint").alias("distance"))
+
+
 def layer_nodes(layers: DataFrame) -> DataFrame:
     """Distinct layers of every export; rows without export or index are no nodes.
 

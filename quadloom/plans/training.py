@@ -75,6 +75,19 @@ def p4_descendants_of_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(s, s.filter("node_depth = 0"))
 
 
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _layer_sets(spark, sf_dir).withColumn("node_table", F.lit("matrix_layers"))
+    return hierarchy.paths(a.unionByName(_tile_sets(spark, sf_dir).withColumn("node_table", F.lit("pyramid_tiles"))), ("node_table", "group_id"))
+
+
+def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("node_table", "group_id", "node_key", F.array_join("node_path", "/").alias("node_path"))
+
+
+def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.all_descendants(_paths(spark, sf_dir), ("node_table", "group_id"))
+
+
 # 6 - drifting schemas
 def _schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.file_schemas(table(spark, sf_dir, "layer_files"))
@@ -108,7 +121,7 @@ def p7_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("object_kind").agg(F.count(F.lit(1)).alias("n_objects"), F.sum("n_occurrences").alias("n_occurrences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_containers, p1_restored, p1_length_mismatches, p2_found, p2_orphans_by_day, p2_current_keys, p4_found, p4_subtrees, p4_descendants_of_roots, p6_found, p6_union_schema, p6_unified_counts, p7_found, p7_objects)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_containers, p1_restored, p1_length_mismatches, p2_found, p2_orphans_by_day, p2_current_keys, p4_found, p4_subtrees, p4_descendants_of_roots, p4_paths, p4_descendants, p6_found, p6_union_schema, p6_unified_counts, p7_found, p7_objects)}
 
 _FILES = r"""files as (
   select file_id, content,
@@ -197,6 +210,16 @@ SQL = {
       union all select 'pyramid_tiles', g::bigint, a, count(*)::bigint from anc group by g, a""",
     "p4_descendants_of_roots": f"""with {_QTILES}, root as (select g, k, min_by(a, length(a)) as r, count(*) - 1 as d from anc group by g, k)
       select g::bigint as group_id, r as ancestor_key, k as descendant_key, d::bigint as distance from root where d > 0""",
+    "p4_paths": f"""with recursive {_LAYERS},
+      down(g, k, path) as (select g, k, k::varchar from linked where p is null union all select c.g, c.k, d.path || '/' || c.k from linked c join down d on c.g = d.g and c.p = d.k),
+      {_QTILES}
+      select 'matrix_layers' as node_table, l.g::bigint as group_id, l.k::varchar as node_key, d.path as node_path from layers l left join down d on d.g = l.g and d.k = l.k
+      union all select 'pyramid_tiles', g::bigint, k, string_agg(a, '/' order by length(a)) from anc group by g, k""",
+    "p4_descendants": f"""with recursive {_LAYERS},
+      ups(g, k, a, d) as (select l.g, l.k, l.k, 0 from linked l join walk w on w.g = l.g and w.k = l.k union all select u.g, u.k, l.p, u.d + 1 from ups u join linked l on l.g = u.g and l.k = u.a where l.p is not null),
+      {_QTILES}, far as (select g, k, a, row_number() over (partition by g, k order by length(a) desc) - 1 as d from anc)
+      select 'matrix_layers' as node_table, g::bigint as group_id, a::varchar as ancestor_key, k::varchar as descendant_key, d::bigint as distance from ups where d > 0
+      union all select 'pyramid_tiles', g::bigint, a, k, d::bigint from far where d > 0""",
     "p6_found": f"""with {_FIELDS},
       per as (select producer_id, export_no, f, bit_or(bit) as types from typed group by all),
       ex as (select producer_id, export_no, lag(export_no) over (partition by producer_id order by export_no) as prev from (select distinct producer_id, export_no from objs)),
