@@ -6,17 +6,20 @@ on its smallest neighbour and adds up the offsets, so the rounds are logarithmic
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.runtime import Scratch
 
 
-def placed_components(links: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
+def placed_components(links: DataFrame, scratch: Scratch | None = None, max_rounds: int | None = None) -> DataFrame:
     """``v, root, di, dj``: every vertex with its component's smallest vertex and its place relative to it.
 
     Vertices without links don't appear.  Where links of a component disagree, one consistent spanning
-    set of them decides; ``inconsistent_links`` names the others.
+    set of them decides; ``inconsistent_links`` names the others.  Rounds go on until nothing changes;
+    where ``max_rounds`` is given and too few, it raises.
     """
     s = scratch or Scratch(links.sparkSession, "graph")
     flip = lambda d: d.select(F.col("v").alias("u"), F.col("u").alias("v"), (-F.col("di")).alias("di"), (-F.col("dj")).alias("dj"))
@@ -38,7 +41,9 @@ def placed_components(links: DataFrame, scratch: Scratch | None = None, max_roun
         return moved.groupBy("v", "u").agg(F.min(F.struct("di", "dj")).alias("o")).select("u", "v", "o.di", "o.dj")
 
     last = None
-    for _ in range(max_rounds):
+    for k in count():
+        if k == max_rounds:
+            raise RuntimeError(f"components still change after {max_rounds} rounds")
         new = s.save(star(star(cur, True), False))
         mark = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         s.drop(cur)

@@ -142,22 +142,29 @@ def hierarchy_status(edges: DataFrame, owner: DataFrame) -> DataFrame:
     return g.withColumn("status", F.when(F.col("n_parents") == 0, "TOPLEVEL").when(F.col("n_parents") > 1, "BROKEN").otherwise("NORMAL"))
 
 
-def place_levels(edges: DataFrame, roots: DataFrame, digit: Column, max_levels: int = 40) -> DataFrame:
-    """Places every tile below its uncle: path = uncle's path + quadrant digit, one level a pass."""
+def place_levels(edges: DataFrame, roots: DataFrame, digit: Column) -> DataFrame:
+    """Places every tile below its uncle: path = uncle's path + quadrant digit, one level a pass.
+
+    Passes go on until a level is empty.  A tile that comes again below itself is a loop and raises.
+    """
     s = Scratch(edges.sparkSession, "placement")
-    front = s.save(roots)
+    front = s.save(roots.select("tile_id", "path", F.array().cast("array<bigint>").alias("_above")))
     out = [front]
     e = edges.withColumn("_d", digit)
-    for _ in range(max_levels):
-        nxt = s.save(e.join(front.select(F.col("tile_id").alias("uncle_id"), "path"), "uncle_id").select("tile_id", F.concat("path", "_d").alias("path")))
-        if not nxt.limit(1).count():
+    while True:
+        above = front.select(F.col("tile_id").alias("uncle_id"), "path", F.concat("_above", F.array(F.col("tile_id").cast("bigint"))).alias("_above"))
+        nxt = s.save(e.join(above, "uncle_id").select("tile_id", F.concat("path", "_d").alias("path"), "_above"))
+        seen = nxt.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.array_contains("_above", F.col("tile_id").cast("bigint")), F.col("tile_id"))).alias("again")).first()
+        if seen["again"] is not None:
+            raise ValueError(f"tile {seen['again']} lies below itself")
+        if not seen["n"]:
             break
         out.append(nxt)
         front = nxt
     u = out[0]
     for x in out[1:]:
         u = u.unionByName(x)
-    return u
+    return u.select("tile_id", "path")
 
 
 def merge_sweep(frames: list[tuple[int, list[tuple[int, int, int]]]]) -> list[tuple[int, int, int, int]]:

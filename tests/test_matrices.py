@@ -3,9 +3,10 @@
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quadloom.model import CELLS_SQL
-from quadloom.operators import matrices as mx
+from quadloom.operators import graph, matrices as mx
 from quadloom.plans import registry
 from tests.test_queries import canon, duck  # noqa: F401
 
@@ -44,3 +45,21 @@ def test_all_pairs_share(spark, holders):
 def test_queries_over_all_pairs(spark, duck, sf, name):  # noqa: F811
     got, exp = canon(registry.queries()[name](spark, sf).toPandas()), canon(duck.execute(f"with {PAIRS} {WHOLE[name]}").fetchdf())
     assert len(got) and got.equals(exp)
+
+
+def test_placement_below_forty_levels(spark):
+    edges = spark.createDataFrame([(k + 1, k, k % 4) for k in range(1, 44)], "tile_id bigint, uncle_id bigint, direction int")
+    roots = spark.createDataFrame([(1, "01")], "tile_id bigint, path string")
+    got = {r.tile_id: r.path for r in mx.place_levels(edges, roots, F.col("direction").cast("string")).collect()}
+    assert len(got) == 44 and got[44] == "01" + "".join(str(k % 4) for k in range(1, 44))
+
+
+def test_loops_and_guards_raise(spark):
+    edges = spark.createDataFrame([(2, 1, 0), (3, 2, 1), (2, 3, 2)], "tile_id bigint, uncle_id bigint, direction int")
+    roots = spark.createDataFrame([(1, "01")], "tile_id bigint, path string")
+    with pytest.raises(ValueError, match="below itself"):
+        mx.place_levels(edges, roots, F.col("direction").cast("string"))
+    links = spark.createDataFrame([(k, k + 1, 1, 0) for k in range(20)], "u bigint, v bigint, di int, dj int")
+    with pytest.raises(RuntimeError):
+        graph.placed_components(links, max_rounds=1)
+    assert {(r.v, r.root, r.di) for r in graph.placed_components(links).collect()} == {(k, 0, k) for k in range(21)}
