@@ -24,8 +24,8 @@ def spaced_sample(df: DataFrame, group: str, order: str, n: int = 16) -> DataFra
     return d.filter((F.col("_n") <= n) | F.array_contains(wanted, F.col("_p").cast("bigint"))).drop("_p", "_n")
 
 
-def nearest_vectors(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 2, block: int = 4096) -> DataFrame:
-    """For every query row the ``k`` rows with the smallest error, itself left out.
+def nearest_vectors(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 2, block: int = 4096, group: str | None = None) -> DataFrame:
+    """For every query row the ``k`` rows with the smallest error, itself and rows of its ``group`` left out.
 
     The queries are a stated set and go to the tasks in blocks of at most ``block``; each task keeps
     its best ``k`` a query, so the shuffle carries queries times tasks rows, never all pairs.
@@ -33,7 +33,7 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, key: str, vector: str,
     import numpy as np
     import pyarrow as pa
 
-    q = queries.select(F.col(key).cast("bigint").alias("q"), F.col(vector).alias("v")).filter("q is not null and v is not null")
+    q = queries.select(F.col(key).cast("bigint").alias("q"), F.col(vector).alias("v"), (F.col(group) if group else F.lit(None)).cast("string").alias("g")).filter("q is not null and v is not null")
     n = q.count()
     parts = max(1, -(-n // block))
     schema = "query_id bigint, vec_id bigint, rmse double"
@@ -42,9 +42,9 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, key: str, vector: str,
         part = (q if parts == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(parts)) == p)).collect()
         if not part:
             continue
-        ids, mat = np.array([r["q"] for r in part]), np.array([r["v"] for r in part], float)
+        ids, mat, own = np.array([r["q"] for r in part]), np.array([r["v"] for r in part], float), [r["g"] for r in part]
 
-        def run(batches, ids=ids, mat=mat):
+        def run(batches, ids=ids, mat=mat, own=own):
             best: list[tuple] = []
             for b in batches:
                 keep = [i for i, x in enumerate(b.column(1).to_pylist()) if x is not None and len(x) == mat.shape[1]]
@@ -52,15 +52,18 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, key: str, vector: str,
                     continue
                 rid = np.array(b.column(0).take(pa.array(keep)).to_pylist())
                 rows_ = np.array(b.column(1).take(pa.array(keep)).to_pylist(), float)
+                groups = np.array(b.column(2).take(pa.array(keep)).to_pylist(), object)
                 for i in range(len(ids)):
                     e = np.sqrt(((rows_ - mat[i]) ** 2).sum(1) / mat.shape[1])
                     e[rid == ids[i]] = np.inf
+                    if own[i] is not None:
+                        e[groups == own[i]] = np.inf
                     o = np.lexsort((rid, e))[:k]
                     best += [(int(ids[i]), int(rid[j]), float(e[j])) for j in o if np.isfinite(e[j])]
             cols = list(zip(*best)) if best else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "rmse"])
 
-        hits = rows.select(F.col(key).cast("bigint").alias(key), vector).mapInArrow(run, schema)
+        hits = rows.select(F.col(key).cast("bigint").alias(key), vector, (F.col(group) if group else F.lit(None)).cast("string").alias("_g")).mapInArrow(run, schema)
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         return rows.sparkSession.createDataFrame([], schema + ", rank int")

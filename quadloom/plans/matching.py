@@ -61,10 +61,14 @@ def srt5(spark, d):
 _VOTES = f"{_BEST}, v as (select q.label as child, r.label as parent, b.vec_id from best b join embeddings q on q.vec_id = b.query_id join embeddings r on r.vec_id = b.vec_id)"
 
 
-def _votes(spark, d):
-    e = table(spark, d, "embeddings")
-    b = _best(spark, d)
-    return b.join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("child")), "query_id").join(e.select("vec_id", F.col("label").alias("parent")), "vec_id").select("child", "parent", "vec_id")
+def visual_parents(e):
+    """Parent label of each label: evenly spaced probes, their best two matches elsewhere, confident ones vote."""
+    v = e.select("vec_id", "label", "embedding").filter("label is not null")
+    probes = mt.spaced_sample(v, "label", "vec_id")
+    best = mt.confident(mt.nearest_vectors(v, probes, "vec_id", "embedding", group="label"), "query_id", "rmse", "vec_id")
+    names = v.select("vec_id", F.col("label").alias("parent"))
+    votes = best.join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("child")), "query_id").join(names, "vec_id").select("child", "parent", "vec_id")
+    return mt.majority(votes, ["child"], ["parent"], "vec_id")
 
 
 @query("agg11_majority", "with v as (select o_custkey as child, o_orderstatus as vote, o_orderkey from orders), n as (select child, vote, count(*) as n_votes, min(o_orderkey) as f from v group by all), t as (select child, arg_max(vote, row(n_votes, -f)) as vote, max(n_votes) as n_votes, sum(n_votes)::bigint as n_all from n group by child) select child, vote, n_votes, n_all from t where n_votes >= 3 and 2 * n_votes > n_all")
@@ -75,7 +79,7 @@ def agg11(spark, d):
 
 @query("mtx16_visual_parent", f"with {_VOTES}, n as (select child, parent, count(*) as n_votes, min(vec_id) as f from v where child <> parent group by all), t as (select child, arg_max(parent, row(n_votes, -f)) as parent, max(n_votes) as n_votes, sum(n_votes)::bigint as n_all from n group by child) select * from t where n_votes >= 1 and 2 * n_votes > n_all")
 def mtx16(spark, d):
-    return mt.majority(_votes(spark, d).filter("child <> parent"), ["child"], ["parent"], "vec_id", least=1)
+    return visual_parents(table(spark, d, "embeddings"))
 
 
 @query("agg12_tiered_vote", """with v as (select o_custkey as m, case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as tier, (o_orderkey % 3)::int as r, (((o_orderkey - 5) % 4 + 4) % 4)::int as c, o_orderkey from orders),
