@@ -133,7 +133,7 @@ def pack(sizes: list[int], capacity: int, nodes: int = NODES_PER_CONTAINER, sear
         left[s] = left.get(s, 0) + 1
     order = sorted(left)
     slack = (len(incumbent) - 1) * capacity - sum(sizes)  # waste allowed to any better solution
-    width = 4 if len(sizes) <= 200 else 1
+    width = 4
     solution: list[tuple[int, ...]] | None = None
     # depth-first over containers; each level keeps its untried fillings
     stack: list[tuple[list[tuple[int, ...]], int, int]] = []
@@ -190,7 +190,6 @@ def pack(sizes: list[int], capacity: int, nodes: int = NODES_PER_CONTAINER, sear
             n_left += len(f)
             waste -= capacity - sum(f)
             continue
-        order = [s for s in order if left[s] > 0] if len(stack) % 64 == 0 and width == 1 else order
         stack.append((level(), 0, 0))
     if solution is None:
         return incumbent
