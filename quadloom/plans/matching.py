@@ -58,9 +58,6 @@ def srt5(spark, d):
     return mt.spaced_sample(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id")
 
 
-_VOTES = f"{_BEST}, v as (select q.label as child, r.label as parent, b.vec_id from best b join embeddings q on q.vec_id = b.query_id join embeddings r on r.vec_id = b.vec_id)"
-
-
 def visual_parents(e):
     """Parent label of each label: evenly spaced probes, their best two matches elsewhere, confident ones vote."""
     v = e.select("vec_id", "label", "embedding").filter("label is not null")
@@ -77,7 +74,13 @@ def agg11(spark, d):
     return mt.majority(v, ["child"], ["vote"], "o_orderkey")
 
 
-@query("mtx16_visual_parent", f"with {_VOTES}, n as (select child, parent, count(*) as n_votes, min(vec_id) as f from v where child <> parent group by all), t as (select child, arg_max(parent, row(n_votes, -f)) as parent, max(n_votes) as n_votes, sum(n_votes)::bigint as n_all from n group by child) select * from t where n_votes >= 1 and 2 * n_votes > n_all")
+@query("mtx16_visual_parent", f"""with {_PROBES}, e as (select vec_id, label, embedding::double[] as v from embeddings where label is not null),
+  pairs as (select p.vec_id as query_id, p.label as child, e.vec_id, e.label as parent, sqrt(list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(q.v, e.v)]) / 64) as rmse from probes p join e q using (vec_id) join e on e.label <> p.label),
+  r as (select *, row_number() over (partition by query_id order by rmse, vec_id) as rank from pairs),
+  sure as (select query_id, any_value(child) as child, max(parent) filter (rank = 1) as parent, max(vec_id) filter (rank = 1) as vec_id from r where rank <= 2 group by query_id
+    having max(rmse) filter (rank = 1) <= 35 and coalesce(max(rmse) filter (rank = 1) / greatest(max(rmse) filter (rank = 2), 1e-9) <= 0.75, true)),
+  nv as (select child, parent, count(*) as n_votes, min(vec_id) as f from sure group by all), t as (select child, arg_max(parent, row(n_votes, -f)) as parent, max(n_votes) as n_votes, sum(n_votes)::bigint as n_all from nv group by child)
+  select * from t where n_votes >= 3 and 2 * n_votes > n_all""")
 def mtx16(spark, d):
     return visual_parents(table(spark, d, "embeddings"))
 

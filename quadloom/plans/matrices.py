@@ -51,8 +51,7 @@ def mtx3(spark, d):
     return c.groupBy("matrix_id", "root_i", "root_j").agg(F.count(F.lit(1)).alias("n_tiles")).filter("n_tiles >= 2").select(F.concat_ws("/", "matrix_id", "root_i").alias("part_id"), "n_tiles")
 
 
-_SHARED = f"""{CELLS_SQL}, sh as (select lag(matrix_id) over w as a, matrix_id as b, tile_id, lag(i) over w - i as di, lag(j) over w - j as dj from cells window w as (partition by tile_id order by matrix_id, i, j)),
-shared as (select * from sh where a is not null and a <> b),
+_SHARED = f"""{CELLS_SQL}, shared as (select x.matrix_id as a, y.matrix_id as b, tile_id, x.i - y.i as di, x.j - y.j as dj from cells x join cells y using (tile_id) where x.matrix_id < y.matrix_id),
 una as (select a, b, count(*) as n_shared, min(di) as di, min(dj) as dj from shared group by a, b having min(di) = max(di) and min(dj) = max(dj)),
 cf as (select u.a, u.b, count(*) filter (c.tile_id is not null and c.tile_id <> m.tile_id) as n_conflicts from una u join cells m on m.matrix_id = u.b left join cells c on c.matrix_id = u.a and c.i = m.i + u.di and c.j = m.j + u.dj group by u.a, u.b),
 good as (select u.* from una u join cf using (a, b) where n_conflicts = 0)"""
