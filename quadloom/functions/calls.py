@@ -3,38 +3,81 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quadloom.functions.callset import END_FRAME, MARKER, MARKER_POP, MARKER_PUSH, NO_SIDE_EFFECTS, RENDER, SWAP_RENDERTARGET, VERBOSE
 
-# fixed values: name patterns of the call classes, matched against the whole name, first match wins
-FLAG_PATTERNS = [
-    (r"gl([A-Z][a-z]+)*Draw(Range|Mesh)?(Arrays|Elements)([A-Z][a-zA-Z]*)?", RENDER),
-    (r"gl(CallLists?|Clear|End|DrawPixels|DrawTransformFeedback([A-Z][a-zA-Z]*)?|BlitFramebuffer|Rect[dfis]v?|EvalMesh[0-9]+)[0-9A-Z]*", RENDER),
-    (r"glBindFramebuffer[0-9A-Z]*", SWAP_RENDERTARGET),
-    (r"gl(GetFloat|GetInteger|GetVertexAttrib|GetTex(ture)?(Level)?Parameter)[A-Za-z0-9_]+", NO_SIDE_EFFECTS),
-    (r"IDXGI(Decode)?SwapChain[A-Za-z0-9_]*::Present[A-Za-z0-9_]*", END_FRAME),
-    (r"ID3D1(0Device|1DeviceContext)[0-9]*::(Draw[A-Za-z0-9_]*|ExecuteCommandList)", RENDER),
-    (r"ID3D1(0Device|1DeviceContext)[0-9]*::OMSetRenderTargets[A-Za-z0-9_]*", SWAP_RENDERTARGET),
-    (r"ID3D1[01]Device[0-9]*::(CheckFormatSupport|CheckMultisampleQualityLevels)", NO_SIDE_EFFECTS | VERBOSE),
-]
-# fixed values: exact names with their flags (the classes the pipeline meets)
-FLAG_NAMES = {
-    "glXSwapBuffers": END_FRAME, "wglSwapBuffers": END_FRAME, "eglSwapBuffers": END_FRAME, "CGLFlushDrawable": END_FRAME,
-    "glXGetCurrentContext": NO_SIDE_EFFECTS | VERBOSE, "glGetError": NO_SIDE_EFFECTS | VERBOSE, "glGetString": NO_SIDE_EFFECTS | VERBOSE, "glIsEnabled": NO_SIDE_EFFECTS | VERBOSE,
-    "glPushDebugGroup": MARKER | MARKER_PUSH, "glPopDebugGroup": MARKER | MARKER_POP, "glStringMarkerGREMEDY": MARKER,
+SWAP_BUFFERS = END_FRAME | SWAP_RENDERTARGET
+QUIET = NO_SIDE_EFFECTS | VERBOSE
+# fixed values: calls of the window systems and of markers, by class
+CALLS_BY_CLASS = {
+    SWAP_BUFFERS: ["eglSwapBuffers", "eglSwapBuffersWithDamageEXT", "eglSwapBuffersWithDamageKHR", "glXSwapBuffers", "glXSwapBuffersMscOML", "wglSwapBuffers", "wglSwapLayerBuffers", "wglSwapMultipleBuffers"],
+    END_FRAME: ["CGLFlushDrawable", "glFrameTerminatorGREMEDY"],
+    VERBOSE: ["eglGetConfigAttrib", "glXGetFBConfigAttrib", "glXGetFBConfigAttribSGIX", "wglGetPixelFormatAttribivARB", "wglGetPixelFormatAttribivEXT"],
+    QUIET: [
+        "CGLGetCurrentContext", "eglGetProcAddress", "eglQueryString", "glXGetClientString", "glXGetConfig", "glXGetCurrentContext", "glXGetCurrentDisplay", "glXGetCurrentDisplayEXT",
+        "glXGetCurrentDrawable", "glXGetCurrentReadDrawable", "glXGetCurrentReadDrawableSGI", "glXGetProcAddress", "glXGetProcAddressARB", "glXIsDirect", "glXQueryExtension", "glXQueryExtensionsString", "glXQueryVersion",
+        "wglDescribePixelFormat", "wglGetCurrentContext", "wglGetCurrentDC", "wglGetDefaultProcAddress", "wglGetExtensionsStringARB", "wglGetExtensionsStringEXT", "wglGetPixelFormat", "wglGetProcAddress",
+    ],
+    NO_SIDE_EFFECTS: ["eglSetDamageRegionKHR", "glBufferRegionEnabled", "glDebugMessageControl", "glDebugMessageControlARB", "glDebugMessageEnableAMD"],
+    MARKER | MARKER_PUSH: ["D3DPERF_BeginEvent", "ID3DUserDefinedAnnotation::BeginEvent"],
+    MARKER | MARKER_POP: ["D3DPERF_EndEvent", "ID3DUserDefinedAnnotation::EndEvent"],
+    MARKER: ["D3DPERF_SetMarker", "ID3DUserDefinedAnnotation::SetMarker", "glStringMarkerGREMEDY"],
 }
+# fixed values: queries that are known to no class, as they return pixels, places or results still to come
+UNCLASSED_GETTERS = ["AttribLocation", "UniformLocation", "FragDataLocation", "SubroutineIndex", "UniformBlockIndex", "QueryObject", "DebugMessageLog", "TexImage", "TextureImage", "PixelMap", "PolygonStipple", "TextureHandle", "TextureSamplerHandle", "ImageHandle"]
+UNCLASSED_NAMES = ["glGetHistogram", "glGetMinmax", "glGetSeparableFilter", "glGetConvolutionFilter"]  # their vendor forms have a class
+UNCLASSED_TESTS = ["HandleResident", "Path", "CommandList"]
 
 
 def call_flags(name: Column) -> Column:
-    """Flags of a call by its exact name, else by the first matching pattern, else 0."""
-    c = F.create_map(*[x for k, v in FLAG_NAMES.items() for x in (F.lit(k), F.lit(v))])[name]
-    p = None
-    for pattern, flags in FLAG_PATTERNS:
-        p = F.when(name.rlike(f"^(?:{pattern})$"), flags) if p is None else p.when(name.rlike(f"^(?:{pattern})$"), flags)
-    return F.coalesce(c, p.otherwise(0))
+    """Flags of a call, 0 where no class has it or the name is null.
+
+    A name is read in parts: the interface before ``::`` with its version number, or the ``gl`` verb
+    without the trailing capitals and digits that name a vendor.  Drawing decides first, then targets,
+    then queries, then the listed calls of window systems and markers.
+    """
+    verb = F.regexp_replace(F.substr(name, F.lit(3)), "[A-Z0-9]+$", "")
+    starts = lambda c, *xs: reduce(or_, [c.startswith(x) for x in xs])
+    holds = lambda c, *xs: reduce(or_, [c.contains(x) for x in xs])
+    gl = name.startswith("gl") & ~name.startswith("glX")
+    draws = (
+        holds(verb, *[f"Draw{k}{what}" for k in ("", "Range", "Mesh") for what in ("Arrays", "Elements")])
+        | verb.isin("CallList", "CallLists", "Clear", "End", "DrawPixels", "BlitFramebuffer", "EvalMesh") | verb.startswith("DrawTransformFeedback")
+        | verb.isin(*[f"Rect{t}{v}" for t in "dfis" for v in ("", "v")])
+    )
+    asks = verb.startswith("Get") & ~reduce(or_, [verb.rlike(f"^Getn?(?:Compressed)?{x}") for x in UNCLASSED_GETTERS]) & ~name.isin(UNCLASSED_NAMES)
+    tests = verb.startswith("Is") & ~holds(verb, *UNCLASSED_TESTS)
+    gl_flags = (
+        F.when(draws, RENDER).when(verb == "BindFramebuffer", SWAP_RENDERTARGET).when(verb.isin("GetString", "GetStringi") | tests, QUIET).when(asks, NO_SIDE_EFFECTS)
+        .when(verb.isin("DebugMessageInsert", "InsertEventMarker"), NO_SIDE_EFFECTS | MARKER).when(verb.isin("ObjectLabel", "ObjectPtrLabel") | starts(verb, "AreTexturesResident", "AreProgramsResident"), NO_SIDE_EFFECTS)
+        .when(verb.isin("PushDebugGroup", "PushGroupMarker"), MARKER | MARKER_PUSH).when(verb.isin("PopDebugGroup", "PopGroupMarker"), MARKER | MARKER_POP)
+    )
+    # Direct3D: interface, its version, and the method
+    face, method = F.substring_index(name, "::", 1), F.substring_index(name, "::", -1)
+    kind = F.regexp_replace(face, "[0-9]+(Ex)?$", "")
+    version = F.coalesce(F.regexp_extract(face, "([0-9]+)(?:Ex)?$", 1).try_cast("int"), F.lit(1))
+    late = face.startswith("ID3D10Device") | face.startswith("ID3D11DeviceContext")
+    dx_flags = (
+        F.when(late & (method.startswith("Draw") | (method == "ExecuteCommandList")), RENDER).when(late & method.startswith("OMSetRenderTargets"), SWAP_RENDERTARGET)
+        .when(starts(face, "IDXGISwapChain", "IDXGIDecodeSwapChain") & method.startswith("Present"), END_FRAME)
+        .when(kind.isin("ID3D10Device", "ID3D11Device", "ID3D") & starts(face, "ID3D10Device", "ID3D11Device") & method.isin("CheckFormatSupport", "CheckMultisampleQualityLevels"), QUIET)
+        .when((face == "ID3D11VideoProcessorEnumerator") & (method == "CheckVideoProcessorFormat"), QUIET)
+        .when((kind == "IDirect3DDevice") & (method.startswith("Draw") | (method == "Clear") & (version >= 7)), RENDER)
+        .when((kind == "IDirect3DDevice") & (version >= 8) & method.isin("Present", "PresentEx"), SWAP_BUFFERS)
+        .when((kind == "IDirect3DDevice") & (version >= 8) & (method == "SetRenderTarget"), SWAP_RENDERTARGET)
+        .when((kind == "IDirect3DDevice") & (version >= 9) & (method == "GetRenderTargetData"), END_FRAME)
+        .when((kind == "IDirect3DSwapChain") & (method == "Present"), SWAP_BUFFERS)
+        .when((kind == "IDirect3DViewport") & method.isin("Clear", "Clear2"), RENDER)
+        .when(kind.isin("IDirect3D", "IDirect3DDevice") & (version >= 8) & (method == "GetDeviceCaps"), QUIET)
+        .when((kind == "IDirect3D") & (version >= 8) & method.isin("CheckDeviceFormat", "EnumAdapterModes", "GetAdapterModeCount"), QUIET)
+    )
+    listed = F.create_map(*[F.lit(x) for flags, names in CALLS_BY_CLASS.items() for n in names for x in (n, flags)])[name]
+    return F.coalesce(F.when(gl, gl_flags), F.when(name.contains("::"), dx_flags), listed, F.lit(0))
 
 
 def arg_text(line: Column, name: str, value: str = r"[A-Z0-9_]+") -> Column:

@@ -196,7 +196,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_call_flags(spark):
-    names = {"glDrawElementsInstancedARB": 8, "glMultiDrawArrays": 8, "glClear": 8, "glBindFramebufferEXT": 16, "glGetIntegerv": 4, "glXSwapBuffers": 32, "glVertex": 0, "IDXGISwapChain1::Present1": 32}
+    names = {"glDrawElementsInstancedARB": 8, "glMultiDrawArrays": 8, "glClear": 8, "glBindFramebufferEXT": 16, "glGetIntegerv": 4, "glXSwapBuffers": 48, "glGetError": 4, "glGetHandleARB": 4, "glGetHistogram": 0, "glGetHistogramEXT": 4, "glVertex": 0, "IDXGISwapChain1::Present1": 32}
     for n, f in names.items():
         assert one(spark, calls.call_flags(F.lit(n)))[0] == f
     assert calls.sed_expression("s,a/b,c,") == ("a/b", "c")
