@@ -1,9 +1,10 @@
 """Filling containers of fixed token capacity with documents.
 
 Method: bin completion branch-and-bound.  A container is built around the largest document left; its
-undominated fillings are enumerated, largest documents first, and cut off where their waste cannot
-beat the best one known.  The best-fit-decreasing solution is the first incumbent, and a solution
-that meets the bound of total size over capacity ends the search.
+undominated fillings are enumerated, largest documents first, and cut off where their waste exceeds
+what a better solution allows.  The best-fit-decreasing solution is the first incumbent; the search
+goes on over all documents of a block and then over groups of its emptiest containers, and ends at a
+lower bound or a budget of steps.
 
 Documents are spread over blocks of about ``BLOCK_ITEMS`` by a hash of their id and packed block by
 block, so no task sees more than a block.  Only ids and sizes are shuffled, never text.
@@ -12,6 +13,7 @@ block, so no task sees more than a block.  Only ids and sizes are shuffled, neve
 from __future__ import annotations
 
 import base64
+import random
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,8 +26,10 @@ from quadloom.runtime import spread
 
 CAPACITY = 4096
 BLOCK_ITEMS = 8192
-NODES_PER_CONTAINER = 300
-SEARCH_NODES = 200_000
+NODES_PER_CONTAINER = 300  # steps to enumerate one container's fillings
+FILLINGS = 8  # fillings kept for a container
+SEARCH_STEPS = 20_000  # fillings tried for a block
+GROUP = 20  # fillings tried for each container of a group
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 OUT_SCHEMA = "doc_id bigint, piece_no int, n_pieces int, n_tokens int, container_id string, position int, token_offset int"
 
@@ -69,134 +73,209 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def completions(sizes: list[int], left: dict[int, int], order: list[int], free: int, nodes: int, width: int) -> list[tuple[int, ...]]:
-    """The best undominated fillings of ``free`` from the multiset ``left``, fullest first.
+def least_containers(sizes: list[int], capacity: int) -> int:
+    """A lower bound: total size over capacity, raised by the sizes that cannot share a container.
 
-    ``order`` holds the distinct sizes ascending.  Sizes are tried in descending order, so a filling
-    is found before the ones it dominates; a branch ends where all it could add cannot beat the
-    ``width`` best sums known.  After ``nodes`` steps the best so far are returned.
+    For a threshold k, sizes above capacity - k stand alone, those above half a container exclude each
+    other, and what sizes of k or more do not fit beside the latter needs containers of its own.
     """
-    best: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
+    if not sizes:
+        return 0
+    asc = sorted(sizes)
+    total = [0]
+    for x in asc:
+        total.append(total[-1] + x)
+    best = -(-total[-1] // capacity)
+    half = bisect_right(asc, capacity // 2)
+    for k in [0, *sorted({x for x in asc[:half]})]:
+        lone = bisect_right(asc, capacity - k)
+        lone_n, mid_n = len(asc) - lone, max(lone - half, 0)
+        low = bisect_right(asc, k - 1)
+        mid, small = total[max(lone, half)] - total[half], total[half] - total[min(low, half)]
+        best = max(best, lone_n + mid_n + max(0, -(-(small - (mid_n * capacity - mid)) // capacity)))
+    return best
+
+
+class Multiset:
+    """Sizes with how many of each are left."""
+
+    def __init__(self, sizes: list[int]) -> None:
+        self.left: dict[int, int] = {}
+        for s in sizes:
+            self.left[s] = self.left.get(s, 0) + 1
+        self.order = sorted(self.left)
+
+    def largest(self) -> int | None:
+        k = len(self.order) - 1
+        while k >= 0 and not self.left[self.order[k]]:
+            k -= 1
+        return self.order[k] if k >= 0 else None
+
+    def move(self, filling: tuple[int, ...], by: int) -> None:
+        for s in filling:
+            self.left[s] += by
+
+
+def dominated(chosen: list[int], slack: int, bag: Multiset) -> bool:
+    """Whether one size that was left out could take the place of one or two chosen ones.
+
+    Such a filling is at least as full, and what it sets free packs wherever the size would have.
+    ``bag`` no longer holds the chosen sizes.
+    """
+    def spare(low: int, high: int) -> bool:
+        k = bisect_right(bag.order, low - 1)
+        while k < len(bag.order) and bag.order[k] <= high:
+            if bag.left[bag.order[k]] > 0:
+                return True
+            k += 1
+        return False
+
+    n = len(chosen)
+    if slack and any(spare(s + 1, s + slack) for s in set(chosen)):
+        return True
+    return any(spare(t, t + slack) for t in {chosen[a] + chosen[b] for a in range(n) for b in range(a + 1, n)})
+
+
+def completions(bag: Multiset, free: int, waste: int, nodes: int = NODES_PER_CONTAINER, width: int = FILLINGS) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``free`` that leave at most ``waste`` of it unused, fullest first.
+
+    Sizes are tried in descending order.  A branch ends where even filling all that is left of it, or
+    all smaller sizes, leaves more unused than ``waste`` or than the worst of ``width`` known fillings.
+    After ``nodes`` steps the best so far are returned.
+    """
+    best: list[tuple[int, int, tuple[int, ...]]] = []  # unused, number of sizes, sizes
     chosen: list[int] = []
-    used: dict[int, int] = {}
+    order, left = bag.order, bag.left
+    steps = 0
 
-    def worst() -> int:
-        return best[-1][0] if len(best) >= width else -1
+    def limit() -> int:
+        return min(waste, best[-1][0] - 1) if len(best) >= width else waste
 
-    def go(room: int, top: int, total: int) -> bool:
+    def go(room: int, top: int) -> bool:
         nonlocal steps
         steps += 1
         k = min(top, bisect_right(order, room) - 1)
-        while k >= 0 and left[order[k]] - used.get(order[k], 0) <= 0:
+        while k >= 0 and left[order[k]] <= 0:
             k -= 1
         if k < 0:
-            if total > worst() or not best:
-                entry = (total, tuple(chosen))
+            if room <= limit() and not dominated(chosen, room, bag):
+                entry = (room, len(chosen), tuple(chosen))
                 if entry not in best:
-                    best.append(entry)
-                    best.sort(key=lambda x: (-x[0], len(x[1])))
+                    insort(best, entry)
                     del best[width:]
-            return bool(best) and best[0][0] == free and width == 1
+            return steps >= nodes
         while k >= 0:
             s = order[k]
-            n = left[s] - used.get(s, 0)
-            if n > 0:
+            if left[s] > 0:
+                if limit() < room - s < order[0]:  # nothing fits beside it, and it leaves too much
+                    k -= 1
+                    continue
+                left[s] -= 1
                 chosen.append(s)
-                used[s] = used.get(s, 0) + 1
-                stop = go(room - s, k, total + s)
-                used[s] -= 1
+                stop = go(room - s, k)
                 chosen.pop()
-                if stop or steps >= nodes:
+                left[s] += 1
+                if stop or steps >= nodes or limit() < 0:
                     return True
-                if best and best[0][0] == free and len(best) >= width:
-                    return True
-                if best and best[0][0] - total >= room:  # an exact filling below this branch is known
-                    return False
             k -= 1
         return False
 
-    go(free, len(order) - 1, 0)
-    return [c for _, c in best]
+    go(free, len(order) - 1)
+    return [c for _, _, c in best]
 
 
-def pack(sizes: list[int], capacity: int, nodes: int = NODES_PER_CONTAINER, search_nodes: int = SEARCH_NODES) -> list[list[int]]:
-    """Positions of ``sizes`` (1..capacity each) by container."""
-    if not sizes:
-        return []
-    incumbent = best_fit_decreasing(sizes, capacity)
-    bound = -(-sum(sizes) // capacity)
-    if len(incumbent) == bound:
-        return incumbent
-    left: dict[int, int] = {}
-    for s in sizes:
-        left[s] = left.get(s, 0) + 1
-    order = sorted(left)
-    slack = (len(incumbent) - 1) * capacity - sum(sizes)  # waste allowed to any better solution
-    width = 4
-    solution: list[tuple[int, ...]] | None = None
-    # depth-first over containers; each level keeps its untried fillings
-    stack: list[tuple[list[tuple[int, ...]], int, int]] = []
+def search(sizes: list[int], capacity: int, most: int, steps: int) -> tuple[list[tuple[int, ...]] | None, int]:
+    """Depth-first bin completion: a filling of at most ``most`` containers, and the steps it took.
+
+    Each level builds a container around the largest size left; a level whose fillings would waste
+    more than ``most`` containers allow has none, and the level above takes its next one.
+    """
+    bag = Multiset(sizes)
+    slack = most * capacity - sum(sizes)
+    if slack < 0:
+        return None, 0
     taken: list[tuple[int, ...]] = []
-    waste = spent = 0
-
-    def level() -> list[tuple[int, ...]]:
-        big = next((s for s in reversed(order) if left[s] > 0), None)
-        if big is None:
-            return []
-        left[big] -= 1
-        found = [(big, *c) for c in completions(sizes, left, order, capacity - big, nodes, width)]
-        left[big] += 1
-        return found
+    n_left, wasted, spent = len(sizes), 0, 0
 
-    def put(f: tuple[int, ...], by: int) -> None:
-        for s in f:
-            left[s] += by
+    def options() -> list[tuple[int, ...]]:
+        big = bag.largest()
+        bag.left[big] -= 1
+        found = [(big, *c) for c in completions(bag, capacity - big, capacity if n_left == 1 else slack - wasted)]
+        bag.left[big] += 1
+        return found
 
-    n_left = len(sizes)
-    stack.append((level(), 0, 0))
-    while stack:
-        options, at, was = stack.pop()
-        if at >= len(options) or spent >= search_nodes:
+    stack = [iter(options())]
+    while stack and spent < steps:
+        f = next(stack[-1], None)
+        if f is None:
+            stack.pop()
             if taken:
                 f = taken.pop()
-                put(f, 1)
+                bag.move(f, 1)
                 n_left += len(f)
-                waste -= capacity - sum(f)
-            if spent >= search_nodes and solution is not None:
-                break
+                wasted -= capacity - sum(f)
             continue
-        stack.append((options, at + 1, was))
-        f = options[at]
         spent += 1
-        w = capacity - sum(f)
-        last = n_left == len(f)
-        if not last and waste + w > slack:
-            if spent >= search_nodes:
-                break
-            continue
-        put(f, -1)
+        bag.move(f, -1)
         taken.append(f)
         n_left -= len(f)
-        waste += w
-        if last:
-            if len(taken) < len(incumbent) and (solution is None or len(taken) < len(solution)):
-                solution = list(taken)
-                slack = (len(solution) - 1) * capacity - sum(sizes)
-            if solution is not None and len(solution) == bound:
-                break
-            f = taken.pop()
-            put(f, 1)
-            n_left += len(f)
-            waste -= capacity - sum(f)
-            continue
-        stack.append((level(), 0, 0))
-    if solution is None:
-        return incumbent
+        wasted += capacity - sum(f)
+        if not n_left:
+            return taken, spent
+        stack.append(iter(options()))
+    return None, spent
+
+
+def pack(sizes: list[int], capacity: int, steps: int = SEARCH_STEPS) -> list[list[int]]:
+    """Positions of ``sizes`` (1..capacity each) by container.
+
+    Best-fit decreasing is the incumbent.  The search tries to do with one container less: first all
+    sizes, then groups of containers whose unused space adds up to a container or more, the emptiest
+    first and then in seeded random order.  It ends at the lower bound, or after ``steps`` fillings
+    with the best packing known.
+    """
+    if not sizes:
+        return []
+    found = best_fit_decreasing(sizes, capacity)
+    least = least_containers(sizes, capacity)
+    if len(found) == least:
+        return found
+    packing = [tuple(sizes[i] for i in c) for c in found]
+    start = packing
+    whole, spent = search(sizes, capacity, len(packing) - 1, min(steps // 4, 2 * len(packing)))
+    steps -= spent
+    if whole is not None:
+        packing = whole
+    rng = random.Random(len(sizes))
+    tries = 0
+    while len(packing) > least and steps > 0:
+        if tries:
+            rng.shuffle(packing)
+        else:
+            packing.sort(key=lambda f: (sum(f), f))
+        k = unused = 0
+        while k < len(packing) and (unused < capacity or (tries % 4 == 3 and k < 2 * GROUP)):
+            unused += capacity - sum(packing[k])
+            k += 1
+        if unused < capacity:
+            break
+        part = [s for f in packing[:k] for s in f]
+        better = None
+        if least_containers(part, capacity) < k:
+            better, spent = search(part, capacity, k - 1, min(steps, GROUP * k))
+            steps -= spent
+        steps -= 1
+        if better is not None:
+            packing = [*better, *packing[k:]]
+            tries = 0
+        else:
+            tries += 1
+    if packing is start:
+        return found
     where: dict[int, list[int]] = {}
     for i, s in enumerate(sizes):
         where.setdefault(s, []).append(i)
-    return [[where[s].pop() for s in f] for f in solution]
+    return [[where[s].pop() for s in f] for f in packing]
 
 
 def _cut(capacity: int, blocks: int):
