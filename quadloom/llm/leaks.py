@@ -1,18 +1,22 @@
 """Evaluation passages inside training documents.
 
-Method: every window of ``WINDOW`` words is embedded by a random walk that turns edit distance into
-Hamming distance (each step copies the current word and, by a random bit for the word and the step,
-moves on or stays).  ``REPEATS`` walks are sampled at ``SAMPLED`` places each; windows of documents
-and items that agree at all places of a walk are candidates, which an exact edit-distance check
-confirms.  A leak of 14 words with one edit holds a window whose first seven words are intact, so the
-windows are sized by the smallest leak, and every item is covered by its windows at all offsets.
-
-All items travel with the tasks, in blocks of at most ``ITEM_BLOCK``: they are the stated query set.
-Documents are read once a block and never shuffled.
+Method: every window of ``WINDOW`` words, the size of the smallest leak of an item, is embedded by
+random walks that turn edit distance into Hamming distance (each step copies the current word and, by
+a random bit for the word and the step, moves on or stays).  Each of ``WALKS`` walks is sampled
+``SETS`` times at ``SAMPLED`` places; windows of documents and items that agree at all places of a
+sample are candidates, which an exact edit-distance check confirms.  Every item is covered by its
+windows at all offsets, so parts of an item are found as well.
+
+Items are the stated query set: up to ``ITEM_BLOCK`` of them travel with the tasks.  More are indexed in
+blocks, in parallel, into the shared folder, and each task takes its documents past one block after
+the other.  Documents are read once, whatever the number of items, and dealt out over the tasks only
+where few files hold them.
 """
 
 from __future__ import annotations
 
+import html
+import pickle
 import re
 import unicodedata
 from collections import defaultdict
@@ -20,73 +24,88 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm.mojibake import look_alike
-from quadloom.runtime import spread
+from quadloom.runtime import Scratch, ship_package, spread
 
 MIN_WORDS = 14  # fixed values of the definition: words of the item, and words an edit
 WORDS_PER_EDIT = 8
-WINDOW = 8
-STEPS = 14
+WINDOW = MIN_WORDS
+STEPS = 2 * WINDOW
+WALKS = 6
+SETS = 4
 SAMPLED = 5
-REPEATS = 16
 ITEM_BLOCK = 5000
-_TAG = re.compile(r"<[^<>\n]{1,40}>")
+DOC_BATCH = 512
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)\b[^<>]*>|<!--.*?-->|<![^<>]*>|<\?[^<>]*>", re.S)
+# fixed values: elements that begin a new line or cell; other tags stand inside words
+_BREAKS = frozenset("address article aside blockquote br caption dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td tfoot th thead tr ul".split())
+_LINK = re.compile(r"\]\([^()\s]*\)")
 _SPLIT_WORD = re.compile(r"(?<=\w)-[ \t]*\r?\n[ \t]*(?=\w)")
 _NOT_ALNUM = re.compile(r"[\W_]+")
-_OTHER, _GAP = -1, -2
+_GAP = np.int64(-1)  # no word; hashes of words are not negative
 
 
-def normal_text(text: str) -> str:
-    """Text without case, markup, invisible characters, accents, line-end hyphens, look-alikes and width variants."""
+def plain_text(text: str) -> str:
+    """Text without markup of any length, entities, link targets and line-end hyphens."""
     if "<" in text:
-        text = _TAG.sub("", text)
-    if "-\n" in text or "-\r" in text or "- " in text:
+        text = _TAG.sub(lambda m: " " if m[2] and m[2].lower() in _BREAKS else "", text)
+    if "&" in text:
+        text = html.unescape(text)
+    if "](" in text:
+        text = _LINK.sub("", text)
+    if "-\n" in text or "-\r" in text or "- " in text or "-\t" in text:
         text = _SPLIT_WORD.sub("", text)
-    if not text.isascii():
-        text = look_alike(text)
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join([ch for ch in text if ch.isascii() or unicodedata.category(ch) not in ("Mn", "Cf")])
-    return text.casefold()
+    return text
+
+
+def normal_token(token: str) -> list[str]:
+    """Words of one piece between blanks: without case, invisible characters, accents, look-alikes, width variants and punctuation."""
+    if not token.isascii():
+        token = unicodedata.normalize("NFKD", look_alike(token))
+        token = "".join([ch for ch in token if ch.isascii() or unicodedata.category(ch) not in ("Mn", "Cf")])
+    return [w for w in (_NOT_ALNUM.sub("", x) for x in token.casefold().split()) if w]
 
 
 def normal_words(text: str | None) -> list[str]:
-    """Words between blanks, without punctuation; those of punctuation alone are left out."""
-    if not text:
-        return []
-    return [w for w in (_NOT_ALNUM.sub("", x) for x in normal_text(text).split()) if w]
+    """Words between blanks in their normal form; pieces of punctuation alone are left out."""
+    return [w for x in plain_text(text).split() for w in normal_token(x)] if text else []
 
 
-class Words:
-    """Word ids of the items; words they don't have get ``_OTHER``, punctuation is dropped."""
+class Tokens(dict):
+    """Hash of each piece between blanks: of its word, the gap for none; pieces of several words are kept apart."""
 
-    def __init__(self, item_words: list[list[str]]) -> None:
-        self.ids: dict[str, int] = {}
-        for ws in item_words:
-            for w in ws:
-                self.ids.setdefault(w, len(self.ids))
-        self.memo: dict[str, int] = {}
+    def __init__(self) -> None:
+        self.many: dict[int, list[int]] = {}
 
-    def __getstate__(self):
-        return {"ids": self.ids, "memo": {}}
+    def __missing__(self, token: str) -> int:
+        ws = [xxhash.xxh64_intdigest(w) >> 2 for w in normal_token(token)]
+        got = ws[0] if len(ws) == 1 else -1
+        if len(ws) > 1:
+            got = -2 - len(self.many)
+            self.many[got] = ws
+        self[token] = got
+        return got
 
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int64)
-        memo = self.memo
-        if len(memo) > 500_000:
-            memo.clear()
-        out = []
-        for x in normal_text(text).split():
-            i = memo.get(x)
-            if i is None:
-                w = _NOT_ALNUM.sub("", x)
-                i = memo[x] = self.ids.get(w, _OTHER) if w else _GAP
-            out.append(i)
-        a = np.array(out, np.int64)
-        return a[a != _GAP]
+
+_TOKENS = Tokens()
+
+
+def encode(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text."""
+    if not text:
+        return np.zeros(0, np.int64)
+    if len(_TOKENS) > 500_000:
+        _TOKENS.clear()
+        _TOKENS.many.clear()
+    got = list(map(_TOKENS.__getitem__, plain_text(text).split()))
+    if got and min(got) < -1:
+        got = [w for x in got for w in (_TOKENS.many[x] if x < -1 else (x,))]
+    a = np.array(got, np.int64)
+    return a[a >= 0]
 
 
 class Walks:
@@ -94,29 +113,34 @@ class Walks:
 
     def __init__(self, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        self.salt = rng.integers(1, 1 << 62, (REPEATS, STEPS), dtype=np.int64).astype(np.uint64)
-        # early places depend on few words: half of the walks look at the first WINDOW steps only
-        self.places = [np.sort(rng.choice(WINDOW - (r % 4 == 0) if r % 2 == 0 else STEPS, SAMPLED, replace=False)) for r in range(REPEATS)]
-        self.mult = rng.integers(1, 1 << 62, (REPEATS, SAMPLED), dtype=np.int64).astype(np.uint64) | np.uint64(1)
-
-    def keys(self, ids: np.ndarray, starts: np.ndarray, r: int) -> np.ndarray:
-        """Key of walk ``r`` for the windows that begin at ``starts``; ``ids`` is padded by WINDOW."""
-        at = starts.copy()
-        end = starts + WINDOW
-        out = np.full(len(starts), r + 1, np.uint64)
-        k = 0
-        places = self.places[r]
+        self.salt = rng.integers(1, 1 << 62, (WALKS, STEPS), dtype=np.int64).astype(np.uint64)
+        # the words after an edit may stay out of step: some samples look at the first part of a walk only
+        reach = [STEPS, STEPS * 3 // 4, STEPS // 2, STEPS // 2]
+        self.places = [[np.sort(rng.choice(reach[k % len(reach)], SAMPLED, replace=False)) for k in range(SETS)] for _ in range(WALKS)]
+        self.mult = rng.integers(1, 1 << 62, (WALKS, SETS, SAMPLED), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+
+    def keys(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """Keys of all samples for the windows that begin at ``starts``; ``ids`` is padded by WINDOW."""
         with np.errstate(over="ignore"):
-            for step in range(int(places[-1]) + 1):
-                sym = np.where(at < end, ids[np.minimum(at, len(ids) - 1)], np.int64(_GAP))
-                x = (sym.astype(np.uint64) + np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15)
-                if k < SAMPLED and places[k] == step:
-                    out = (out ^ (x ^ (x >> np.uint64(29)))) * self.mult[r, k]
-                    out ^= out >> np.uint64(31)
-                    k += 1
-                h = (x ^ self.salt[r, step]) * np.uint64(0xBF58476D1CE4E5B9)
-                at = at + ((h >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
-        return out
+            mixed = (ids.astype(np.uint64) + np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            gap = mixed.dtype.type((int(_GAP) + 3) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+            gap ^= gap >> np.uint64(29)
+            end = starts + WINDOW
+            for r in range(WALKS):
+                at = starts.copy()
+                out = [np.full(len(starts), r * SETS + k + 1, np.uint64) for k in range(SETS)]
+                seen = [0] * SETS
+                for step in range(max(int(p[-1]) for p in self.places[r]) + 1):
+                    x = np.where(at < end, mixed[at], gap)
+                    for k in range(SETS):
+                        if seen[k] < SAMPLED and self.places[r][k][seen[k]] == step:
+                            o = (out[k] ^ x) * self.mult[r, k, seen[k]]
+                            out[k] = o ^ (o >> np.uint64(31))
+                            seen[k] += 1
+                    h = (x ^ self.salt[r, step]) * np.uint64(0xBF58476D1CE4E5B9)
+                    at += ((h >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
+                yield from out
 
 
 def leaks(item: np.ndarray, part: np.ndarray) -> bool:
@@ -153,109 +177,132 @@ def leaks(item: np.ndarray, part: np.ndarray) -> bool:
 
 
 class Index:
-    """Walk keys of all windows of a block of items."""
+    """Keys of all windows of a block of items."""
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
-        named = [(i, normal_words(t)) for i, t in items]
-        named = [(i, ws) for i, ws in named if len(ws) >= MIN_WORDS]
-        self.words = Words([ws for _, ws in named])
-        self.items = [(i, np.array([self.words.ids[w] for w in ws], np.int64)) for i, ws in named]
+        self.items = [(i, w) for i, w in ((i, encode(t)) for i, t in items) if len(w) >= MIN_WORDS]
+        self.vocab = np.unique(np.concatenate([w for _, w in self.items])) if self.items else np.zeros(0, np.int64)
         self.walks = Walks()
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if not self.items:
             return
-        flat = np.concatenate([np.concatenate([ids, np.full(WINDOW, _GAP)]) for _, ids in self.items])
-        begin = np.cumsum([0] + [len(ids) + WINDOW for _, ids in self.items[:-1]])
-        starts = np.concatenate([b + np.arange(len(ids) - WINDOW + 3) for b, (_, ids) in zip(begin, self.items)])
-        which = np.concatenate([np.full(len(ids) - WINDOW + 3, k) for k, (_, ids) in enumerate(self.items)])
-        for r in range(REPEATS):
-            key = self.walks.keys(flat, starts, r)
-            pair = np.unique(np.stack([key, which.astype(np.uint64)], 1), axis=0)
-            u, first, n = np.unique(pair[:, 0], return_index=True, return_counts=True)
-            self.tables.append((u, first, pair[:, 1].astype(np.int64)))
-
-    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(position of an item, sorted window starts in ``ids``) for all agreeing windows."""
-        known = np.concatenate([[0], np.cumsum(ids >= 0)])
-        n = len(ids)
-        if n == 0 or not self.items:
-            return
-        # a window can only take part where 14 words hold 11 or more of the items' words
-        lo = np.arange(n)
-        wide = known[np.minimum(lo + MIN_WORDS, n)] - known[lo]
-        dense = wide >= MIN_WORDS - 3
-        reach = np.concatenate([[0], np.cumsum(dense)])
-        near = reach[lo + 1] - reach[np.maximum(lo - MIN_WORDS + 1, 0)] > 0
-        starts = np.flatnonzero(near & (known[np.minimum(lo + WINDOW, n)] - known[lo] >= WINDOW - 3))
+        pad = np.full(WINDOW, _GAP)
+        flat = np.concatenate([x for _, w in self.items for x in (w, pad)])
+        size = np.array([len(w) - WINDOW + 3 for _, w in self.items])
+        begin = np.cumsum([0] + [len(w) + WINDOW for _, w in self.items[:-1]])
+        which = np.repeat(np.arange(len(size)), size)
+        starts = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        for key in self.walks.keys(flat, starts):
+            order = np.lexsort((which, key))
+            k, w = key[order], which[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])])
+            u, first = np.unique(k[new], return_index=True)
+            self.tables.append((u, np.append(first, new.sum()), w[new]))
+
+    def found(self, docs: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Position of the document and id of the item of every leak into the given documents."""
+        if not self.items or not docs:
+            return []
+        pad = np.full(WINDOW, _GAP)
+        flat = np.concatenate([x for w in docs for x in (w, pad)])
+        begin = np.cumsum([0] + [len(w) + WINDOW for w in docs])
+        place = np.minimum(np.searchsorted(self.vocab, flat), len(self.vocab) - 1)
+        known = np.concatenate([[0], np.cumsum(self.vocab[place] == flat)])
+        # a leak's first window holds all of MIN_WORDS words but one edit, or two at its end
+        lo = np.arange(len(flat) - WINDOW)
+        starts = lo[known[lo + WINDOW] - known[lo] >= WINDOW - 3]
         if not len(starts):
-            return
-        padded = np.concatenate([ids, np.full(WINDOW, _GAP)])
+            return []
         at_all, item_all = [], []
-        for r, (u, first, which) in enumerate(self.tables):
-            key = self.walks.keys(padded, starts, r)
+        for (u, first, which), key in zip(self.tables, self.walks.keys(flat, starts)):
             pos = np.minimum(np.searchsorted(u, key), len(u) - 1)
             hit = np.flatnonzero(u[pos] == key)
-            if not len(hit):
-                continue
-            last = np.append(first[1:], len(which))
-            a, b = first[pos[hit]], last[pos[hit]]
-            cnt = b - a
-            rep = np.repeat(np.arange(len(hit)), cnt)
+            a = first[pos[hit]]
+            cnt = first[pos[hit] + 1] - a
             off = np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-            at_all.append(starts[hit[rep]])
-            item_all.append(which[a[rep] + off])
-        if not at_all:
-            return
-        pairs = np.unique(np.stack([np.concatenate(item_all), np.concatenate(at_all)], 1), axis=0)
-        cut = np.flatnonzero(np.diff(pairs[:, 0])) + 1
-        for part in np.split(pairs, cut):
-            yield int(part[0, 0]), part[:, 1]
-
-    def found(self, ids: np.ndarray) -> list[int]:
-        """Ids of the items that leak into one document."""
+            at_all.append(np.repeat(starts[hit], cnt))
+            item_all.append(which[np.repeat(a, cnt) + off])
+        at, item = np.concatenate(at_all), np.concatenate(item_all)
+        if not len(at):
+            return []
+        doc = np.searchsorted(begin, at, side="right") - 1
+        order = np.lexsort((at, item, doc))
+        doc, item, at = doc[order], item[order], at[order]
+        cut = np.flatnonzero((doc[1:] != doc[:-1]) | (item[1:] != item[:-1])) + 1
         out = []
-        for k, at in self.candidates(ids):
-            item_id, item = self.items[k]
-            reach = len(item) + len(item) // WORDS_PER_EDIT + 2
-            groups = np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1)
-            for g in groups:
-                if leaks(item, ids[max(0, g[0] - reach) : g[-1] + WINDOW + reach]):
-                    out.append(item_id)
+        for part in np.split(np.arange(len(at)), cut):
+            d, k = int(doc[part[0]]), int(item[part[0]])
+            item_id, words = self.items[k]
+            where = at[part] - begin[d]
+            reach = len(words) + len(words) // WORDS_PER_EDIT + 2
+            for g in np.split(where, np.flatnonzero(np.diff(where) > 2 * reach) + 1):
+                if leaks(words, docs[d][max(0, int(g[0]) - reach) : int(g[-1]) + WINDOW + reach]):
+                    out.append((d, item_id))
                     break
         return out
 
 
-def _mapper(index: Index):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
+_PAIRS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
+
+
+def _read(path: str) -> Index:
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(at, compression=None) as f:
+        return pickle.loads(f.read())
+
 
+def _mapper(index: Index | None, paths: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = index.words.encode(text)
-                if len(ids) >= MIN_WORDS - 2 and (ids >= 0).sum() >= MIN_WORDS - 3:
-                    rows += [{"doc_id": doc_id, "item_id": i} for i in index.found(ids)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            rows: list[tuple[int, int]] = []
+            keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            some = [(k, w) for k, w in zip(keys, map(encode, texts)) if len(w) >= MIN_WORDS - 2]
+            for ix in [index] if index else map(_read, paths):
+                for i in range(0, len(some), DOC_BATCH):
+                    part = some[i : i + DOC_BATCH]
+                    rows += [(part[d][0], item) for d, item in ix.found([w for _, w in part])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], schema=_PAIRS)
 
     return run
 
 
+def write_indexes(items: DataFrame, blocks: int) -> list[str]:
+    """The items' indexes in the shared folder, a file a block, made by the tasks that hold the blocks."""
+    base = f"{Scratch(items.sparkSession, 'leaks').base}/index"
+
+    def run(t: pa.Table) -> pa.Table:
+        from pyarrow import fs
+
+        b = t.column("block")[0].as_py()
+        store, at = fs.FileSystem.from_uri(base)
+        store.create_dir(at, recursive=True)
+        data = pickle.dumps(Index(list(zip(t.column("item_id").to_pylist(), t.column("text").to_pylist()))))
+        with store.open_output_stream(f"{at}/{b:06d}", compression=None) as f:
+            f.write(data)
+        return pa.table({"path": [f"{base}/{b:06d}"]})
+
+    made = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(run, "path string")
+    return sorted(r["path"] for r in made.collect())  # one name a block
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
     """Distinct ``doc_id, item_id`` where the document contains a passage of the item.
 
     Null or short texts and items under 14 words give nothing.  Repeated rows of one document give
-    one row a pair.  Items are taken in blocks of about ``item_block``, each block in a pass of its own.
+    one row a pair.  More than ``item_block`` items are taken in blocks of about that size, all in one
+    pass over the documents.
     """
+    ship_package(docs.sparkSession)
     items = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     n = items.count()
-    blocks = max(1, -(-n // item_block))
-    out = None
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        index = Index([(r["item_id"], r["text"]) for r in part.collect()])  # one block of the stated query set
-        hits = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(_mapper(index), "doc_id bigint, item_id bigint")
-        out = hits if out is None else out.unionByName(hits)
-    return out.distinct()
+    index, paths = None, []
+    if n <= item_block:
+        index = Index([(r["item_id"], r["text"]) for r in items.collect()])  # bounded by item_block
+    else:
+        paths = write_indexes(items, -(-n // item_block))
+    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(_mapper(index, paths), "doc_id bigint, item_id bigint").distinct()
 
 
 def leak_report(pairs: DataFrame) -> DataFrame:
@@ -272,7 +319,7 @@ def brute_force(docs: list[tuple[int, str]], items: list[tuple[int, str]]) -> se
             grams[tuple(ids[i : i + 5])].add(k)
     out = set()
     for doc_id, text in docs:
-        ids = index.words.encode(text)
+        ids = encode(text)
         near = {k for i in range(len(ids) - 4) for k in grams.get(tuple(ids[i : i + 5]), ())}
         out |= {(doc_id, index.items[k][0]) for k in near if leaks(index.items[k][1], ids)}
     return out
