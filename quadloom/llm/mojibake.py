@@ -6,12 +6,15 @@ chain; the chain is inverted and the result must decode strictly and read better
 Words whose characters were lost (replacement characters, question marks) have their own class and
 are restored from clean words of the same pattern where only one fits.
 
-The classifier is fitted on a bounded sample of documents (``SAMPLE_DOCS``); every document and every
-word of it is then classified.
+Only the bigram weights are fitted on a bounded sample of documents (``SAMPLE_DOCS``).  The words of all
+documents are counted, each distinct one is classified once, and which words are known, which occur
+more often than what they invert to, and which lost pattern has one clean word only are joins over
+all documents' words.  A last pass over the documents looks their words up among the garbled ones.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -23,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.runtime import spread
+from quadloom.runtime import Scratch, ship_package, spread
 
 SAMPLE_DOCS = 6000
 HASH_BITS = 15
 MARGIN = 3.0
+COUNTED_AT_ONCE = 200_000
+WORDS_A_BLOCK = 300_000
 # fixed values: (encoding the bytes were read with, encoding they were written in), applied in order when inverted
 CHAINS: list[tuple[tuple[str, str], ...]] = [
     *[((w, "utf-8"),) for w in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859-2", "iso8859-15", "koi8-r", "cp866", "cp1254")],
@@ -111,6 +116,11 @@ def shape(word: str) -> str:
     return _DIGITS.sub("0", word)
 
 
+def shapes(words: list[str]) -> list[str]:
+    """``shape`` of all words in one pass; no word holds a line end."""
+    return _DIGITS.sub("0", "\n".join(words)).split("\n") if words else []
+
+
 def words_of(text: str | None) -> list[str]:
     """Words with a character beyond ASCII, or a question mark before a letter."""
     return _WORD.findall(text) if text else []
@@ -154,36 +164,44 @@ class Model:
         back = invert(word, chain) if chain else None
         return name, back if back is not None else self._restore_lost(word)
 
-    def _judge(self, word: str) -> tuple[str, str] | None:
-        if "�" in word:  # only a decoder writes this character
-            return LOST, self._restore_lost(word)
-        known = _folded(word) in self.words
+    def candidates(self, word: str) -> list[tuple[float, int, str, bool]]:
+        """(score, class, restored word, whether it stands without being known), best first.
+
+        Whole words, then words of which only some characters were garbled; a restored word must read
+        better than the word did.  A one-byte chain always inverts: what it restores must be a known
+        word, unless the word was garbled for the most part.
+        """
         s, n = self.scores(word), len(bigrams(word))
-        clean, best, found = s[0], s[0] / n, None
-        # whole words, then words of which only some characters were garbled; the cleanest result wins
+        out = []
         for k, c in enumerate(self.classes):
             if not isinstance(c, tuple):
                 continue
-            back = invert(word, c) if s[k] > clean + MARGIN else None
+            back = invert(word, c) if s[k] > s[0] + MARGIN else None
             if back is None or back == word or "�" in back:
                 back = self._invert_parts(word, k, c)
-            if back is not None and c[-1][1] != "utf-8" and not self._plausible(word, back):
+            if back is None or not _readable(back) or _folded(back) == _folded(word):
                 continue
-            if back is None or not _readable(back) or _folded(back) == _folded(word) or known and _folded(back) not in self.words:
+            utf8 = c[-1][1] == "utf-8"
+            if not utf8 and (_letters(back) < 3 or look_alike(word).isascii()):
                 continue
             # several bytes that form valid UTF-8 rarely do so by chance
-            score = self.scores(back)[0] / len(bigrams(back)) + (0.5 if c[-1][1] == "utf-8" else 0.0)
-            if score > best:
-                best, found = score, (chain_name(c), back)
-        if found is None and lost_form(word) and s[1] > clean + MARGIN:
-            return LOST, self._restore_lost(word)
-        return found
+            score = float(self.scores(back)[0] / len(bigrams(back)) + (0.5 if utf8 else 0.0))
+            if score > s[0] / n:
+                out.append((score, k, back, utf8 or 2 * sum(not ch.isascii() for ch in word) >= len(word)))
+        return sorted(out, key=lambda x: (-x[0], x[1]))
+
+    def lost(self, word: str) -> bool:
+        """Whether characters were lost: only a decoder writes U+FFFD; question marks are judged."""
+        return "�" in word or lost_form(word) and bool(np.subtract(*self.scores(word)[[1, 0]]) > MARGIN)
 
-    def _plausible(self, word: str, back: str) -> bool:
-        """One-byte chains always invert: ask for a known word, or for a word garbled for the most part."""
-        if _letters(back) < 3 or look_alike(word).isascii():
-            return False
-        return _folded(back) in self.words or 2 * sum(not ch.isascii() for ch in word) >= len(word)
+    def _judge(self, word: str) -> tuple[str, str] | None:
+        if "�" in word:
+            return LOST, self._restore_lost(word)
+        known = _folded(word) in self.words
+        for _, k, back, free in self.candidates(word):
+            if _folded(back) in self.words or free and not known:
+                return chain_name(self.classes[k]), back
+        return (LOST, self._restore_lost(word)) if self.lost(word) else None
 
     def _invert_parts(self, word: str, k: int, chain: tuple[tuple[str, str], ...]) -> str | None:
         """The word with every span restored that inverts strictly, if those spans look like the chain's work."""
@@ -311,53 +329,193 @@ def fit(counts: dict[str, int], passes: int = 3) -> Model:
     return model
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words by shape with the number of documents that hold them, combined within the task."""
+    schema = pa.schema([("w", pa.string()), ("n", pa.int64())])
+    c: Counter = Counter()
+    for b in batches:
+        for t in b.column("text").to_pylist():
+            c.update(set(shapes(words_of(t))))
+        if len(c) > COUNTED_AT_ONCE:
+            yield pa.RecordBatch.from_pydict({"w": list(c), "n": list(c.values())}, schema=schema)
+            c = Counter()
+    yield pa.RecordBatch.from_pydict({"w": list(c), "n": list(c.values())}, schema=schema)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``w, n``: distinct words (by shape) of all documents and how many documents hold each."""
+    return spread(docs.select("text")).mapInArrow(_count_words, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+
+
 def sample_counts(docs: DataFrame, max_docs: int = SAMPLE_DOCS) -> dict[str, int]:
-    """Counts of words in about ``max_docs`` documents chosen by a hash of their id."""
+    """Counts of words in about ``max_docs`` documents chosen by a hash of their id, to fit the classifier.
+
+    Words of more than 60 characters are left out of the fit; they are classified like all others.
+    """
     n = docs.count()
     share = min(1.0, max_docs / max(n, 1))
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+    return {r["w"]: r["n"] for r in some.select("text").mapInArrow(_count_words, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).filter(F.length("w") <= 60).collect()}
+
+
+_CLASSED = pa.schema([
+    ("w", pa.string()), ("n", pa.int64()), ("folded", pa.string()), ("usable", pa.bool_()), ("lost", pa.bool_()), ("pattern", pa.string()),
+    ("cands", pa.list_(pa.struct([("k", pa.int32()), ("back", pa.string()), ("folded", pa.string()), ("shaped", pa.string()), ("score", pa.float64()), ("free", pa.bool_()), ("often", pa.int32())]))),
+])
+_CLASSED_SQL = "w string, n bigint, folded string, usable boolean, lost boolean, pattern string, cands array<struct<k:int,back:string,folded:string,shaped:string,score:double,free:boolean,often:int>>"
+
+
+def _classify(model: Model):
+    """Everything about a distinct word that needs no other word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
         for b in batches:
-            for t in b.column("text").to_pylist():
-                c.update({shape(w) for w in words_of(t) if len(w) <= 60})
-        yield pa.RecordBatch.from_pydict({"w": list(c), "n": list(c.values())}, schema=pa.schema([("w", pa.string()), ("n", pa.int64())]))
+            rows = []
+            for w, n in zip(b.column("w").to_pylist(), b.column("n").to_pylist()):
+                cands = [] if "�" in w else [
+                    {"k": k, "back": back, "folded": _folded(back), "shaped": shape(back), "score": score, "free": free, "often": 1 if model.classes[k][-1][1] == "utf-8" else 5} for score, k, back, free in model.candidates(w)
+                ]
+                lost = model.lost(w)
+                rows.append({"w": w, "n": n, "folded": _folded(w), "usable": _readable(w) and not lost_form(w), "lost": lost, "pattern": _lost_pattern(w) if lost else None, "cands": cands})
+            yield pa.RecordBatch.from_pylist(rows, schema=_CLASSED)
 
-    return {r["w"]: r["n"] for r in some.select("text").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    return run
+
+
+def _lost_pattern(word: str) -> str | None:
+    m = _EDGE.sub("", word)
+    return re.sub(r"�+|\?", "?", m) if m else None
+
+
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The patterns that clean words leave when their characters beyond ASCII are lost."""
+    for b in batches:
+        rows = []
+        for w in b.column("w").to_pylist():
+            m = _EDGE.sub("", w)
+            if m and not m.isascii():
+                rows += [{"pattern": p, "m": m} for p in {re.sub(r"[^\x00-\x7f]", "?", m), re.sub(r"[^\x00-\x7f]+", "?", m)}]
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("pattern", pa.string()), ("m", pa.string())]))
+
+
+def garbled_words(words: DataFrame, model: Model, scratch: Scratch, passes: int = 2) -> DataFrame:
+    """``w, k, back, pattern_word``: the garbled among all distinct words ``w, n``.
+
+    ``k`` is the chain's class (1: characters lost) and ``back`` the restored word; ``pattern_word`` is
+    the one clean word that fits a lost pattern, null where none or several do.  Known words are the
+    readable ones that are not garbled themselves: a first pass leaves out words that invert to a more
+    frequent one, later ones those that the pass before found garbled.
+    """
+    t = scratch.save(words.mapInArrow(_classify(model), _CLASSED_SQL))
+    ask = scratch.save(t.select("w", "n", F.col("folded").alias("own"), F.explode("cands").alias("c")).select("w", "n", "own", "c.*"))
+    frequent = ask.join(t.select(F.col("w").alias("shaped"), F.col("n").alias("n_back")), "shaped").filter(F.col("n_back") > F.col("n") * F.col("often")).select("w").distinct()
+    clean = t.filter("usable").select("w", "folded").join(frequent, "w", "left_anti")
+    for p in range(passes):
+        known = clean.select(F.col("folded").alias("f")).distinct()
+        back_known, own_known = known.select(F.col("f").alias("folded"), F.lit(True).alias("back_known")), known.select(F.col("f").alias("own"), F.lit(True).alias("own_known"))
+        chosen = (
+            ask.join(back_known, "folded", "left").join(own_known, "own", "left").filter(F.col("back_known").isNotNull() | (F.col("free") & F.col("own_known").isNull()))
+            .groupBy("w").agg(F.max_by(F.struct("k", "back"), F.struct("score", (-F.col("k")).alias("o"))).alias("c")).select("w", "c.k", "c.back")
+        )
+        chosen = scratch.save(chosen)
+        if p + 1 < passes:
+            clean = clean.join(chosen.select("w"), "w", "left_anti")
+    good = clean.join(chosen.select("w"), "w", "left_anti")
+    masks = good.select("w").mapInArrow(_masks, "pattern string, m string").groupBy("pattern").agg(F.min("m").alias("m"), F.max("m").alias("m2")).filter("m = m2").select("pattern", F.col("m").alias("pattern_word"))
+    gone = t.filter("lost").join(chosen.select("w"), "w", "left_anti").select("w", "pattern").join(masks, "pattern", "left")
+    return scratch.save(chosen.withColumn("pattern_word", F.lit(None).cast("string")).unionByName(gone.select("w", F.lit(1).alias("k"), F.lit(None).cast("string").alias("back"), "pattern_word")))
 
 
 _OUT = "doc_id bigint, chains array<string>, n_garbled_words int, restored string"
 
 
-def _mapper(model: Model, with_text: bool):
+def _restored(model: Model, word: str, k: int, back: str | None, fits: str | None) -> str:
+    """A garbled word's text; it may differ from the classified one in its digits."""
+    if k == 1:
+        m = _EDGE.sub("", word)
+        return word.replace(m, fits) if m and fits and shape(fits) == fits else word
+    if back is not None and shape(word) == word:
+        return back
+    whole = invert(word, model.classes[k])
+    if whole is not None and shape(whole) == back:
+        return whole
+    out, at = [], 0
+    for i, j, text in invertible_spans(word, model.classes[k]):
+        out += [word[at:i], text]
+        at = j
+    return "".join([*out, word[at:]])
+
+
+def _mapper(model: Model, known: dict | None, paths: list[str], with_text: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("chains", pa.list_(pa.string())), ("n_garbled_words", pa.int32()), ("restored", pa.string())])
+    names = [chain_name(c) if isinstance(c, tuple) else c for c in model.classes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            texts = b.column("text").to_pylist()
+            hits: list[dict] = [{} for _ in texts]
+            n = [0] * len(texts)
+            words = [[*zip(ws, shapes(ws))] for ws in map(words_of, texts)]
+            for garbled in [known] if known is not None else map(_read, paths):
+                for i, ws in enumerate(words):
+                    for w, key in ws:
+                        got = garbled.get(key)
+                        if got is not None:
+                            hits[i][w] = got
+                            n[i] += 1
             out = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                hits = {}
-                n = 0
-                for w in words_of(text):
-                    j = model.judge(w)
-                    if j is not None:
-                        hits[w] = j
-                        n += 1
-                if hits:
-                    fixed = _WORD.sub(lambda m: hits[m.group(0)][1] if m.group(0) in hits else m.group(0), text) if with_text else None
-                    out.append({"doc_id": doc_id, "chains": sorted({c for c, _ in hits.values()}), "n_garbled_words": n, "restored": fixed})
+            for doc_id, text, h, k in zip(b.column("doc_id").to_pylist(), texts, hits, n):
+                if h:
+                    fixed = _WORD.sub(lambda m: _restored(model, m.group(0), *h[m.group(0)]) if m.group(0) in h else m.group(0), text) if with_text else None
+                    out.append({"doc_id": doc_id, "chains": sorted({names[x[0]] for x in h.values()}), "n_garbled_words": k, "restored": fixed})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
 
 
-def garbled_documents(docs: DataFrame, model: Model | None = None, with_text: bool = True) -> DataFrame:
+def _read(path: str) -> dict:
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(at, compression=None) as f:
+        return pickle.loads(f.read())
+
+
+def _write_blocks(garbled: DataFrame, scratch: Scratch, blocks: int) -> list[str]:
+    """The garbled words in the shared folder, a file a block of them."""
+    base = f"{scratch.base}/blocks"
+
+    def run(t: pa.Table) -> pa.Table:
+        from pyarrow import fs
+
+        b = t.column("block")[0].as_py()
+        store, at = fs.FileSystem.from_uri(base)
+        store.create_dir(at, recursive=True)
+        with store.open_output_stream(f"{at}/{b:06d}", compression=None) as f:
+            f.write(pickle.dumps({r["w"]: (r["k"], r["back"], r["pattern_word"]) for r in t.to_pylist()}))
+        return pa.table({"path": [f"{base}/{b:06d}"]})
+
+    made = garbled.withColumn("block", F.pmod(F.xxhash64("w"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(run, "path string")
+    return sorted(r["path"] for r in made.collect())  # one name a block
+
+
+def garbled_documents(docs: DataFrame, model: Model | None = None, with_text: bool = True, words_a_block: int = WORDS_A_BLOCK) -> DataFrame:
     """Documents with at least one garbled or lost character: chains, number of words, restored text.
 
     Null texts are clean; null ids are kept.  Characters that were lost stay as they are unless
-    exactly one clean word of the sample fits.  The pass over all documents is one map without a
-    shuffle; the model (a few MB, fixed size) travels with the tasks.
+    exactly one clean word of all documents fits.  Texts are read twice and never shuffled; only
+    distinct words are.  Up to ``words_a_block`` garbled words travel with the tasks; more are read by
+    them in blocks from the shared folder.
     """
+    ship_package(docs.sparkSession)
     model = model or fit(sample_counts(docs))
-    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(_mapper(model, with_text), _OUT)
+    scratch = Scratch(docs.sparkSession, "mojibake")
+    garbled = garbled_words(word_counts(docs), model, scratch)
+    n = garbled.count()
+    known, paths = None, []
+    if n <= words_a_block:
+        known = {r["w"]: (r["k"], r["back"], r["pattern_word"]) for r in garbled.collect()}  # bounded by words_a_block
+    else:
+        paths = _write_blocks(garbled, scratch, -(-n // words_a_block))
+    weights = Model(model.classes)  # the pass over the documents needs the chains only
+    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(_mapper(weights, known, paths, with_text), _OUT)

@@ -65,5 +65,6 @@ def test_in_spark(spark):
     rows = [(i, text, "x") for i in range(60)] + [(100, text.encode().decode("latin-1"), "x"), (101, "perdi�", "x"), (102, None, "x"), (103, "", "x"), (None, "seÃ±al", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, restored string")
     got = {r.doc_id: r for r in mj.garbled_documents(df).collect()}
+    assert {r.doc_id: r for r in mj.garbled_documents(df, words_a_block=1).collect()} == got
     assert set(got) == {100, 101, None} and got[100].restored == text and got[101].restored == "perdió" and got[None].restored == "señal"
     assert mj.garbled_documents(df.limit(0)).count() == 0
