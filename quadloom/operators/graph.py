@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.runtime import Scratch
+from quadloom.runtime import Scratch, dealt_join
 
 
 def placed_components(links: DataFrame, scratch: Scratch | None = None, max_rounds: int | None = None) -> DataFrame:
@@ -28,10 +28,10 @@ def placed_components(links: DataFrame, scratch: Scratch | None = None, max_roun
     down = e.filter("u < v").unionByName(flip(e).filter("u < v"))
     cur = s.save(down.groupBy("v", "u").agg(F.min(F.struct("di", "dj")).alias("o")).select("u", "v", "o.di", "o.dj"))
 
-    def star(d: DataFrame, large: bool) -> DataFrame:
+    def star(d: DataFrame, large: bool, n_rows: int) -> DataFrame:
         both = d.unionByName(flip(d)) if large else flip(d)
         low = both.groupBy("u").agg(F.min(F.struct("v", "di", "dj")).alias("m"))
-        x = both.join(low, "u").select("u", "v", "di", "dj", F.when(F.col("m.v") < F.col("u"), F.col("m")).otherwise(F.struct(F.col("u").alias("v"), F.lit(0).cast("bigint").alias("di"), F.lit(0).cast("bigint").alias("dj"))).alias("m"))
+        x = dealt_join(both, low, ["u"], n_rows=n_rows).select("u", "v", "di", "dj", F.when(F.col("m.v") < F.col("u"), F.col("m")).otherwise(F.struct(F.col("u").alias("v"), F.lit(0).cast("bigint").alias("di"), F.lit(0).cast("bigint").alias("dj"))).alias("m"))
         if large:
             x = x.filter("v > u")
         moved = x.filter(F.col("m.v") != F.col("v")).select(F.col("m.v").alias("u"), "v", (F.col("di") - F.col("m.di")).alias("di"), (F.col("dj") - F.col("m.dj")).alias("dj"))
@@ -40,17 +40,17 @@ def placed_components(links: DataFrame, scratch: Scratch | None = None, max_roun
             moved = moved.unionByName(own)
         return moved.groupBy("v", "u").agg(F.min(F.struct("di", "dj")).alias("o")).select("u", "v", "o.di", "o.dj")
 
-    last = None
+    last, n = None, cur.count()
     for k in count():
         if k == max_rounds:
             raise RuntimeError(f"components still change after {max_rounds} rounds")
-        new = s.save(star(star(cur, True), False))
+        new = s.save(star(star(cur, True, 2 * n), False, n))
         mark = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         s.drop(cur)
         cur = new
         if last == (mark["n"], mark["h"]):
             break
-        last = (mark["n"], mark["h"])
+        last, n = (mark["n"], mark["h"]), mark["n"]
     roots = cur.select(F.col("u").alias("v")).distinct().join(cur.select("v"), "v", "left_anti").select("v", F.col("v").alias("root"), F.lit(0).cast("bigint").alias("di"), F.lit(0).cast("bigint").alias("dj"))
     return cur.select("v", F.col("u").alias("root"), "di", "dj").unionByName(roots)
 

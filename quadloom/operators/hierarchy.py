@@ -8,13 +8,12 @@ laid out by ``nested_sets_distributed``, whose rounds are Spark jobs.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.runtime import Scratch
+from quadloom.runtime import HOT_ROWS, Scratch, dealt_join, range_blocks, ship_package
 
 MAX_GROUP_ROWS = 200_000
 BUCKET_ROWS = 400_000
@@ -107,24 +106,21 @@ def _local(prefix: bool):
             key = t.column("node_key").to_numpy().astype(np.int64)
             order = np.lexsort((key, group))
             group, key = group[order], key[order]
-            want = t.column("parent_key").to_numpy(zero_copy_only=False)[order].astype(float)
-            has = ~np.isnan(want)
+            asked = t.column("parent_key").combine_chunks()
+            has = ~asked.is_null().to_numpy(zero_copy_only=False)[order]
+            want = asked.fill_null(0).to_numpy(zero_copy_only=False)[order]
             parent = np.full(len(key), -1, np.int64)
             both = np.rec.fromarrays([group, key])
-            ask = np.rec.fromarrays([group[has], want[has].astype(np.int64)])
+            ask = np.rec.fromarrays([group[has], want[has]])
             at = np.minimum(np.searchsorted(both, ask), len(key) - 1)
             parent[np.flatnonzero(has)] = np.where(both[at] == ask, at, -1)
             names = key.astype(str).tolist()
         root, depth, size, pos = layout(parent)
         # positions count from 0 in each group
-        start = np.zeros(len(group), np.int64)
         ok = pos >= 0
-        if ok.any():
-            firsts = {}
-            for g, p in zip(group[ok], pos[ok]):
-                if p < firsts.get(g, p + 1):
-                    firsts[g] = p
-            start = np.array([firsts.get(g, 0) for g in group])
+        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        low = np.minimum.reduceat(np.where(ok, pos, np.iinfo(np.int64).max), heads) if len(heads) else heads
+        start = np.repeat(low, np.diff(np.append(heads, len(group))))
         nm = np.array(names, object)
         pick = lambda ix: np.where(ix >= 0, nm[np.maximum(ix, 0)], None)
         lft = np.where(ok, pos - start, -1)
@@ -160,7 +156,7 @@ def nested_sets(nodes: DataFrame, prefix: bool, max_group_rows: int = MAX_GROUP_
         .groupBy("_b").applyInArrow(_local(prefix), NODE_SCHEMA)
     )
     if large is not None:
-        out = out.unionByName(nested_sets_distributed(with_prefix_parents(large) if prefix else large, scratch))
+        out = out.unionByName(nested_sets_distributed(with_prefix_parents(large) if prefix else large, scratch, numbers=not prefix))
     return out
 
 
@@ -168,21 +164,24 @@ def with_prefix_parents(nodes: DataFrame) -> DataFrame:
     """``parent_key`` = longest shorter prefix present in the group, by a join on exploded prefixes."""
     present = nodes.select("group_id", F.col("node_key").alias("prefix"))
     asked = nodes.select("group_id", "node_key", F.explode_outer(F.transform(F.sequence(F.lit(1), F.length("node_key") - 1), lambda i: F.col("node_key").substr(F.lit(1), i))).alias("prefix")).filter(F.length("node_key") > 1)
-    found = asked.join(present, ["group_id", "prefix"]).groupBy("group_id", "node_key").agg(F.max_by("prefix", F.length("prefix")).alias("parent_key"))
+    found = dealt_join(asked, present, ["group_id", "prefix"]).groupBy("group_id", "node_key").agg(F.max_by("prefix", F.length("prefix")).alias("parent_key"))
     return nodes.select("group_id", "node_key").join(found, ["group_id", "node_key"], "left")
 
 
-def nested_sets_distributed(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def nested_sets_distributed(nodes: DataFrame, scratch: Scratch, numbers: bool, hot_rows: int = HOT_ROWS, block_rows: int = 500_000) -> DataFrame:
     """Nested sets of groups of any size, without gathering a group in one task.
 
     Each node opens and closes once on the tour around its tree.  Pointer doubling along that tour
     gives every node's place in about log2(2n) rounds whatever the depth, where handing sizes up
     level by level needs as many rounds as the deepest chain has links.  Sizes and preorder places
     are differences of tour places; nodes whose pointers never reach an end lie on or below a loop.
+    Joins deal out parents and roots with very many nodes over several keys, and siblings and roots are
+    ordered in ranges of ``block_rows``, so neither is one task's work.
     """
     nodes = nodes.select("group_id", F.col("node_key").cast("string").alias("node_key"), F.col("parent_key").cast("string").alias("parent_key"))
     present = nodes.select("group_id", F.col("node_key").alias("parent_key"), F.lit(True).alias("there"))
-    t = nodes.join(present, ["group_id", "parent_key"], "left").select("group_id", "node_key", F.when(F.col("there"), F.col("parent_key")).alias("parent_key"))
+    t = dealt_join(nodes, present, ["group_id", "parent_key"], "left", hot_rows).select("group_id", "node_key", F.when(F.col("there"), F.col("parent_key")).alias("parent_key"))
+    place = F.col("node_key").cast("bigint") if numbers else F.col("node_key")
     t = scratch.save(t)
     # depth and root by doubling towards the root; what has not ended after log2(n) rounds is a loop
     n = t.count()
@@ -190,7 +189,7 @@ def nested_sets_distributed(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     cur = scratch.save(t.select("group_id", "node_key", F.coalesce("parent_key", "node_key").alias("up"), F.when(F.col("parent_key").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), F.col("parent_key").isNull().alias("ended")))
     for _ in range(rounds):
         nxt = cur.select("group_id", F.col("node_key").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("ended").alias("ended2"))
-        new = cur.join(nxt, ["group_id", "up"]).select(
+        new = dealt_join(cur, nxt, ["group_id", "up"], "inner", hot_rows, n).select(
             "group_id", "node_key", F.when(F.col("ended"), F.col("up")).otherwise(F.col("up2")).alias("up"),
             F.when(F.col("ended"), F.col("steps")).otherwise(F.col("steps") + F.col("steps2")).alias("steps"), (F.col("ended") | F.col("ended2")).alias("ended"),
         )
@@ -202,11 +201,16 @@ def nested_sets_distributed(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     tree = scratch.save(t.join(cur, ["group_id", "node_key"]).select("group_id", "node_key", "parent_key", "up", "steps", "ended"))
     live = tree.filter("ended")
     # tour: open(node) -> open(first child) or close(node); close(node) -> open(next sibling) or close(parent)
-    by_parent = Window.partitionBy("group_id", "parent_key").orderBy("node_key")
-    sib = live.filter("parent_key is not null").select("group_id", "parent_key", "node_key", F.lead("node_key").over(by_parent).alias("next"))
-    firsts = sib.groupBy("group_id", "parent_key").agg(F.min("node_key").alias("first")).withColumnRenamed("parent_key", "node_key")
+    blocks = n // block_rows + 1
+    kids = range_blocks(live.filter("parent_key is not null").select("group_id", "parent_key", place.alias("place"), "node_key"), scratch, ["group_id", "parent_key", "place"], blocks)
+    heads = kids.groupBy("_b").agg(F.min(F.struct("group_id", "parent_key", "place", "node_key")).alias("f")).select("_b", F.lead("f").over(Window.orderBy("_b")).alias("_carry"))  # a row a block
+    after = F.lead(F.struct("group_id", "parent_key", "place", "node_key")).over(Window.partitionBy("_b").orderBy("group_id", "parent_key", "place"))
+    sib = kids.withColumn("_next", after).join(F.broadcast(heads), "_b", "left").withColumn("_next", F.coalesce("_next", "_carry"))
+    same = (F.col("_next.group_id") == F.col("group_id")) & (F.col("_next.parent_key") == F.col("parent_key"))
+    sib = scratch.save(sib.select("group_id", "parent_key", "place", "node_key", F.when(same, F.col("_next.node_key")).alias("next")))
+    firsts = sib.groupBy("group_id", "parent_key").agg(F.min_by("node_key", "place").alias("first")).withColumnRenamed("parent_key", "node_key")
     opens = live.select("group_id", "node_key").join(firsts, ["group_id", "node_key"], "left").select("group_id", F.concat(F.lit("o"), "node_key").alias("e"), F.when(F.col("first").isNotNull(), F.concat(F.lit("o"), "first")).otherwise(F.concat(F.lit("c"), "node_key")).alias("nxt"))
-    closes = live.select("group_id", "node_key").join(sib, ["group_id", "node_key"], "left").select("group_id", F.concat(F.lit("c"), "node_key").alias("e"), F.when(F.col("next").isNotNull(), F.concat(F.lit("o"), "next")).otherwise(F.concat(F.lit("c"), "parent_key")).alias("nxt"))
+    closes = live.select("group_id", "node_key").join(sib.select("group_id", "node_key", "parent_key", "next"), ["group_id", "node_key"], "left").select("group_id", F.concat(F.lit("c"), "node_key").alias("e"), F.when(F.col("next").isNotNull(), F.concat(F.lit("o"), "next")).otherwise(F.concat(F.lit("c"), "parent_key")).alias("nxt"))
     tour = scratch.save(opens.unionByName(closes).withColumn("d", F.when(F.col("nxt").isNull(), 0).otherwise(1).cast("bigint")))
     for _ in range(rounds + 2):
         if not tour.filter("nxt is not null").limit(1).count():
@@ -219,8 +223,12 @@ def nested_sets_distributed(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     sized = tree.join(spans, ["group_id", "node_key"], "left").withColumn("subtree_size", ((F.col("od") - F.col("cd") + 1) / 2).cast("bigint"))
     # preorder inside a tree: opens so far = (steps done + depth) / 2; trees follow each other by root key
     roots = sized.filter("ended and parent_key is null").select("group_id", F.col("node_key").alias("up"), F.col("od").alias("root_od"), F.col("subtree_size").alias("n"))
-    base = roots.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("group_id").orderBy("up").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("group_id", "up", "root_od", "base")
-    out = sized.join(base, ["group_id", "up"], "left")
+    roots = range_blocks(roots.withColumn("place", F.col("up").cast("bigint") if numbers else F.col("up")), scratch, ["group_id", "place"], blocks)
+    before = Window.partitionBy("group_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = roots.groupBy("group_id", "_b").agg(F.sum("n").alias("_n")).select("group_id", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy("_b", "group_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    base = roots.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(carried, ["group_id", "_b"]).select("group_id", "up", "root_od", (F.col("_in") + F.col("_carry")).alias("base"))
+    out = dealt_join(sized, base, ["group_id", "up"], "left", hot_rows, n)
     lft = F.when(F.col("ended"), F.col("base") + ((F.col("root_od") - F.col("od") + F.col("steps")) / 2).cast("bigint")).otherwise(-1)
     out = out.withColumn("lft", lft.cast("bigint"))
     return out.select(
@@ -253,7 +261,7 @@ def paths(sets: DataFrame, keys: tuple[str, ...] = ("group_id",)) -> DataFrame:
     cur = scratch.save(live.select(*keys, "node_key", F.col("parent_key").alias("up"), F.array("node_key").alias("node_path")))
     for _ in range(int(deepest).bit_length()):
         above = cur.select(*keys, F.col("node_key").alias("up"), F.col("up").alias("up2"), F.col("node_path").alias("path2"))
-        longer = cur.filter("up is not null").join(above, [*keys, "up"]).select(*keys, "node_key", F.col("up2").alias("up"), F.concat("path2", "node_path").alias("node_path"))
+        longer = dealt_join(cur.filter("up is not null"), above, [*keys, "up"]).select(*keys, "node_key", F.col("up2").alias("up"), F.concat("path2", "node_path").alias("node_path"))
         new = scratch.save(cur.filter("up is null").unionByName(longer))
         scratch.drop(cur)
         cur = new

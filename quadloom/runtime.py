@@ -56,7 +56,11 @@ def build_session(app: str = "quadloom", cpus: str = "*", shuffle_partitions: in
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set (local tests)."""
+    """The shared folder named by the session.
+
+    Only a local session, whose tasks all run on this machine, gets a temporary folder where none is
+    set; on a cluster a missing setting raises.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -64,6 +68,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     got = sc._jsc.sc().getCheckpointDir()
     if got.isDefined():
         return got.get().rstrip("/")
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="quadloom-")
     _OWN_DIRS.append(own)
     sc.setCheckpointDir(f"file://{own}")
@@ -81,14 +87,22 @@ class Scratch:
 
     ``save`` writes a DataFrame as parquet and reads it back, which cuts lineage and survives the
     loss of executors.  ``drop`` removes tables that no later step reads, so a loop keeps only its
-    last rounds on disk.
+    last rounds on disk; the last ones are read when the result is, and go with ``close`` or, at the
+    latest, when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.base = f"{checkpoint_dir(spark)}/quadloom-{name}-{uuid.uuid4().hex[:12]}"
+        self.home = f"{checkpoint_dir(spark)}/quadloom-{name}-{uuid.uuid4().hex[:12]}"
+        self.base = f"{self.home}/tables"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        fs, p = self._at(self.home)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+
+    def _at(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def save(self, df: DataFrame, keep_schema: bool = True) -> DataFrame:
         self.n += 1
@@ -96,7 +110,6 @@ class Scratch:
         schema = df.schema
         df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path) if keep_schema else self.spark.read.parquet(path)
-        self.paths[id(out)] = path
         out._quadloom_path = path
         return out
 
@@ -104,9 +117,13 @@ class Scratch:
         for df in dfs:
             path = getattr(df, "_quadloom_path", None)
             if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                fs, p = self._at(path)
+                fs.delete(p, True)
+
+    def close(self) -> None:
+        """Removes all tables; results that still read them must have been taken."""
+        fs, p = self._at(self.home)
+        fs.delete(p, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -125,3 +142,32 @@ def two_level_rank(df: DataFrame, keys: list[str], order: str, out: str, width:
     base = n.select(*keys, "_b", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     rn = b.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order)))
     return rn.join(base, [*keys, "_b"]).withColumn(out, F.col("_rn") + F.col("_base")).drop("_b", "_rn", "_base")
+
+
+HOT_ROWS = 2_000_000
+MOST_HOT_KEYS = 1_000
+
+
+def dealt_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS, n_rows: int | None = None) -> DataFrame:
+    """Join of ``many`` with ``one``, which holds a key at most once, where some keys have very many rows.
+
+    Rows of a key with more than ``hot_rows`` rows (or a thousandth of all) are dealt out over several
+    join keys, and the one row is there for each of them.  The list of such keys is broadcast: it has
+    fewer than ``MOST_HOT_KEYS`` entries by the choice of the bound.  No key can be hot in fewer rows.
+    """
+    rows = many.count() if n_rows is None else n_rows
+    if rows <= hot_rows:
+        return many.join(one, keys, how)
+    bound = max(hot_rows, rows // MOST_HOT_KEYS)
+    hot = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound).select(*keys, F.ceil(F.col("_n") / bound).cast("int").alias("_parts"))
+    m = many.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*many.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    o = one.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return m.join(o, [*keys, "_part"], how).drop("_part")
+
+
+def range_blocks(df: DataFrame, scratch: Scratch, order: list[str], blocks: int) -> DataFrame:
+    """The rows saved in ``blocks`` ranges of ``order``; ``_b`` numbers the ranges in that order.
+
+    Windows over ``_b`` see one range each, so no key of any size is one task's work.
+    """
+    return scratch.save(df.repartitionByRange(max(1, blocks), *order).withColumn("_b", F.spark_partition_id()))

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quadloom.operators import compaction, drift, hierarchy, orphans, shred
-from quadloom.runtime import Scratch, checkpoint_dir
+from quadloom.runtime import Scratch, checkpoint_dir, dealt_join
 
 T0 = dt.datetime(2025, 1, 1)
 
@@ -240,6 +240,32 @@ def test_scratch_tables_live_in_the_checkpoint_folder(spark):
     s = Scratch(spark, "t")
     d = s.save(spark.range(5))
     folder = checkpoint_dir(spark).removeprefix("file://")
-    assert d.count() == 5 and s.base.startswith(checkpoint_dir(spark)) and glob.glob(f"{folder}/quadloom-t-*/00001")
+    assert d.count() == 5 and s.base.startswith(checkpoint_dir(spark)) and glob.glob(f"{folder}/quadloom-t-*/tables/00001")
     s.drop(d)
     assert not glob.glob(f"{s.base.removeprefix('file://')}/00001")
+    s.close()
+    assert not glob.glob(f"{folder}/quadloom-t-*")
+
+
+def test_dealt_join_of_hot_keys(spark):
+    many = spark.createDataFrame([(k % 3 and None or 1, i) for i, k in enumerate(range(60))] + [(2, 100), (3, 101)], "k bigint, v bigint")
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, w string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, many.join(one, ["k"], how).collect()))
+        assert sorted(map(str, dealt_join(many, one, ["k"], how, hot_rows=4).collect())) == want
+
+
+@pytest.mark.parametrize("prefix", [False, True])
+def test_ranges_are_alike_on_both_sides_of_the_bound(spark, prefix):
+    if prefix:
+        keys = ["0", "01", "010", "02", "03", "0300", "0301", "02213"] + [f"0{a}{b}{c}" for a in "123" for b in "0123" for c in "03"]
+        nodes = spark.createDataFrame([(g, k) for g in (1, 2) for k in dict.fromkeys(keys)], "group_id bigint, node_key string")
+    else:
+        up = {1: None, 30: None, 4: 99, 2: 1, 3: 1, 10: 1, 20: 1, 9: 30, 100: 30, 11: 100, 7: 8, 8: 7, (1 << 53) + 1: 1, (1 << 53) + 2: (1 << 53) + 1}
+        nodes = spark.createDataFrame([(g, k, p) for g in (1, 2) for k, p in up.items()], "group_id bigint, node_key bigint, parent_key bigint")
+    cols = ["group_id", "node_key", "root_key", "node_depth", "subtree_size", "lft", "rgt"]
+    small = sorted(map(tuple, hierarchy.nested_sets(nodes, prefix).select(cols).collect()))
+    assert small == sorted(map(tuple, hierarchy.nested_sets(nodes, prefix, max_group_rows=2).select(cols).collect()))
+    t = hierarchy.with_prefix_parents(nodes) if prefix else nodes
+    dealt = hierarchy.nested_sets_distributed(t, Scratch(spark, "t"), numbers=not prefix, hot_rows=3, block_rows=4)
+    assert small == sorted(map(tuple, dealt.select(cols).collect()))
