@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.ids import format_id, id_frame, id_tile, reference_or_none
-from quadloom.runtime import Scratch
+from quadloom.runtime import HOT_ROWS, Scratch, dealt_join, ship_package
 
 BETA = 0.8
 GROW_ROUNDS = 4
@@ -148,14 +148,15 @@ def _decompose_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     yield pa.RecordBatch.from_arrays([pa.array(verts[verts.dtype.names[0]]), pa.array(verts[verts.dtype.names[1]]), pa.array(verts[verts.dtype.names[0]][label]), pa.array(verts[verts.dtype.names[1]][label])], names=["sv", "rv", "st", "rt"])
 
 
-def connect(edges: DataFrame, scratch: Scratch, task_links: int = TASK_LINKS) -> DataFrame:
+def connect(edges: DataFrame, scratch: Scratch, task_links: int = TASK_LINKS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Labels of the vertices of ``a``-``b`` links, both structs ``session_id, root`` of bigints.
 
     Returns ``v, root``; every vertex of a component has one root, itself a member.  While more than
     ``task_links`` links are left, a level is made of Spark rounds; it costs ``GROW_ROUNDS`` joins and
     shrinks the graph by a constant factor whatever its shape, so levels are logarithmic in the number
-    of links.  What is left then is decomposed, by the same rules, in one task of bounded size.  Growth needs, per vertex, the best of its neighbours'
-    clusters only, which is combined before the shuffle: a vertex with very many links is no hot spot.
+    of links.  What is left then is decomposed, by the same rules, in one task of bounded size.  Growth
+    needs, per vertex, the best of its neighbours' clusters only, which is combined before the shuffle; in
+    the joins, the links of a vertex with more than ``hot_rows`` of them are dealt out over several keys.
     """
     level, maps = 0, []
     edges = scratch.save(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -170,7 +171,7 @@ def connect(edges: DataFrame, scratch: Scratch, task_links: int = TASK_LINKS) ->
         t = F.lit(float(GROW_ROUNDS)) - F.least(-F.log(F.lit(1.0) - u) / BETA, F.lit(float(GROW_ROUNDS)))
         state = scratch.save(both.select(F.col("a").alias("v")).distinct().withColumn("t", t).withColumn("cluster", F.when(F.floor("t") <= 0, F.struct(F.col("t"), F.col("v").alias("c")))))
         for r in range(1, GROW_ROUNDS + 1):
-            reach = both.join(state.filter("cluster is not null").select(F.col("v").alias("a"), "cluster"), "a").groupBy(F.col("b").alias("v")).agg(F.min("cluster").alias("reach"))
+            reach = dealt_join(both, state.filter("cluster is not null").select(F.col("v").alias("a"), "cluster"), ["a"], "inner", hot_rows, 2 * n).groupBy(F.col("b").alias("v")).agg(F.min("cluster").alias("reach"))
             new = state.join(reach, "v", "left").select("v", "t", F.coalesce("cluster", "reach", F.when(F.floor("t") <= r, F.struct(F.col("t"), F.col("v").alias("c")))).alias("cluster"))
             new = scratch.save(new)
             scratch.drop(state)
@@ -178,24 +179,26 @@ def connect(edges: DataFrame, scratch: Scratch, task_links: int = TASK_LINKS) ->
         step = scratch.save(state.select("v", F.col("cluster.c").alias("root")))
         maps.append(step)
         ra, rb = step.select(F.col("v").alias("a"), F.col("root").alias("ra")), step.select(F.col("v").alias("b"), F.col("root").alias("rb"))
-        new = scratch.save(edges.join(ra, "a").join(rb, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        moved = dealt_join(dealt_join(edges, ra, ["a"], "inner", hot_rows, n), rb, ["b"], "inner", hot_rows, n)
+        new = scratch.save(moved.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         scratch.drop(edges, state)
         edges, level = new, level + 1
     if not maps:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     out = maps[0]
     for nxt in maps[1:]:
-        out = scratch.save(out.join(nxt.select(F.col("v").alias("root"), F.col("root").alias("root2")), "root", "left").select("v", F.coalesce("root2", "root").alias("root")))
+        out = scratch.save(dealt_join(out, nxt.select(F.col("v").alias("root"), F.col("root").alias("root2")), ["root"], "left", hot_rows).select("v", F.coalesce("root2", "root").alias("root")))
     return out
 
 
-def tile_groups(tiles: DataFrame, fields: list[str] = ("south_neighbor", "east_neighbor")) -> DataFrame:
+def tile_groups(tiles: DataFrame, fields: list[str] = ("south_neighbor", "east_neighbor"), task_links: int = TASK_LINKS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``session_id, content_id, group_content_id`` of every tile in a group of two or more.
 
     Ids in five-digit form; the group's id is its member with the lowest frame, then tile number.
     Links to tiles without a record don't count, nor do null sessions and ids that aren't
     ``<frame>_<tile>``.  Repeated records add their links.
     """
+    ship_package(tiles.sparkSession)
     scratch = Scratch(tiles.sparkSession, "components")
     pairs = scratch.save(tile_links(tiles, list(fields)))
     block = F.shiftright("id", BLOCK_BITS)
@@ -207,10 +210,11 @@ def tile_groups(tiles: DataFrame, fields: list[str] = ("south_neighbor", "east_n
     # links that leave their block, between tiles that exist, on the level of block clusters
     here = local.select("session_id", "id", F.struct("session_id", "root").alias("a"))
     there = local.select("session_id", F.col("id").alias("to"), F.struct("session_id", "root").alias("b"))
-    edges = pairs.filter(~inside).join(here, ["session_id", "id"]).join(there, ["session_id", "to"]).select("a", "b")
-    roots = connect(edges, scratch)
+    n_pairs = pairs.count()
+    edges = dealt_join(dealt_join(pairs.filter(~inside), here, ["session_id", "id"], "inner", hot_rows, n_pairs), there, ["session_id", "to"], "inner", hot_rows, n_pairs).select("a", "b")
+    roots = connect(edges, scratch, task_links, hot_rows)
     far = roots.select(F.col("v.session_id").alias("session_id"), F.col("v.root").alias("root"), F.col("root.root").alias("top"))
     whole = local.select("session_id", "id", "root").join(far, ["session_id", "root"], "left").select("session_id", "id", F.coalesce("top", "root").alias("g"))
     group = whole.groupBy("session_id", "g").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     fmt = lambda c: format_id(F.shiftright(c, 31), F.col(c).bitwiseAND((1 << 31) - 1))
-    return whole.join(group, ["session_id", "g"]).select("session_id", fmt("id").alias("content_id"), fmt("least").alias("group_content_id"))
+    return dealt_join(whole, group, ["session_id", "g"], "inner", hot_rows, n_pairs).select("session_id", fmt("id").alias("content_id"), fmt("least").alias("group_content_id"))

@@ -41,12 +41,12 @@ def test_long_chain_and_star():
     assert len(set(components.decompose(n, np.zeros(n - 1, np.int64), np.arange(1, n)).tolist())) == 1
 
 
-@pytest.mark.parametrize("task_links", [10**6, 0])
-def test_rounds_in_spark(spark, task_links):
+@pytest.mark.parametrize("task_links, hot_rows", [(10**6, 10**6), (0, 10**6), (0, 3)])
+def test_rounds_in_spark(spark, task_links, hot_rows):
     rng = np.random.default_rng(5)
     pairs = [(i, i + 1) for i in range(40)] + [(100, int(x)) for x in range(101, 140)] + [tuple(map(int, rng.integers(200, 230, 2))) for _ in range(20)]
     df = spark.createDataFrame([((1, a), (1, b)) for a, b in pairs], "a struct<session_id:bigint,root:bigint>, b struct<session_id:bigint,root:bigint>")
-    got = {r.v.root: r.root.root for r in components.connect(df, Scratch(spark, "t"), task_links).collect()}
+    got = {r.v.root: r.root.root for r in components.connect(df, Scratch(spark, "t"), task_links, hot_rows).collect()}
     want = union_find(300, pairs)
     verts = sorted({x for a, b in pairs if a != b for x in (a, b)})
     assert sorted(got) == verts and same([got[v] for v in verts], [want[v] for v in verts])
@@ -67,5 +67,6 @@ def test_tile_groups(spark):
     got = [tuple(r) for r in components.tile_groups(spark.createDataFrame(data, SCHEMA)).collect()]
     first = "00001_1"
     assert len(got) == len(set(got)) and set(got) == {(1, c, first) for c in ("00001_1", "00001_2", "00001_3", f"00001_{far}", "00002_7")} | {(3, "00009_10", "00009_9"), (3, "00009_9", "00009_9")}
+    assert {tuple(r) for r in components.tile_groups(spark.createDataFrame(data, SCHEMA), task_links=0, hot_rows=1).collect()} == set(got)
     assert components.tile_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     assert components.tile_groups(spark.createDataFrame(data[6:7], SCHEMA)).count() == 0
