@@ -3,7 +3,7 @@
 Method: byte-level concatenation.  A container is either a run of complete zstandard frames (any
 binary file becomes one frame, files that already are complete frames are joined as they are) or a
 run of newline-delimited text with one header.  Nothing is parsed.  Every member's length and CRC-32
-is checked by reading the finished container back.
+is checked against the source by reading the finished container back.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.functions.ids import tile_key
+from quadloom.runtime import Scratch, range_blocks, ship_package
 
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"  # fixed value: frame header of the public format
 TARGET_BYTES = 128 * 1024 * 1024
@@ -84,85 +85,115 @@ def join_newline_delimited(parts: Iterable[bytes], has_header: bool = False) ->
     return b"".join(out)
 
 
-def _close(pid: int, no: int, frames: list[bytes], rows: list[tuple[int, str, int, int, bool]]) -> dict:
+def tile_versions(files: DataFrame) -> DataFrame:
+    """Each version (tile, bytes) once: ``tile_key, digest, file_id`` (the smallest), ``n_files, n_bytes``.
+
+    Only digests are shuffled, combined before: a tile with a third of all rows is one row a task, and
+    versions of one tile spread over tasks because the digest is part of the key.  Files without bytes
+    (null) or without a path are left out; empty files count as content.
+    """
+    keyed = files.select("file_id", tile_key(F.col("image_path"), F.col("texture_file")).alias("tile_key"), F.sha2("content", 256).alias("digest"), F.octet_length("content").cast("bigint").alias("n_bytes"))
+    keyed = keyed.filter("file_id is not null and tile_key is not null and digest is not null")
+    return keyed.groupBy("tile_key", "digest").agg(F.min("file_id").alias("file_id"), F.count(F.lit(1)).alias("n_files"), F.max("n_bytes").alias("n_bytes"))
+
+
+def numbered(parts: DataFrame, scratch: Scratch, order: list[str], target_bytes: int, block_rows: int = 1_000_000) -> DataFrame:
+    """``container_no`` of every row: the bytes of all rows before it in ``order``, over the target.
+
+    So every container but the last reaches the target, give or take one member, and the number says
+    where its members lie in the order, whatever the partitions.  The prefix sum is taken in ranges of
+    ``block_rows`` rows, whose sums are carried over.
+    """
+    saved = scratch.save(parts)
+    r = range_blocks(saved, scratch, order, saved.count() // block_rows + 1)
+    carried = r.groupBy("_b").agg(F.sum("n_bytes").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry"))  # a row a block
+    inside = F.coalesce(F.sum("n_bytes").over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return r.withColumn("_in", inside).join(carried, "_b").withColumn("container_no", F.floor((F.col("_in") + F.col("_carry")) / target_bytes).cast("bigint")).drop("_b", "_in", "_carry")
+
+
+_CONTAINER = pa.schema([
+    ("container_id", pa.string()), ("codec", pa.string()), ("n_members", pa.int32()), ("n_bytes", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary()),
+    ("members", pa.list_(pa.struct([("file_id", pa.int64()), ("tile_key", pa.string()), ("frame_offset", pa.int64()), ("frame_bytes", pa.int64()), ("n_bytes", pa.int64()), ("crc32", pa.int64()), ("verified", pa.bool_())]))),
+])
+
+
+def check_members(payload: bytes, members: list[dict]) -> list[dict]:
+    """The members with ``verified``: the bytes at their place have the length and checksum of the source."""
     import zstandard
 
-    payload = b"".join(frames)
-    members, at = [], 0
-    for frame, (fid, key, n, crc, raw) in zip(frames, rows):
-        piece = payload[at : at + len(frame)]
-        back = piece if raw else zstandard.ZstdDecompressor().decompress(piece, max_output_size=max(n, 1))
-        members.append({"file_id": fid, "tile_key": key, "frame_offset": at, "frame_bytes": len(frame), "n_bytes": n, "crc32": crc, "verified": len(back) == n and zlib.crc32(back) == crc})
-        at += len(frame)
-    return {"container_id": f"{pid:06d}-{no:05d}", "codec": "zstd-frames", "n_members": len(members), "n_bytes": len(payload), "crc32": zlib.crc32(payload), "payload": payload, "members": members}
+    z = zstandard.ZstdDecompressor()
+    for m in members:
+        piece = payload[m["frame_offset"] : m["frame_offset"] + m["frame_bytes"]]
+        ok = len(piece) == m["n_bytes"] and zlib.crc32(piece) == m["crc32"]  # a file that was a frame before
+        if not ok:
+            try:
+                back = z.decompress(piece, max_output_size=max(m["n_bytes"], 1))
+                ok = len(back) == m["n_bytes"] and zlib.crc32(back) == m["crc32"]
+            except zstandard.ZstdError:
+                ok = False
+        m["verified"] = ok
+    return members
 
 
-def _packer(target_bytes: int, with_payload: bool):
-    schema = pa.schema([
-        ("container_id", pa.string()), ("codec", pa.string()), ("n_members", pa.int32()), ("n_bytes", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary()),
-        ("members", pa.list_(pa.struct([("file_id", pa.int64()), ("tile_key", pa.string()), ("frame_offset", pa.int64()), ("frame_bytes", pa.int64()), ("n_bytes", pa.int64()), ("crc32", pa.int64()), ("verified", pa.bool_())]))),
-    ])
+def _packer(uri: str | None):
+    """One container a group; with ``uri`` it is written there, read again and checked, and its payload left out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(t: pa.Table) -> pa.Table:
         import zstandard
-        from pyspark import TaskContext
 
-        ctx = TaskContext.get()
-        pid = ctx.partitionId() if ctx else 0
+        t = t.sort_by([("tile_key", "ascending"), ("file_id", "ascending")])
+        name = f"{t.column('container_no')[0].as_py():010d}"
         z = zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True)
-        frames: list[bytes] = []
-        rows: list[tuple[int, str, int, int, bool]] = []
-        size = no = 0
-
-        def flush() -> pa.RecordBatch:
-            row = _close(pid, no, frames, rows)
-            if not with_payload:
-                row["payload"] = None
-            return pa.RecordBatch.from_pylist([row], schema=schema)
-
-        for b in batches:
-            for fid, key, data in zip(b.column("file_id").to_pylist(), b.column("tile_key").to_pylist(), b.column("content").to_pylist()):
-                raw = is_complete_frame(data)
-                frame = data if raw else z.compress(data)
-                if rows and size + len(frame) > target_bytes:
-                    yield flush()
-                    frames.clear()
-                    rows.clear()
-                    size, no = 0, no + 1
-                frames.append(frame)
-                rows.append((fid, key, len(data), zlib.crc32(data), raw))
-                size += len(frame)
-        if rows:
-            yield flush()
+        frames, members, at = [], [], 0
+        for fid, key, n, crc, data in zip(*(t.column(c).to_pylist() for c in ("file_id", "tile_key", "n_bytes", "crc32")), (x.as_py() for x in t.column("content"))):
+            frame = data if is_complete_frame(data) else z.compress(data)
+            frames.append(frame)
+            members.append({"file_id": fid, "tile_key": key, "frame_offset": at, "frame_bytes": len(frame), "n_bytes": n, "crc32": crc})
+            at += len(frame)
+        payload = b"".join(frames)
+        frames.clear()
+        whole = zlib.crc32(payload)
+        if uri is not None:
+            payload = _write_and_read(uri, f"{name}.zst", payload)
+            if zlib.crc32(payload) != whole:
+                raise OSError(f"container {name} is not what was written")
+        row = {"container_id": name, "codec": "zstd-frames", "n_members": len(members), "n_bytes": at, "crc32": whole, "payload": None if uri else payload, "members": check_members(payload, members)}
+        return pa.Table.from_pylist([row], schema=_CONTAINER)
 
     return run
 
 
-def tile_versions(files: DataFrame) -> DataFrame:
-    """Each version (tile, bytes) once, with its smallest ``file_id`` and its content.
+def _write_and_read(uri: str, name: str, payload: bytes) -> bytes:
+    """Writes a file under another name, moves it into its place whole, and reads it from there."""
+    import uuid
 
-    A single grouping with map-side combination: a tile that holds a third of all rows is reduced
-    before the shuffle, and versions of one tile spread over tasks because the digest is part of the
-    key.  Files without bytes (null) or without a path are left out; empty files count as content.
-    """
-    keyed = files.select(
-        "file_id", tile_key(F.col("image_path"), F.col("texture_file")).alias("tile_key"), "content"
-    ).filter("file_id is not null and tile_key is not null and content is not null")
-    return (
-        keyed.groupBy("tile_key", F.sha2("content", 256).alias("digest"))
-        .agg(F.min("file_id").alias("file_id"), F.count(F.lit(1)).alias("n_files"), F.first("content").alias("content"))
-    )
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(uri)
+    store.create_dir(base, recursive=True)
+    part = f"{base}/.{name}-{uuid.uuid4().hex}"
+    with store.open_output_stream(part, compression=None) as s:
+        s.write(payload)
+    store.move(part, f"{base}/{name}")
+    with store.open_input_stream(f"{base}/{name}", compression=None) as s:
+        return s.read()
 
 
-def compact_files(files: DataFrame, target_bytes: int = TARGET_BYTES, with_payload: bool = True) -> DataFrame:
-    """Containers of up to ``target_bytes`` that hold every tile version once.
+def compact_files(files: DataFrame, target_bytes: int = TARGET_BYTES, uri: str | None = None) -> DataFrame:
+    """Containers of about ``target_bytes`` of member bytes that hold every tile version once.
 
     Input: ``file_id, image_path, texture_file, content``; other columns are ignored.  Output:
-    ``CONTAINER_SCHEMA``.  Packing follows the grouping's own partitioning, so the bytes are
-    shuffled once; a task streams its rows and holds one container.  A file larger than the target
-    gets a container of its own.  Empty input gives no container.
+    ``CONTAINER_SCHEMA``.  With ``uri`` (any pyarrow file system) each container becomes the file
+    ``<container_id>.zst``, checked from what the file holds, and ``payload`` is null; a task that runs
+    again replaces its file by an equal one, as ids and order follow from the members alone.  Lengths
+    and checksums to check against come from the source table, not from the packing task.  A file
+    larger than the target makes its container larger.  Empty input gives no container.
     """
-    return tile_versions(files).select("file_id", "tile_key", "content").mapInArrow(_packer(target_bytes, with_payload), CONTAINER_SCHEMA)
+    ship_package(files.sparkSession)
+    kept = numbered(tile_versions(files).select("tile_key", "digest", "file_id", "n_bytes"), Scratch(files.sparkSession, "compaction"), ["tile_key", "digest"], target_bytes)
+    data = files.filter("file_id is not null and content is not null").select("file_id", "content", F.crc32("content").alias("crc32"))
+    one = data.join(kept.select("file_id", "tile_key", "n_bytes", "container_no"), "file_id")
+    return one.groupBy("container_no").applyInArrow(_packer(uri), CONTAINER_SCHEMA)
 
 
 def manifest(containers: DataFrame) -> DataFrame:
@@ -179,6 +210,46 @@ def repeated_files(files: DataFrame, containers: DataFrame) -> DataFrame:
     return eligible.join(kept, "file_id", "left_anti")
 
 
+TEXT_SCHEMA = "container_id string, header string, n_members int, n_lines bigint, n_bytes bigint, crc32 bigint, payload binary, file_ids array<bigint>, verified boolean"
+_TEXT = pa.schema([("container_id", pa.string()), ("header", pa.string()), ("n_members", pa.int32()), ("n_lines", pa.int64()), ("n_bytes", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary()), ("file_ids", pa.list_(pa.int64())), ("verified", pa.bool_())])
+
+
+def compact_text(files: DataFrame, has_header: bool, target_bytes: int = TARGET_BYTES, uri: str | None = None) -> DataFrame:
+    """Newline-delimited files joined to containers of about ``target_bytes``: ``TEXT_SCHEMA``.
+
+    Input: ``file_id, content`` (binary).  With ``has_header`` the first line is a header: files are
+    joined with those of an equal one, which each container holds once; without, ``header`` is null.
+    Byte-order marks go, a missing last line end is added, nothing else changes.  Files that are null
+    or empty add nothing.  ``verified``: the container holds just the lines that the source's lengths
+    and line ends promise.  Repeated ids are taken as often as they come.
+    """
+    ship_package(files.sparkSession)
+    mark = F.lit(b"\xef\xbb\xbf")
+    bare = F.when(F.substring("content", 1, 3) == mark, F.expr("substring(content, 4)")).otherwise(F.col("content"))
+    t = files.filter("file_id is not null").select("file_id", bare.alias("content")).filter(F.octet_length("content") > 0)
+    text = F.decode("content", "ISO-8859-1")  # one character a byte
+    head = F.rtrim(F.substring_index(text, "\n", 1), F.lit("\r")) if has_header else F.lit(None).cast("string")
+    lines = F.length(text) - F.length(F.translate(text, "\n", "")) + F.when(text.endswith("\n"), 0).otherwise(1) - (1 if has_header else 0)
+    t = t.select("file_id", "content", head.alias("header"), lines.cast("bigint").alias("n_lines"), F.xxhash64("content").alias("digest"), F.octet_length("content").cast("bigint").alias("n_bytes"))
+    scratch = Scratch(files.sparkSession, "text")
+    places = numbered(t.select("header", "file_id", "digest", "n_bytes").groupBy("header", "file_id", "digest").agg(F.sum("n_bytes").alias("n_bytes")), scratch, ["header", "file_id", "digest"], target_bytes)
+    both = t.join(places.select("file_id", "digest", "container_no"), ["file_id", "digest"])
+
+    def run(k: tuple, g: pa.Table) -> pa.Table:
+        g = g.sort_by([("file_id", "ascending"), ("digest", "ascending")])
+        payload = join_newline_delimited((x.as_py() for x in g.column("content")), has_header)
+        name = f"{g.column('container_no')[0].as_py():010d}-{zlib.crc32((g.column('header')[0].as_py() or '').encode('latin-1')):08x}"
+        whole = zlib.crc32(payload)
+        if uri is not None:
+            payload = _write_and_read(uri, name, payload)
+        want = sum(g.column("n_lines").to_pylist())
+        ok = zlib.crc32(payload) == whole and payload.count(b"\n") == want + int(has_header)
+        row = {"container_id": name, "header": g.column("header")[0].as_py(), "n_members": g.num_rows, "n_lines": want, "n_bytes": len(payload), "crc32": whole, "payload": None if uri else payload, "file_ids": g.column("file_id").to_pylist(), "verified": ok}
+        return pa.Table.from_pylist([row], schema=_TEXT)
+
+    return both.groupBy("container_no", "header").applyInArrow(run, TEXT_SCHEMA)
+
+
 def length_mismatches(files: DataFrame) -> DataFrame:
     """Files whose recorded ``n_bytes`` differs from the bytes held; a null length is no mismatch."""
     return files.filter(F.col("n_bytes") != F.octet_length("content")).select("file_id", F.col("n_bytes").alias("recorded_bytes"), F.octet_length("content").alias("held_bytes"))
@@ -200,29 +271,3 @@ def restore(containers: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("file_id", pa.int64()), ("tile_key", pa.string()), ("content", pa.binary())]))
 
     return containers.select("payload", "members").mapInArrow(run, "file_id bigint, tile_key string, content binary")
-
-
-def write_containers(containers: DataFrame, uri: str) -> DataFrame:
-    """Writes each container's payload as a file under ``uri`` (any pyarrow file system).
-
-    Names are fixed by the container, files are replaced whole, so a task that runs again after an
-    executor is lost leaves the same files.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(uri)
-        store.create_dir(base, recursive=True)
-        for b in batches:
-            out = []
-            for cid, payload, crc in zip(b.column("container_id").to_pylist(), b.column("payload").to_pylist(), b.column("crc32").to_pylist()):
-                if zlib.crc32(payload) != crc:
-                    raise ValueError(f"container {cid} changed on its way")
-                path = f"{base}/{cid}.zst"
-                with store.open_output_stream(path, compression=None) as s:
-                    s.write(payload)
-                out.append({"container_id": cid, "path": path, "n_bytes": len(payload)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("container_id", pa.string()), ("path", pa.string()), ("n_bytes", pa.int64())]))
-
-    return containers.select("container_id", "payload", "crc32").mapInArrow(run, "container_id string, path string, n_bytes bigint")

@@ -6,26 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.operators import compaction, drift, hierarchy, orphans, shred
-from quadloom.runtime import table
+from quadloom.runtime import Scratch, table
 
 
 # 1 - far too many small files
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stored(spark: SparkSession, sf_dir: str, target_bytes: int = compaction.TARGET_BYTES) -> tuple[DataFrame, DataFrame]:
     files = table(spark, sf_dir, "tile_files")
-    containers = compaction.compact_files(files, with_payload=False)
-    return compaction.repeated_files(files, containers)
+    return files, compaction.compact_files(files, target_bytes, f"{Scratch(spark, 'containers').base}/files")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.repeated_files(*_stored(spark, sf_dir))
 
 
 def p1_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = compaction.manifest(compaction.compact_files(table(spark, sf_dir, "tile_files"), with_payload=False))
+    m = compaction.manifest(_stored(spark, sf_dir)[1])
     return m.agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_bytes").alias("n_bytes"), F.count_if(F.col("verified")).alias("n_verified"))
 
 
+def p1_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of 256 KB: how many there are, and how many hold less than that."""
+    c = compaction.compact_files(table(spark, sf_dir, "tile_files"), 1 << 18)
+    held = c.select(F.aggregate("members", F.lit(0).cast("bigint"), lambda a, m: a + m["n_bytes"]).alias("n"))
+    return held.agg(F.count(F.lit(1)).alias("n_containers"), F.count_if(F.col("n") < (1 << 18) - 65536).alias("n_small"))
+
+
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = compaction.restore(compaction.compact_files(table(spark, sf_dir, "tile_files"), target_bytes=4 << 20))
     return r.select("file_id", F.sha2("content", 256).alias("digest"))
 
 
+def p1_text_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw layer files as newline-delimited text in few files."""
+    t = table(spark, sf_dir, "layer_files").select(F.col("layer_file_id").alias("file_id"), F.encode("body", "utf-8").alias("content"))
+    c = compaction.compact_text(t, False, uri=f"{Scratch(spark, 'text').base}/files")
+    return c.agg(F.sum("n_members").alias("n_files"), F.sum("n_lines").alias("n_lines"), F.sum("n_bytes").alias("n_bytes"), F.min("verified").alias("verified"))
+
+
 def p1_length_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.length_mismatches(table(spark, sf_dir, "tile_files"))
 
@@ -121,7 +138,7 @@ def p7_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("object_kind").agg(F.count(F.lit(1)).alias("n_objects"), F.sum("n_occurrences").alias("n_occurrences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_containers, p1_restored, p1_length_mismatches, p2_found, p2_orphans_by_day, p2_current_keys, p4_found, p4_subtrees, p4_descendants_of_roots, p4_paths, p4_descendants, p6_found, p6_union_schema, p6_unified_counts, p7_found, p7_objects)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_containers, p1_sizes, p1_restored, p1_text_joined, p1_length_mismatches, p2_found, p2_orphans_by_day, p2_current_keys, p4_found, p4_subtrees, p4_descendants_of_roots, p4_paths, p4_descendants, p6_found, p6_union_schema, p6_unified_counts, p7_found, p7_objects)}
 
 _FILES = r"""files as (
   select file_id, content,
@@ -190,6 +207,11 @@ hits as (
 SQL = {
     "p1_found": f"with {_FILES} select file_id from ranked where rn > 1",
     "p1_containers": f"with {_FILES} select count(*)::bigint as n_files, sum(octet_length(content))::bigint as n_bytes, count(*)::bigint as n_verified from ranked where rn = 1",
+    "p1_text_joined": """with f as (select body from layer_files where layer_file_id is not null and strlen(body) > 0),
+      x as (select strlen(body) as n, length(body) - length(replace(body, chr(10), '')) + (not ends_with(body, chr(10)))::int as l, (not ends_with(body, chr(10)))::int as added from f)
+      select count(*)::bigint as n_files, sum(l)::bigint as n_lines, sum(n + added)::bigint as n_bytes, true as verified from x""",
+    "p1_sizes": f"""with {_FILES}, v as (select octet_length(content) as n, coalesce(sum(octet_length(content)) over (order by tile_key, sha256(content) rows between unbounded preceding and 1 preceding), 0) as b from ranked where rn = 1),
+      c as (select b // 262144 as k, sum(n) as n from v group by 1) select count(*)::bigint as n_containers, count(*) filter (n < 196608)::bigint as n_small from c""",
     "p1_restored": f"with {_FILES} select file_id, sha256(content) as digest from ranked where rn = 1",
     "p1_length_mismatches": "select file_id, n_bytes as recorded_bytes, octet_length(content)::int as held_bytes from tile_files where n_bytes <> octet_length(content)",
     "p2_found": f"with {_REFS} select ref_table, ref_id, field_name from lost",

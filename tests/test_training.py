@@ -48,12 +48,15 @@ def test_compaction_of_many_copies_and_empty_input(spark, tmp_path):
     # one tile holds a third of all files, all equal; sizes need several containers
     rows = [(i, None, f"/exports/e1/matrix_1/1_{0 if i % 3 == 0 else i}.png", b"same" if i % 3 == 0 else bytes([i % 251]) * (i % 90), None, None) for i in range(1, 900)]
     files = spark.createDataFrame(rows, FILES)
-    c = compaction.compact_files(files, target_bytes=2000)
-    assert c.filter("n_bytes > 2000 and n_members > 1").count() == 0
+    c = compaction.compact_files(files, target_bytes=2000, uri=f"file://{tmp_path}/out").collect()
     want = {(r[2], r[3]): r[0] for r in reversed(rows)}
-    assert {r.file_id for r in compaction.manifest(c).collect()} == set(want.values())
-    paths = compaction.write_containers(c, f"file://{tmp_path}/out").collect()
-    assert sum(len(list(compaction.split_frames(open(p.path, "rb").read()))) for p in paths) == len(want)
+    assert {m.file_id for r in c for m in r.members} == set(want.values()) and all(m.verified for r in c for m in r.members)
+    held = sorted(sum(m.n_bytes for m in r.members) for r in c)
+    assert len(held) > 5 and all(2000 - 90 <= n <= 2000 + 90 for n in held[1:])  # all but one reach the target
+    assert sum(len(list(compaction.split_frames(open(f"{tmp_path}/out/{r.container_id}.zst", "rb").read()))) for r in c) == len(want)
+    again = {r.container_id: r.crc32 for r in compaction.compact_files(files.repartition(7), target_bytes=2000).collect()}
+    assert again == {r.container_id: r.crc32 for r in c}  # ids and bytes follow from the members
+    assert [m["verified"] for m in compaction.check_members(b"abc", [{"frame_offset": 0, "frame_bytes": 3, "n_bytes": 3, "crc32": 5}])] == [False]
     empty = spark.createDataFrame([], FILES)
     assert compaction.repeated_files(empty, compaction.compact_files(empty)).count() == 0
 
@@ -71,6 +74,19 @@ def test_joining_text_and_frames():
     assert list(compaction.split_frames(f + f)) == [b"hello", b"hello"]
 
 
+def test_text_containers(spark, tmp_path):
+    parts = [(1, b"a,b\n1,2\n"), (2, b"\xef\xbb\xbfa,b\r\n3,4"), (3, b"c\n9\n"), (4, b""), (5, None), (6, b"a,b\n"), (2, b"a,b\n5,6\n"), (None, b"a,b\n7,7\n")] + [(10 + i, b"a,b\n%d,0\n" % i) for i in range(40)]
+    df = spark.createDataFrame(parts, "file_id bigint, content binary")
+    for uri in (None, f"file://{tmp_path}/text"):
+        got = compaction.compact_text(df, True, target_bytes=100, uri=uri).collect()
+        assert all(r.verified for r in got) and sum(r.n_members for r in got) == 45 and len([r for r in got if r.header == "a,b"]) > 3
+        texts = [bytes(r.payload) if r.payload is not None else open(f"{tmp_path}/text/{r.container_id}", "rb").read() for r in got]
+        assert sorted(x for t in texts for x in t.splitlines()[1:]) == sorted([b"1,2", b"3,4", b"9", b"5,6"] + [b"%d,0" % i for i in range(40)])
+    plain = compaction.compact_text(df, False, target_bytes=1 << 20).collect()
+    assert len(plain) == 1 and plain[0].header is None and plain[0].verified
+    assert compaction.compact_text(df.limit(0), True).count() == 0
+
+
 def test_frames_stay_as_they_are(spark):
     import zstandard
 
