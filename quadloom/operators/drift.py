@@ -9,13 +9,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadloom.runtime import ship_package
+
 # fixed values: one bit per JSON type; 0 = only null seen
 TYPE_BITS = {"number": 1, "string": 2, "boolean": 4, "object": 8, "array": 16}
+# kinds of numbers, one bit each: whole up to 2^53, to 63 bits, to 38 digits, longer; with fraction or exponent
+SMALL, LONG, WIDE, HUGE, FRACTION = 1, 2, 4, 8, 16
 EXPORTS_PER_BUCKET = 4096
 
 
@@ -29,6 +34,14 @@ def _bit(v: object) -> int:
     return {str: 2, dict: 8, list: 16}[type(v)]
 
 
+def _number_kind(v: object) -> int:
+    if isinstance(v, bool) or not isinstance(v, (int, float)):
+        return 0
+    if isinstance(v, float):
+        return FRACTION
+    return SMALL if abs(v) <= 1 << 53 else LONG if -(1 << 63) <= v < 1 << 63 else WIDE if abs(v) < 10**38 else HUGE
+
+
 def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
@@ -51,15 +64,16 @@ def _header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = parse_object(body)
             if v is not None:
                 keep.append(i)
-                fields.append([{"field_name": k, "type_bit": _bit(x), "position": p} for p, (k, x) in enumerate(v.items())])
+                fields.append([{"field_name": k, "type_bit": _bit(x), "number_kind": _number_kind(x), "position": p} for p, (k, x) in enumerate(v.items())])
         rest = b.select([c for c in b.schema.names if c != "body"]).take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(fields, pa.list_(pa.struct([("field_name", pa.string()), ("type_bit", pa.int32()), ("position", pa.int32())])))], names=[*rest.schema.names, "fields"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(fields, pa.list_(pa.struct([("field_name", pa.string()), ("type_bit", pa.int32()), ("number_kind", pa.int32()), ("position", pa.int32())])))], names=[*rest.schema.names, "fields"])
 
 
 def file_schemas(files: DataFrame) -> DataFrame:
     """``producer_id, export_no, layer_file_id, fields`` of every valid file; broken files give none."""
+    ship_package(files.sparkSession)
     return files.select("producer_id", F.col("export_no").cast("bigint").alias("export_no"), "layer_file_id", "body").mapInArrow(
-        _header, "producer_id bigint, export_no bigint, layer_file_id bigint, fields array<struct<field_name:string,type_bit:int,position:int>>"
+        _header, "producer_id bigint, export_no bigint, layer_file_id bigint, fields array<struct<field_name:string,type_bit:int,number_kind:int,position:int>>"
     )
 
 
@@ -102,18 +116,22 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
     return compared.withColumn("change_kind", kind).filter("change_kind is not null").select("producer_id", "export_no", "field_name", "change_kind", "old_types", "new_types")
 
 
-def promoted(mask: Column) -> Column:
-    """Lattice: null < number, boolean < string; object and array < json text; any mixture < json text.
+def promoted(mask: Column, kinds: Column) -> Column:
+    """Lattice: null < bigint < decimal(38,0) and double < string; boolean < string; object and array < json text.
 
-    number, string and boolean mixed become string.
+    Fractions with whole numbers up to 2^53 make double, which holds both exactly; fractions with longer
+    ones, and numbers of more than 38 digits, make string, as do number, string and boolean mixed.  Any
+    mixture with objects or arrays makes json.  No step changes a value.
     """
-    return F.when(mask == 0, "void").when(mask == 1, "double").when(mask == 4, "boolean").when(mask.bitwiseAND(24) == 0, "string").otherwise("json")
+    number = F.when(kinds.bitwiseAND(HUGE) != 0, "string").when(kinds.bitwiseAND(FRACTION) != 0, F.when(kinds.bitwiseAND(LONG | WIDE) != 0, "string").otherwise("double")).when(kinds.bitwiseAND(WIDE) != 0, "decimal(38,0)").otherwise("bigint")
+    return F.when(mask == 0, "void").when(mask == 1, number).when(mask == 4, "boolean").when(mask.bitwiseAND(24) == 0, "string").otherwise("json")
 
 
 def union_schema(schemas: DataFrame) -> DataFrame:
     """``field_name, field_type, n_files`` over all files: the fold of all file schemas."""
     f = schemas.select(F.explode("fields").alias("f"))
-    return f.groupBy(F.col("f.field_name").alias("field_name")).agg(F.bit_or("f.type_bit").alias("mask"), F.count(F.lit(1)).alias("n_files")).select("field_name", promoted(F.col("mask")).alias("field_type"), "n_files")
+    g = f.groupBy(F.col("f.field_name").alias("field_name")).agg(F.bit_or("f.type_bit").alias("mask"), F.bit_or("f.number_kind").alias("kinds"), F.count(F.lit(1)).alias("n_files"))
+    return g.select("field_name", promoted(F.col("mask"), F.col("kinds")).alias("field_type"), "n_files")
 
 
 def read_unified(files: DataFrame, max_fields: int = 10_000) -> DataFrame:
@@ -130,14 +148,16 @@ def read_unified(files: DataFrame, max_fields: int = 10_000) -> DataFrame:
     kinds = {r["field_name"]: r["field_type"] for r in u}
     own = ["producer_id", "export_no", "layer_file_id"]
     names = {f: f"field_{f}" if f in own else f for f in kinds}
-    arrow = {"void": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "json": pa.string()}
-    spark = {"void": "string", "double": "double", "boolean": "boolean", "string": "string", "json": "string"}
+    arrow = {"void": pa.string(), "bigint": pa.int64(), "decimal(38,0)": pa.decimal128(38, 0), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "json": pa.string()}
+    spark = {k: "string" if k in ("void", "json") else k for k in arrow}
 
     def cast(v: object, kind: str) -> object:
         if v is None:
             return None
         if kind == "double":
             return float(v)
+        if kind == "decimal(38,0)":
+            return Decimal(v)
         if kind == "string":
             return v if isinstance(v, str) else json.dumps(v)
         if kind == "json":

@@ -60,12 +60,27 @@ def p2_orphans_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphans_by_day(_orphans(spark, sf_dir))
 
 
-def p2_current_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = orphans.current_orphan_keys(table(spark, sf_dir, "frame_tiles"), table(spark, sf_dir, "tile_uncles"))
+def _content_keys(k: DataFrame) -> DataFrame:
     frame, tile = F.shiftright("packed", 31), F.col("packed").bitwiseAND((1 << 31) - 1)
     return k.select("session_id", F.coalesce(F.concat_ws("_", frame, tile), "other_id").alias("content_key"), "n_existing", "n_references")
 
 
+def p2_current_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _content_keys(orphans.current_orphan_keys(table(spark, sf_dir, "frame_tiles"), table(spark, sf_dir, "tile_uncles")))
+
+
+def p2_maintained_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report from stored counts: rows of even days first, then those of odd days, then the removals."""
+    tiles, uncles = table(spark, sf_dir, "frame_tiles"), table(spark, sf_dir, "tile_uncles")
+    early = F.coalesce(F.dayofmonth("arrived_at") % 2 == 0, F.lit(True))
+    seen = tiles.withColumn("removed_at", F.when(F.col("removed_at") <= F.col("arrived_at"), F.col("removed_at")))  # as they arrive
+    scratch = Scratch(spark, "counts")
+    counts = scratch.save(orphans.key_deltas(seen.filter(early), uncles.filter(early)))
+    counts = scratch.save(orphans.update_counts(counts, orphans.key_deltas(seen.filter(~early), uncles.filter(~early))))
+    gone = tiles.filter("removed_at > arrived_at or (removed_at is not null and arrived_at is null)")
+    return _content_keys(orphans.orphan_keys(orphans.update_counts(counts, orphans.removals(gone))))
+
+
 # 4 - full hierarchies
 def _layer_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.nested_sets(hierarchy.layer_nodes(table(spark, sf_dir, "matrix_layers")), prefix=False)
@@ -138,7 +153,20 @@ def p7_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("object_kind").agg(F.count(F.lit(1)).alias("n_objects"), F.sum("n_occurrences").alias("n_occurrences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_containers, p1_sizes, p1_restored, p1_text_joined, p1_length_mismatches, p2_found, p2_orphans_by_day, p2_current_keys, p4_found, p4_subtrees, p4_descendants_of_roots, p4_paths, p4_descendants, p6_found, p6_union_schema, p6_unified_counts, p7_found, p7_objects)}
+def p7_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = shred.bridges(shred.shred(table(spark, sf_dir, "frame_json"), with_body=False))
+    return nodes.groupBy(F.col("child_kind").alias("object_kind")).agg(F.count(F.lit(1)).alias("n_occurrences"))
+
+
+def p7_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames put together again from the stored objects, against their source."""
+    frames = table(spark, sf_dir, "frame_json")
+    nodes = Scratch(spark, "nodes").save(shred.shred(frames))
+    back = shred.rebuild(shred.bridges(nodes), shred.objects(nodes)).withColumnRenamed("body", "back")
+    return shred.canonical(frames).join(back, "frame_key", "full_outer").select("frame_key", F.col("body").eqNullSafe(F.col("back")).alias("same"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_containers, p1_sizes, p1_restored, p1_text_joined, p1_length_mismatches, p2_found, p2_orphans_by_day, p2_current_keys, p2_maintained_keys, p4_found, p4_subtrees, p4_descendants_of_roots, p4_paths, p4_descendants, p6_found, p6_union_schema, p6_unified_counts, p7_found, p7_objects, p7_occurrences, p7_rebuilt)}
 
 _FILES = r"""files as (
   select file_id, content,
@@ -252,10 +280,21 @@ SQL = {
       where old.types is null or cur.types is null or (old.types > 0 and cur.types > 0 and old.types <> cur.types)""",
     "p6_union_schema": """with good as (select body from layer_files where json_valid(body) and json_type(body) = 'OBJECT'),
       flds as (select unnest(json_keys(body)) as f, body from good),
-      typed as (select f, case json_type(json_extract(body, '$."' || f || '"')) when 'NULL' then 0 when 'VARCHAR' then 2 when 'BOOLEAN' then 4 when 'OBJECT' then 8 when 'ARRAY' then 16 else 1 end as bit from flds)
-      select f as field_name, case when bit_or(bit) = 0 then 'void' when bit_or(bit) = 1 then 'double' when bit_or(bit) = 4 then 'boolean' when bit_or(bit) & 24 = 0 then 'string' else 'json' end as field_type, count(*)::bigint as n_files from typed group by f""",
+      vals as (select f, json_extract(body, '$."' || f || '"') as v from flds),
+      typed as (select f, json_type(v) as jt, v::varchar as v from vals),
+      bits as (select f, case jt when 'NULL' then 0 when 'VARCHAR' then 2 when 'BOOLEAN' then 4 when 'OBJECT' then 8 when 'ARRAY' then 16 else 1 end as bit,
+        case when jt not in ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') then 0 when regexp_matches(v, '[.eE]') then 16 when try_cast(v as hugeint) is null then 8
+          when abs(v::hugeint) <= 9007199254740992 then 1 when try_cast(v as bigint) is not null then 2 else 4 end as kind from typed),
+      g as (select f, bit_or(bit) as m, bit_or(kind) as k, count(*)::bigint as n_files from bits group by f)
+      select f as field_name, case when m = 0 then 'void' when m = 1 then case when k & 8 > 0 then 'string' when k & 16 > 0 then case when k & 6 > 0 then 'string' else 'double' end when k & 4 > 0 then 'decimal(38,0)' else 'bigint' end
+        when m = 4 then 'boolean' when m & 24 = 0 then 'string' else 'json' end as field_type, n_files from g""",
     "p6_unified_counts": """with good as (select body from layer_files where json_valid(body) and json_type(body) = 'OBJECT'),
       flds as (select unnest(json_keys(body)) as f, body from good)
       select f as field_name, count(*) filter (json_type(json_extract(body, '$."' || f || '"')) <> 'NULL')::bigint as n_values from flds group by f""",
     "p7_found": f"with {_SHAPES} select frame_key, tile_no::bigint as tile_no, child_kind, child_no::bigint as child_no from hits",
 }
+SQL["p7_rebuilt"] = "select distinct frame_key, true as same from frame_json where json_valid(body) and json_type(body) = 'OBJECT'"
+SQL["p7_occurrences"] = f"""with {_SHAPES} select child_kind as object_kind, count(*)::bigint as n_occurrences from hits group by 1
+  union all select 'tile', count(*) filter (json_type(t) = 'OBJECT')::bigint from tl
+  union all select 'frame', count(*)::bigint from frames where json_type(body) = 'OBJECT'"""
+SQL["p2_maintained_keys"] = SQL["p2_current_keys"]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import glob
+import json
 import zlib
 
 import numpy as np
@@ -120,8 +121,8 @@ def brute_orphans(tiles, uncles):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_orphans_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, hot_rows", [(1, 10**6), (2, 10**6), (1, 5), (2, 5)])
+def test_orphans_against_brute_force(spark, seed, hot_rows):
     rng = np.random.default_rng(seed)
     ids = ["1_1", " 00001_1", "1_2", "0002_3", "2_3 ", "x", None, "null", "", "99999999999_1", "3_3"]
     pick = lambda p: ids[int(rng.choice(len(ids), p=p))]
@@ -129,11 +130,25 @@ def test_orphans_against_brute_force(spark, seed):
     hour = lambda none: None if rng.random() < none else int(rng.integers(0, 80))
     tiles = [(i, None if rng.random() < 0.05 else int(rng.integers(1, 3)), pick(p), pick(p), pick(p), at(hour(0.05)), at(hour(0.5)), "c", 0) for i in range(150)]
     uncles = [(i, int(rng.integers(1, 3)), pick(p), at(hour(0.05)), "c") for i in range(60)]
-    got = orphans.find_orphans(spark.createDataFrame(tiles, TILES), spark.createDataFrame(uncles, UNCLES))
+    got = orphans.find_orphans(spark.createDataFrame(tiles, TILES), spark.createDataFrame(uncles, UNCLES), hot_rows)
     rows = [(r.ref_table, r.ref_id, r.field_name) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute_orphans(tiles, uncles)
 
 
+def test_counts_are_maintained(spark):
+    tiles = [(1, 1, "1_1", "1_2", None, at(1), None, "c", 0), (2, 1, "1_2", "1_3", "1_1", at(2), None, "c", 0), (3, 1, "1_2", "9_9", None, at(3), at(9), "c", 0), (4, None, "1_1", "1_5", None, at(3), None, "c", 0)]
+    uncles = [(1, 1, "1_2", at(1), "c"), (2, 1, "7_7", at(2), "c")]
+    t, u = (lambda x: spark.createDataFrame(x, TILES)), (lambda x: spark.createDataFrame(x, UNCLES))
+    whole = sorted(map(str, orphans.key_deltas(t(tiles), u(uncles)).filter("n_existing <> 0 or n_references <> 0").collect()))
+    counts = orphans.key_deltas(t(tiles[:1]), u(uncles[:1]))
+    for k in (1, 2, 3):  # a row at a time, as it arrives
+        row = (*tiles[k][:6], None, *tiles[k][7:])
+        counts = orphans.update_counts(counts, orphans.key_deltas(t([row]), u(uncles[k : k + 1])))
+    counts = orphans.update_counts(counts, orphans.removals(t(tiles[2:3])))
+    assert sorted(map(str, counts.collect())) == whole
+    assert {(r.session_id, r.packed & 0x7FFFFFFF) for r in orphans.orphan_keys(counts).collect()} == {(1, 3), (1, 7), (None, 5)}
+
+
 def test_orphans_of_nothing(spark):
     a, b = spark.createDataFrame([], TILES), spark.createDataFrame([], UNCLES)
     assert orphans.find_orphans(a, b).count() == 0 and orphans.current_orphan_keys(a, b).count() == 0
@@ -225,6 +240,17 @@ def test_schema_changes(spark):
     assert drift.schema_changes(drift.file_schemas(spark.createDataFrame([], FILE))).count() == 0
 
 
+def test_numbers_keep_their_value(spark):
+    big, wide = (1 << 53) + 1, 10**30 + 7
+    bodies = [{"i": big, "w": wide, "m": 1.5, "x": big, "h": 10**40, "s": 7}, {"i": 3, "w": 2, "m": 4, "x": 0.25, "h": 1, "s": -1}, {"i": None, "w": None, "s": True}]
+    f = spark.createDataFrame([(1, 1, k, json.dumps(b), None) for k, b in enumerate(bodies)], FILE)
+    u = drift.read_unified(f)
+    kinds = {k: v for k, v in u.dtypes if k in "iwmxhs"}
+    assert kinds == {"i": "bigint", "w": "decimal(38,0)", "m": "double", "x": "string", "h": "string", "s": "string"}
+    r = {x.layer_file_id: x for x in u.collect()}
+    assert (r[0].i, int(r[0].w), r[0].m, r[0].x, r[0].h, r[0].s) == (big, wide, 1.5, str(big), str(10**40), "7") and (r[1].i, r[1].m, r[1].x, r[2].i, r[2].s) == (3, 4.0, "0.25", None, "true")
+
+
 def test_previous_exports_over_blocks(spark):
     nos = [1, 2, 5, 6, 13, 40]
     e = spark.createDataFrame([(1, n) for n in nos], "producer_id bigint, export_no bigint")
@@ -252,6 +278,26 @@ def test_shredding(spark):
     assert shred.shred(f.limit(0)).count() == 0
 
 
+FRAMES = [
+    {"frame": {"camera": {"x": 1}, "tiles": [{"id": "1_1", "triangleStrip": [{"x": 1}, None, {"x": 1}], "uncles": [None, {"d": "N"}], "modelViewMatrix": [1, 2, 3, 4]}]}},
+    {"frame": {"camera": {"x": 999}, "tiles": [{"id": "1_1", "triangleStrip": [{"x": 1}, None, {"x": 1}], "uncles": [None, {"d": "N"}], "modelViewMatrix": [1, 2, 3, 4]}]}},
+    {"patches": [{"name": "p", "tiles": {"a": {"triangleStrip": {"vertices": [[1, 2], None], "stride": 2, "z": 1}, "uncles": {"direction": "D"}}, "b": 5}}, {"tiles": "[{\"id\": 3}]", "k": []}], "lines": [[1], {}]},
+    {"tiles": [{"triangleStrip": [1, 2, 3, 4, 5, 6], "uncles": "x", "modelViewMatrix": {"m": [[1, 0], [0, 1]]}}, None, {"modelViewMatrix": "1 0 0 1", "uncles": {"items": [{"a": 1}, "[]"], "n": 2}}, {"modelViewMatrix": None, "triangleStrip": None}]},
+    {"tiles": None, "n": 12345678901234567890, "f": 0.1}, {},
+    {"tiles": [{"tiles": [{"id": 1}], "triangleStrip": "{\"vertices\": [[1]]}", "uncles": ["{\"d\": 1}", "plain", ""]}]},
+]
+
+
+def test_frames_are_rebuilt_whole(spark):
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(FRAMES)] + [(0, json.dumps(FRAMES[0])), (50, "{"), (None, "{}")], "frame_key bigint, body string")
+    nodes = shred.shred(df)
+    back = {r.frame_key: json.loads(r.body) for r in shred.rebuild(shred.bridges(nodes), shred.objects(nodes)).collect()}
+    assert back == dict(enumerate(FRAMES))
+    whole = {r.frame_key: r.object_id for r in nodes.filter("child_kind = 'frame'").collect()}
+    assert len(set(whole.values())) == len(FRAMES)  # the camera is part of the frame's identity
+    assert nodes.filter("frame_key in (0, 1) and child_kind = 'tile'").select("object_id").distinct().count() == 1
+
+
 def test_scratch_tables_live_in_the_checkpoint_folder(spark):
     s = Scratch(spark, "t")
     d = s.save(spark.range(5))
