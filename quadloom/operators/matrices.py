@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.operators.graph import placed_components
-from quadloom.runtime import Scratch
+from quadloom.runtime import Scratch, ship_package
 
 HOLDERS_A_TASK = 2_000
+MAX_MATRIX_CELLS = 4_000_000
+LABELLED_AT_ONCE = 1_000_000
 
 
 def cell_links(cells: DataFrame) -> DataFrame:
@@ -23,11 +28,85 @@ def cell_links(cells: DataFrame) -> DataFrame:
     return step.join(b, ["matrix_id", "i", "j"]).select("u", "v", "di", "dj")
 
 
-def cell_components(cells: DataFrame) -> DataFrame:
-    """``matrix_id, i, j, root_i, root_j``: each cell with the smallest cell it is connected to."""
-    placed = placed_components(cell_links(cells)).select(F.col("v.matrix_id").alias("matrix_id"), F.col("v.i").alias("i"), F.col("v.j").alias("j"), F.col("root.i").alias("root_i"), F.col("root.j").alias("root_j"))
-    all_cells = cells.select("matrix_id", "i", "j").distinct()
-    return all_cells.join(placed, ["matrix_id", "i", "j"], "left").select("matrix_id", "i", "j", F.coalesce("root_i", "i").alias("root_i"), F.coalesce("root_j", "j").alias("root_j"))
+_LABELS = pa.schema([("matrix_id", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("root_i", pa.int32()), ("root_j", pa.int32())])
+
+
+def label_cells(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Position of the first cell of each cell's piece; cells distinct and sorted by matrix, row, column."""
+    n = len(m)
+    if not n:
+        return np.zeros(0, np.int64)
+    i, j = i.astype(np.int64), j.astype(np.int64)
+    right = np.flatnonzero((m[1:] == m[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1] + 1))
+    # the cell below: matrices by number, places as one key where that fits a machine word
+    no = np.cumsum(np.concatenate([[0], m[1:] != m[:-1]]))
+    h, w = int(i.max() - i.min()) + 2, int(j.max() - j.min()) + 1
+    if (int(no[-1]) + 1) * h * w < 1 << 62:
+        key = (no * h + (i - i.min())) * w + (j - j.min())
+        want = key + w
+    else:
+        key, want = np.rec.fromarrays([no, i, j]), np.rec.fromarrays([no, i + 1, j])
+    at = np.minimum(np.searchsorted(key, want), n - 1)
+    down = np.flatnonzero(key[at] == want)
+    a, b = np.concatenate([right, down]), np.concatenate([right + 1, at[down]])
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, before[a], low)
+        np.minimum.at(label, before[b], low)
+        label = label[label]
+        if np.array_equal(label, before):
+            return label
+
+
+def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels whole matrices; rows come sorted, and a matrix may go on in the next batch."""
+
+    def run(t: pa.Table) -> pa.RecordBatch:
+        m, i, j = (t.column(c).to_numpy() for c in ("matrix_id", "i", "j"))
+        at = label_cells(m, i, j)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((m, i, j, i[at], j[at]), _LABELS)], schema=_LABELS)
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows >= LABELLED_AT_ONCE:
+            t = pa.Table.from_batches(held)
+            m = t.column("matrix_id").to_numpy()
+            cut = int(np.searchsorted(m, m[-1]))  # the last matrix may go on
+            if cut:
+                yield run(t.slice(0, cut))
+                t = t.slice(cut)
+            held, rows = t.to_batches(), t.num_rows
+    if rows:
+        yield run(pa.Table.from_batches(held))
+
+
+def cell_components(cells: DataFrame, max_matrix_cells: int = MAX_MATRIX_CELLS) -> DataFrame:
+    """``matrix_id, i, j, root_i, root_j``: each cell with the smallest cell it is connected to.
+
+    No link leaves its matrix, so whole matrices are labelled inside tasks, many in each; a matrix of
+    more than ``max_matrix_cells`` cells is labelled by Spark rounds.  Cells with a null place or matrix
+    are pieces of their own.
+    """
+    ship_package(cells.sparkSession)
+    c = cells.select(F.col("matrix_id").cast("bigint").alias("matrix_id"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")).distinct()
+    whole = c.filter("matrix_id is not null and i is not null and j is not null")
+    sizes = cells.groupBy(F.col("matrix_id").cast("bigint").alias("matrix_id")).agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.filter((F.col("n") > max_matrix_cells) & F.col("matrix_id").isNotNull()).select("matrix_id")
+    n_large = large.count()  # fewer than cells / bound
+    small = whole.join(F.broadcast(large), "matrix_id", "left_anti") if n_large else whole
+    out = small.repartition("matrix_id").sortWithinPartitions("matrix_id", "i", "j").mapInArrow(_label_batches, "matrix_id bigint, i int, j int, root_i int, root_j int")
+    if n_large:
+        big = whole.join(F.broadcast(large), "matrix_id")
+        placed = placed_components(cell_links(big)).select(F.col("v.matrix_id").alias("matrix_id"), F.col("v.i").alias("i"), F.col("v.j").alias("j"), F.col("root.i").alias("root_i"), F.col("root.j").alias("root_j"))
+        out = out.unionByName(big.join(placed, ["matrix_id", "i", "j"], "left").select("matrix_id", "i", "j", F.coalesce("root_i", "i").alias("root_i"), F.coalesce("root_j", "j").alias("root_j")))
+    return out.unionByName(c.filter("matrix_id is null or i is null or j is null").select("*", F.col("i").alias("root_i"), F.col("j").alias("root_j")))
 
 
 def validity(raw: DataFrame, components: DataFrame) -> DataFrame:

@@ -346,9 +346,8 @@ def mtx17(spark, d):
 
 @query("mtx18_grid_assembly", f"with {_PIECES} select matrix_id, i, j, (i - root_i)::bigint as grid_i, 0::bigint as grid_j from pieces")
 def mtx18(spark, d):
-    c = cells(spark, d, first_only=False)
-    p = placed_components(mx.cell_links(c)).select(F.col("v.matrix_id").alias("matrix_id"), F.col("v.i").alias("i"), F.col("v.j").alias("j"), F.col("di").alias("grid_i"), F.col("dj").alias("grid_j"))
-    return c.select("matrix_id", "i", "j").join(p, ["matrix_id", "i", "j"], "left").select("matrix_id", "i", "j", F.coalesce("grid_i", F.lit(0)).alias("grid_i"), F.coalesce("grid_j", F.lit(0)).alias("grid_j"))
+    p = mx.cell_components(cells(spark, d, first_only=False))
+    return p.select("matrix_id", "i", "j", (F.col("i") - F.col("root_i")).cast("bigint").alias("grid_i"), (F.col("j") - F.col("root_j")).cast("bigint").alias("grid_j"))
 
 
 @query("mtx19_largest_component", f"with {_PIECES}, s as (select matrix_id, root_i, count(*) as n from pieces group by all) select matrix_id, arg_max(root_i, row(n, -root_i)) as root_i, max(n) as n_cells from s group by 1")

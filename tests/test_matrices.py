@@ -2,6 +2,7 @@
 
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,20 @@ def test_loops_and_guards_raise(spark):
     with pytest.raises(RuntimeError):
         graph.placed_components(links, max_rounds=1)
     assert {(r.v, r.root, r.di) for r in graph.placed_components(links).collect()} == {(k, 0, k) for k in range(21)}
+
+
+def test_pieces_are_alike_on_both_sides_of_the_bound(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(m), int(i), int(j)) for m, i, j in zip(rng.integers(1, 9, 400), rng.integers(-3, 9, 400), rng.integers(0, 9, 400))] + [(9, 0, 0), (10, None, 1), (None, 1, 1), (11, 2**31 - 1, 0), (11, -(2**31), 0)]
+    df = spark.createDataFrame(rows, "matrix_id bigint, i int, j int")
+    got = sorted(map(str, mx.cell_components(df).collect()))
+    assert got == sorted(map(str, mx.cell_components(df, max_matrix_cells=40).collect())) and len(got) == len(set(rows))
+    assert mx.cell_components(df.limit(0)).count() == 0
+
+
+def test_labels_of_long_pieces():
+    # a snake through a wide matrix, and a comb: pieces far longer than they are wide
+    snake = sorted([(0, i, j) for i in range(0, 200, 2) for j in range(100)] + [(0, i, 99 if i % 4 == 1 else 0) for i in range(1, 199, 2)])
+    m, i, j = (np.array(x) for x in zip(*snake))
+    assert set(mx.label_cells(m, i, j).tolist()) == {0}
+    assert mx.label_cells(np.array([1, 1, 2]), np.array([0, 0, 1]), np.array([0, 2, 0])).tolist() == [0, 1, 2]
