@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLANKS = r"^\s+|\s+$"
@@ -73,14 +73,14 @@ def bare_quadkey(c: Column) -> Column:
     return F.nullif(F.regexp_extract(strip(c), r"^(?:.*/)?(0[0-3]*)(?:\.[A-Za-z]+)?$", 1), F.lit(""))
 
 
-def tile_key(image_path: Column, texture_file: Column) -> Column:
+def tile_key(image_path: Column, texture_file: Column, canonical: bool = False) -> Column:
     """One key for all spellings of a tile's path.
 
     Pyramid images: the folder above ``pyramidalImage`` and the quadkey in the file name, so both
     folder layouts agree.  Textures: the matrix folder and the five-digit tile id.  Anything else:
-    the canonical path itself.  Null if both paths are null or blank.
+    the canonical path itself.  Null if both paths are null or blank.  ``canonical``: the paths are so already.
     """
-    p, t = quick_path(image_path), quick_path(texture_file)
+    p, t = (image_path, texture_file) if canonical else (quick_path(image_path), quick_path(texture_file))
     qk = F.regexp_extract(p, r"/(0[0-3]*)\.[A-Za-z]+$", 1)
     base = F.regexp_extract(p, r"^(.*?)/pyramidalImage/", 1)
     folder = F.regexp_extract(t, r"^(.*)/[^/]*$", 1)
@@ -89,3 +89,14 @@ def tile_key(image_path: Column, texture_file: Column) -> Column:
         F.when(F.length(strip(image_path)) > 0, F.when((qk != "") & (base != ""), F.concat(F.lit("P|"), base, F.lit("|"), qk)).otherwise(F.concat(F.lit("F|"), p))),
         F.when(F.length(strip(texture_file)) > 0, F.when(fid != "", F.concat(F.lit("T|"), folder, F.lit("|"), five_digit(fid))).otherwise(F.concat(F.lit("F|"), t))),
     )
+
+
+def has_tile_key(image_path: Column, texture_file: Column) -> Column:
+    """Whether ``tile_key`` is not null, without making it."""
+    return (F.length(F.coalesce(strip(image_path), F.lit(""))) > 0) | (F.length(F.coalesce(strip(texture_file), F.lit(""))) > 0)
+
+
+def with_tile_key(df: DataFrame, image_path: str, texture_file: str) -> DataFrame:
+    """``tile_key`` as a column; paths are made canonical once a row, in a projection of their own."""
+    paths = df.withColumns({"_ip": quick_path(F.col(image_path)), "_tf": quick_path(F.col(texture_file))})
+    return paths.withColumn("tile_key", tile_key(F.col("_ip"), F.col("_tf"), canonical=True)).drop("_ip", "_tf")

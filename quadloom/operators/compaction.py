@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.functions.ids import tile_key
+from quadloom.functions.ids import has_tile_key, with_tile_key
 from quadloom.runtime import Scratch, range_blocks, ship_package
 
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"  # fixed value: frame header of the public format
@@ -92,8 +92,8 @@ def tile_versions(files: DataFrame) -> DataFrame:
     versions of one tile spread over tasks because the digest is part of the key.  Files without bytes
     (null) or without a path are left out; empty files count as content.
     """
-    keyed = files.select("file_id", tile_key(F.col("image_path"), F.col("texture_file")).alias("tile_key"), F.sha2("content", 256).alias("digest"), F.octet_length("content").cast("bigint").alias("n_bytes"))
-    keyed = keyed.filter("file_id is not null and tile_key is not null and digest is not null")
+    keyed = files.select("file_id", "image_path", "texture_file", F.unhex(F.sha2("content", 256)).alias("digest"), F.octet_length("content").cast("bigint").alias("n_bytes"))
+    keyed = with_tile_key(keyed, "image_path", "texture_file").drop("image_path", "texture_file").filter("file_id is not null and tile_key is not null and digest is not null")
     return keyed.groupBy("tile_key", "digest").agg(F.min("file_id").alias("file_id"), F.count(F.lit(1)).alias("n_files"), F.max("n_bytes").alias("n_bytes"))
 
 
@@ -105,7 +105,11 @@ def numbered(parts: DataFrame, scratch: Scratch, order: list[str], target_bytes:
     ``block_rows`` rows, whose sums are carried over.
     """
     saved = scratch.save(parts)
-    r = range_blocks(saved, scratch, order, saved.count() // block_rows + 1)
+    blocks = saved.count() // block_rows + 1
+    if blocks == 1:
+        before = F.coalesce(F.sum("n_bytes").over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return saved.withColumn("container_no", F.floor(before / target_bytes).cast("bigint"))
+    r = range_blocks(saved, scratch, order, blocks)
     carried = r.groupBy("_b").agg(F.sum("n_bytes").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry"))  # a row a block
     inside = F.coalesce(F.sum("n_bytes").over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return r.withColumn("_in", inside).join(carried, "_b").withColumn("container_no", F.floor((F.col("_in") + F.col("_carry")) / target_bytes).cast("bigint")).drop("_b", "_in", "_carry")
@@ -190,7 +194,7 @@ def compact_files(files: DataFrame, target_bytes: int = TARGET_BYTES, uri: str |
     larger than the target makes its container larger.  Empty input gives no container.
     """
     ship_package(files.sparkSession)
-    kept = numbered(tile_versions(files).select("tile_key", "digest", "file_id", "n_bytes"), Scratch(files.sparkSession, "compaction"), ["tile_key", "digest"], target_bytes)
+    kept = numbered(tile_versions(files).select("tile_key", "file_id", "n_bytes"), Scratch(files.sparkSession, "compaction"), ["tile_key", "file_id"], target_bytes)
     data = files.filter("file_id is not null and content is not null").select("file_id", "content", F.crc32("content").alias("crc32"))
     one = data.join(kept.select("file_id", "tile_key", "n_bytes", "container_no"), "file_id")
     return one.groupBy("container_no").applyInArrow(_packer(uri), CONTAINER_SCHEMA)
@@ -204,9 +208,7 @@ def manifest(containers: DataFrame) -> DataFrame:
 def repeated_files(files: DataFrame, containers: DataFrame) -> DataFrame:
     """Files that no container lists because a smaller ``file_id`` stores the same tile and bytes."""
     kept = manifest(containers).filter("verified").select("file_id")
-    eligible = files.filter(
-        F.col("file_id").isNotNull() & F.col("content").isNotNull() & tile_key(F.col("image_path"), F.col("texture_file")).isNotNull()
-    ).select("file_id")
+    eligible = files.filter(F.col("file_id").isNotNull() & F.col("content").isNotNull() & has_tile_key(F.col("image_path"), F.col("texture_file"))).select("file_id")
     return eligible.join(kept, "file_id", "left_anti")
 
 

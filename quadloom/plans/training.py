@@ -238,7 +238,7 @@ SQL = {
     "p1_text_joined": """with f as (select body from layer_files where layer_file_id is not null and strlen(body) > 0),
       x as (select strlen(body) as n, length(body) - length(replace(body, chr(10), '')) + (not ends_with(body, chr(10)))::int as l, (not ends_with(body, chr(10)))::int as added from f)
       select count(*)::bigint as n_files, sum(l)::bigint as n_lines, sum(n + added)::bigint as n_bytes, true as verified from x""",
-    "p1_sizes": f"""with {_FILES}, v as (select octet_length(content) as n, coalesce(sum(octet_length(content)) over (order by tile_key, sha256(content) rows between unbounded preceding and 1 preceding), 0) as b from ranked where rn = 1),
+    "p1_sizes": f"""with {_FILES}, v as (select octet_length(content) as n, coalesce(sum(octet_length(content)) over (order by tile_key, file_id rows between unbounded preceding and 1 preceding), 0) as b from ranked where rn = 1),
       c as (select b // 262144 as k, sum(n) as n from v group by 1) select count(*)::bigint as n_containers, count(*) filter (n < 196608)::bigint as n_small from c""",
     "p1_restored": f"with {_FILES} select file_id, sha256(content) as digest from ranked where rn = 1",
     "p1_length_mismatches": "select file_id, n_bytes as recorded_bytes, octet_length(content)::int as held_bytes from tile_files where n_bytes <> octet_length(content)",

@@ -75,6 +75,14 @@ def test_joining_text_and_frames():
     assert list(compaction.split_frames(f + f)) == [b"hello", b"hello"]
 
 
+@pytest.mark.parametrize("block_rows", [10**6, 7])
+def test_container_numbers_over_ranges(spark, block_rows):
+    sizes = [int(x) for x in np.random.default_rng(3).integers(0, 50, 100)]
+    df = spark.createDataFrame([(f"k{i:03d}", n) for i, n in enumerate(sizes)], "k string, n_bytes bigint")
+    got = {r.k: r.container_no for r in compaction.numbered(df, Scratch(spark, "t"), ["k"], 100, block_rows).collect()}
+    assert got == {f"k{i:03d}": sum(sizes[:i]) // 100 for i in range(100)}
+
+
 def test_text_containers(spark, tmp_path):
     parts = [(1, b"a,b\n1,2\n"), (2, b"\xef\xbb\xbfa,b\r\n3,4"), (3, b"c\n9\n"), (4, b""), (5, None), (6, b"a,b\n"), (2, b"a,b\n5,6\n"), (None, b"a,b\n7,7\n")] + [(10 + i, b"a,b\n%d,0\n" % i) for i in range(40)]
     df = spark.createDataFrame(parts, "file_id bigint, content binary")
