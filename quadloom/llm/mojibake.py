@@ -406,7 +406,8 @@ def garbled_words(words: DataFrame, model: Model, scratch: Scratch, passes: int
     readable ones that are not garbled themselves: a first pass leaves out words that invert to a more
     frequent one, later ones those that the pass before found garbled.
     """
-    t = scratch.save(words.mapInArrow(_classify(model), _CLASSED_SQL))
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    t = scratch.save(words.repartition(tasks).mapInArrow(_classify(model), _CLASSED_SQL))  # few bytes, much work
     ask = scratch.save(t.select("w", "n", F.col("folded").alias("own"), F.explode("cands").alias("c")).select("w", "n", "own", "c.*"))
     frequent = ask.join(t.select(F.col("w").alias("shaped"), F.col("n").alias("n_back")), "shaped").filter(F.col("n_back") > F.col("n") * F.col("often")).select("w").distinct()
     clean = t.filter("usable").select("w", "folded").join(frequent, "w", "left_anti")
