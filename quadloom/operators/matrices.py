@@ -246,37 +246,197 @@ def place_levels(edges: DataFrame, roots: DataFrame, digit: Column) -> DataFrame
     return u.select("tile_id", "path")
 
 
+Cells = dict[int, tuple[int, int]]
+
+
+def merged(a: Cells, b: Cells) -> Cells | None:
+    """Both matrices on a's grid, or None unless all shared tiles agree on one offset and no place is taken twice."""
+    offs = {(a[t][0] - b[t][0], a[t][1] - b[t][1]) for t in a.keys() & b.keys()}
+    if len(offs) != 1:
+        return None
+    di, dj = next(iter(offs))
+    taken = {p: t for t, p in a.items()}
+    moved = {t: (i + di, j + dj) for t, (i, j) in b.items()}
+    return {**a, **moved} if all(taken.get(p, t) == t for t, p in moved.items()) else None
+
+
+def at_origin(cells: Cells) -> Cells:
+    mi, mj = min(i for i, _ in cells.values()), min(j for _, j in cells.values())
+    return {t: (i - mi, j - mj) for t, (i, j) in cells.items()}
+
+
+def _rows(groups: list[tuple[int, Cells]]) -> list[tuple[int, int, int, int]]:
+    return [(m, t, i, j) for m, at in groups for t, (i, j) in at_origin(at).items()]
+
+
+def retry_sweep(groups: list[tuple[int, Cells]], tries: int) -> tuple[list[tuple[int, Cells]], int]:
+    """Every matrix in turn against the one behind it: merged, or sent to the end, up to ``tries`` times.
+
+    ``tries`` is the number of matrices after the last change of it, and is handed on.
+    """
+    groups = list(groups)
+    at = 0
+    while at < len(groups):
+        n = 0
+        while n < tries and at + 1 < len(groups):
+            n += 1
+            nxt = groups.pop(at + 1)
+            both = merged(groups[at][1], nxt[1])
+            if both is None:
+                groups.append(nxt)
+            else:
+                groups[at] = (groups[at][0], both)
+                tries = len(groups)
+        at += 1
+    return groups, tries
+
+
+def cut_sweep(groups: list[tuple[int, Cells]], cutters: set[int]) -> list[tuple[int, Cells]]:
+    """Matrices with cutters in one column, not the first, cut there: the right part stays, the left one goes to the end."""
+    out, left = [], []
+    for m, at in groups:
+        at = at_origin(at)
+        cols = {at[t][1] for t in at.keys() & cutters}
+        c = min(cols) if len(cols) == 1 else 0
+        out.append((m, {t: p for t, p in at.items() if p[1] >= c}))
+        if c > 0:
+            left.append((m, {t: p for t, p in at.items() if p[1] < c}))
+    return [*out, *left]
+
+
 def merge_sweep(frames: list[tuple[int, list[tuple[int, int, int]]]]) -> list[tuple[int, int, int, int]]:
-    """The greedy sweep over matrices in order: each merges with the following ones it fits.
+    """Sweeps over matrices in order until one merges nothing: ``matrix_id`` (of the merged group), ``tile_id, i, j``."""
+    return [r[1:] for r in grouping_fixpoint(frames, set())]
+
 
-    A matrix that fits nothing goes to the end of the queue until every matrix has had its turn since
-    the last merge.  Returns ``matrix_id (of the merged group), tile_id, i, j``.
+def grouping_fixpoint(frames: list[tuple[int, list[tuple[int, int, int]]]], cutters: set[int]) -> list[tuple[int, int, int, int, int]]:
+    """Sweeps of merging and cutting until their number of matrices stays: ``group_no, matrix_id, tile_id, i, j``.
+
+    A matrix that was merged and cut again would go on for ever: a state seen before ends the sweeps.
+    Raises where the tiles at the end are not those at the beginning.
     """
-    queue = [(m, {t: (i, j) for t, i, j in cells}) for m, cells in frames]
-    fails = 0
-    while queue and fails < len(queue):
-        m, at = queue.pop(0)
-        merged = False
-        rest = []
-        for k, other in queue:
-            both = at.keys() & other.keys()
-            offs = {(at[t][0] - other[t][0], at[t][1] - other[t][1]) for t in both}
-            if len(offs) == 1:
-                di, dj = next(iter(offs))
-                taken = {p: t for t, p in at.items()}
-                moved = {t: (i + di, j + dj) for t, (i, j) in other.items()}
-                if all(taken.get(p, t) == t for t, p in moved.items()):
-                    at.update(moved)
-                    merged = True
-                    continue
-            rest.append((k, other))
-        queue = [*rest, (m, at)]
-        fails = 0 if merged else fails + 1
-    out = []
-    for m, at in queue:
-        mi, mj = min(i for i, _ in at.values()), min(j for _, j in at.values())
-        out += [(m, t, i - mi, j - mj) for t, (i, j) in at.items()]
-    return out
+    groups = [(m, {t: (i, j) for t, i, j in c}) for m, c in frames]
+    before, tries, seen = {t for _, at in groups for t in at}, len(groups), set()
+    while True:
+        n = len(groups)
+        merged_, tries = retry_sweep(groups, tries)
+        groups = cut_sweep(merged_, cutters)
+        if len(groups) != len(merged_):
+            tries = len(groups)
+        state = tuple((m, tuple(sorted(at))) for m, at in groups)
+        if len(groups) == n == len(merged_) or state in seen:
+            break
+        seen.add(state)
+    if {t for _, at in groups for t in at} != before:
+        raise RuntimeError("tiles were lost or added")
+    return [(g, *r) for g, x in enumerate(groups) for r in _rows([x])]
+
+
+def full_merge(frames: list[tuple[int, list[tuple[int, int, int]]]]) -> list[tuple[int, int, int, int]]:
+    """Pairs in order until none fits: after each merge the search begins again at the first pair."""
+    groups = [(m, {t: (i, j) for t, i, j in c}) for m, c in frames]
+    again = True
+    while again:
+        again = False
+        for a in range(len(groups)):
+            for b in range(a + 1, len(groups)):
+                both = merged(groups[a][1], groups[b][1])
+                if both is not None:
+                    groups[a] = (groups[a][0], both)
+                    del groups[b]
+                    again = True
+                    break
+            if again:
+                break
+    return _rows(groups)
+
+
+def _row_bit(digit: Column) -> Column:
+    return F.when(digit.isin(2, 3), 1).otherwise(0)
+
+
+def _col_bit(digit: Column) -> Column:
+    return F.when(digit.isin(1, 2), 1).otherwise(0)
+
+
+def path_of(level: Column, row: Column, col: Column) -> Column:
+    """Root marker and a digit a level of a place; rows count from the south, columns from the west."""
+    bit = lambda x, k: F.floor(x / F.pow(F.lit(2), k)).cast("bigint") % 2
+    digit = lambda k: F.when(bit(row, k) == 0, F.when(bit(col, k) == 0, "0").otherwise("1")).otherwise(F.when(bit(col, k) == 0, "3").otherwise("2"))
+    return F.concat(F.lit("0"), F.when(level > 0, F.array_join(F.transform(F.sequence(level - 1, F.lit(0), F.lit(-1)), digit), "")).otherwise(""))
+
+
+def place_of(path: Column) -> Column:
+    """``level, row, col`` of a path of digits after the root marker."""
+    step = lambda acc, d: F.struct((acc["row"] * 2 + _row_bit(d.cast("int"))).alias("row"), (acc["col"] * 2 + _col_bit(d.cast("int"))).alias("col"))
+    zero = F.lit(0).cast("bigint")
+    digits = F.filter(F.split(F.substr(path, F.lit(2)), ""), lambda x: x != "")
+    rc = F.aggregate(digits, F.struct(zero.alias("row"), zero.alias("col")), step)
+    return F.struct((F.length(path) - 1).alias("level"), rc["row"].alias("row"), rc["col"].alias("col"))
+
+
+def anchors(votes: DataFrame, spans: DataFrame) -> DataFrame:
+    """``matrix_id, level, row0, col0`` of matrices whose strongest evidence has a strict majority.
+
+    ``votes``: ``matrix_id, tier, level, row, col`` with the place a vote gives the matrix's first cell,
+    columns taken modulo the level's width.  Only the lowest tier of a matrix counts.  Where no whole
+    place has more than half of the votes, level, row and column may each have a majority of their own.
+    A matrix as wide or high as the world begins at column or row 0.
+    """
+    best = votes.groupBy("matrix_id").agg(F.min("tier").alias("tier"))
+    v = votes.join(best, ["matrix_id", "tier"]).groupBy("matrix_id", "level", "row", "col").agg(F.count(F.lit(1)).alias("n"))
+    total = v.groupBy("matrix_id").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by(F.struct("level", "row", "col"), "n").alias("whole"))
+    for c in ("level", "row", "col"):
+        one = v.groupBy("matrix_id", c).agg(F.sum("n").alias("n")).groupBy("matrix_id").agg(F.max("n").alias(f"n_{c}"), F.max_by(c, "n").alias(f"own_{c}"))
+        total = total.join(one, "matrix_id")
+    joint = 2 * F.col("most") > F.col("all")
+    each = (2 * F.col("n_level") > F.col("all")) & (2 * F.col("n_row") > F.col("all")) & (2 * F.col("n_col") > F.col("all"))
+    pick = lambda c: F.when(joint, F.col(f"whole.{c}")).otherwise(F.col(f"own_{c}"))
+    a = total.filter(joint | each).select("matrix_id", pick("level").alias("level"), pick("row").alias("row"), pick("col").alias("col")).join(spans, "matrix_id")
+    world = F.pow(F.lit(2), F.col("level")).cast("bigint")
+    row0, col0 = F.when(F.col("n_rows") == world, 0).otherwise(F.col("row")), F.when(F.col("n_cols") == world, 0).otherwise(F.col("col"))
+    return a.select("matrix_id", "level", row0.cast("bigint").alias("row0"), col0.cast("bigint").alias("col0"), "n_rows", "n_cols").filter((F.col("row0") >= 0) & (F.col("row0") + F.col("n_rows") <= F.pow(F.lit(2), F.col("level"))) & (F.col("n_cols") <= F.pow(F.lit(2), F.col("level")))).drop("n_rows", "n_cols")
+
+
+def place_matrices(cells: DataFrame, uncles: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``matrix_id, tile_id, level, row, col, path`` of all tiles of the matrices that can be placed.
+
+    ``cells``: ``matrix_id, tile_id, i, j`` with rows and columns from 0; ``uncles``: ``tile_id, uncle_id,
+    digit``, the tile lies in that quadrant of the uncle; ``seeds``: ``tile_id, path``.  Evidence in order:
+    seeds, then places of tiles in matrices that were placed, then uncles.  Each pass places the
+    matrices with a majority on the lowest level there is one, so what they tell about deeper ones counts
+    before those are placed; the number of passes is bounded by levels, not by matrices.  Matrices
+    without a majority, or that would leave the world's rows, are left out, never guessed.
+    """
+    ship_package(cells.sparkSession)
+    s = Scratch(cells.sparkSession, "place")
+    spans = s.save(cells.groupBy("matrix_id").agg((F.max("i") + 1).alias("n_rows"), (F.max("j") + 1).alias("n_cols")))
+    seed = seeds.select("tile_id", place_of(F.col("path")).alias("p")).select("tile_id", F.lit(0).alias("tier"), "p.*")
+    known, out, waiting = s.save(seed), [], s.save(cells.select("matrix_id", "tile_id", "i", "j"))
+    while True:
+        world = F.pow(F.lit(2), F.col("level")).cast("bigint")
+        votes = waiting.join(known, "tile_id").select("matrix_id", "tier", "level", (F.col("row") - F.col("i")).alias("row"), F.pmod(F.col("col") - F.col("j"), world).alias("col"))
+        new = s.save(anchors(votes, spans))
+        level = new.agg(F.min("level")).first()[0]
+        if level is None:
+            break
+        now = new.filter(F.col("level") == level)
+        placed = s.save(waiting.join(now, "matrix_id").select("matrix_id", "tile_id", "level", (F.col("row0") + F.col("i")).alias("row"), F.pmod(F.col("col0") + F.col("j"), world).alias("col")))
+        out.append(placed)
+        rest = s.save(waiting.join(now.select("matrix_id"), "matrix_id", "left_anti"))
+        place = placed.select("tile_id", F.lit(1).alias("tier"), "level", "row", "col").distinct()
+        below = uncles.join(placed.select(F.col("tile_id").alias("uncle_id"), "level", "row", "col").distinct(), "uncle_id").select(
+            "tile_id", F.lit(2).alias("tier"), (F.col("level") + 1).alias("level"), (F.col("row") * 2 + _row_bit(F.col("digit"))).alias("row"), (F.col("col") * 2 + _col_bit(F.col("digit"))).alias("col")
+        )
+        more = s.save(known.unionByName(place).unionByName(below))
+        s.drop(known, waiting, new)
+        known, waiting = more, rest
+    if not out:
+        return waiting.limit(0).select("matrix_id", "tile_id", F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("row"), F.lit(0).cast("bigint").alias("col"), F.lit("").alias("path"))
+    u = out[0]
+    for x in out[1:]:
+        u = u.unionByName(x)
+    return u.select("*", path_of(F.col("level"), F.col("row"), F.col("col")).alias("path"))
 
 
 def priority_order(parents: dict[int, set[int]], rank: dict[int, tuple]) -> list[tuple[int, int, int]]:

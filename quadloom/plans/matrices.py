@@ -109,16 +109,30 @@ def set2(spark, d):
 @query("mtx7_merge_sweep")
 def mtx7(spark, d):
     """The order-dependent sweep over one customer's orders, as frames in order of their ids."""
+    return _by_session(spark, d, lambda frames: [(0, *r) for r in mx.merge_sweep(frames)]).drop("group_no")
+
+def _by_session(spark, d, group):
+    """The order-dependent forms need a session's matrices in one place; sessions go side by side."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("matrix_id"), F.col("o_custkey").alias("session_id"))
-    c = cells(spark, d).join(o, "matrix_id")
 
     def run(pdf):
         import pandas as pd
 
         frames = [(m, list(zip(g["tile_id"], g["i"], g["j"]))) for m, g in pdf.sort_values(["matrix_id", "i"]).groupby("matrix_id")]
-        return pd.DataFrame([(pdf["session_id"].iloc[0], *r) for r in mx.merge_sweep(frames)], columns=["session_id", "matrix_id", "tile_id", "i", "j"])
+        return pd.DataFrame([(pdf["session_id"].iloc[0], *r) for r in group(frames)], columns=["session_id", "group_no", "matrix_id", "tile_id", "i", "j"])
+
+    return cells(spark, d).join(o, "matrix_id").groupBy("session_id").applyInPandas(run, "session_id bigint, group_no int, matrix_id bigint, tile_id bigint, i int, j int")
+
+
+@query("mtx8_automatic_grouping")
+def mtx8a(spark, d):
+    """Merge and cut sweeps until nothing changes, per session; every 97th tile is a west cutter."""
+    return _by_session(spark, d, lambda frames: mx.grouping_fixpoint(frames, {t for _, c in frames for t, _, _ in c if t % 97 == 0}))
 
-    return c.groupBy("session_id").applyInPandas(run, "session_id bigint, matrix_id bigint, tile_id bigint, i int, j int")
+
+@query("mtx9_full_set_merge")
+def mtx9a(spark, d):
+    return _by_session(spark, d, lambda frames: [(0, *r) for r in mx.full_merge(frames)]).drop("group_no")
 
 
 @query("mtx8_grouping_fixpoint")
@@ -336,6 +350,21 @@ def mtx20(spark, d):
     return mx.place_levels(e.filter("uncle_id > 0"), roots, F.col("direction").cast("string"))
 
 
+# majorities outvote the wrong uncles everywhere in these tables, so each tile comes to its number in base 4
+@query("mtx20_placement_fixpoint", "with recursive digits(n, rest, key) as (select p_partkey, p_partkey, '' from part where p_partkey > 0 union all select n, rest // 4, (rest % 4)::varchar || key from digits where rest > 0) select n as tile_id, '0' || key as path from digits where rest = 0")
+def mtx20f(spark, d):
+    """Parts on the grid of their level, in matrices of four by four; some uncles missing, some wrong, eight seeds."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("tile_id")).filter("tile_id > 0")
+    digits = F.conv(F.col("tile_id").cast("string"), 10, 4)
+    p = p.withColumn("at", mx.place_of(F.concat(F.lit("0"), digits))).select("tile_id", "at.*")
+    c = p.select(F.concat_ws("/", "level", F.expr("row div 4"), F.expr("col div 4")).alias("matrix_id"), "tile_id", (F.col("row") % 4).cast("int").alias("i"), (F.col("col") % 4).cast("int").alias("j"))
+    low = c.groupBy("matrix_id").agg(F.min("i").alias("i0"), F.min("j").alias("j0"))
+    c = c.join(low, "matrix_id").select("matrix_id", "tile_id", (F.col("i") - F.col("i0")).alias("i"), (F.col("j") - F.col("j0")).alias("j"))
+    u = uncle_edges(spark, d).filter("uncle_id > 0 and tile_id % 5 <> 0").select("tile_id", "uncle_id", F.when(F.col("tile_id") % 11 == 0, (F.col("direction") + 1) % 4).otherwise(F.col("direction")).alias("digit"))
+    seeds = p.filter("tile_id < 8").select("tile_id", F.concat(F.lit("0"), F.conv(F.col("tile_id").cast("string"), 10, 4)).alias("path"))
+    return mx.place_matrices(c, u, seeds).select("tile_id", "path")
+
+
 @query("mtx17_anchor", "select p_partkey, (2 * (p_partkey % 50) + (p_size % 2) - (p_partkey % 7))::bigint as anchor_row, (2 * (p_partkey % 40) + (p_size % 3) % 2 - (p_partkey % 5))::bigint as anchor_col from part")
 def mtx17(spark, d):
     p = table(spark, d, "part")
@@ -367,11 +396,12 @@ def mtx21(spark, d):
 def mtx22(spark, d):
     """A root moved by e moves its descendants d levels down by e * 2^d."""
     e = uncle_edges(spark, d)
-    roots = e.filter("uncle_id = 0 and tile_id > 0").select("tile_id", F.lit("").alias("path"))
-    p = mx.place_levels(e.filter("uncle_id > 0"), roots, (F.col("direction") % 2).cast("string"))
-    col = F.when(F.length("path") > 0, F.conv("path", 2, 10)).otherwise("0").cast("bigint")
-    n = F.pow(F.lit(2), F.length("path")).cast("bigint")
-    return p.select("tile_id", ((5 * n + col) - col).alias("shift"), (5 * n).alias("law"))
+    roots = e.filter("uncle_id = 0 and tile_id > 0").select("tile_id")
+    bits = lambda at: mx.place_levels(e.filter("uncle_id > 0"), roots.select("tile_id", F.lit(at).alias("path")), (F.col("direction") % 2).cast("string"))
+    # two placements: the root at column 0, and at column 5
+    here = bits("000").select("tile_id", F.conv("path", 2, 10).cast("bigint").alias("col"), (F.length("path") - 3).alias("d"))
+    moved = bits("101").select("tile_id", F.conv("path", 2, 10).cast("bigint").alias("moved"))
+    return here.join(moved, "tile_id").select("tile_id", (F.col("moved") - F.col("col")).alias("shift"), (5 * F.pow(F.lit(2), F.col("d")).cast("bigint")).alias("law"))
 
 
 @query("mtx24_export_manifest", r"""with m as (select pyramid_id, image_path, pyramid_tile_id, n_bytes from pyramid_tiles where regexp_full_match(quad_key, '0[0-3]*'))

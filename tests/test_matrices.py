@@ -81,3 +81,37 @@ def test_labels_of_long_pieces():
     m, i, j = (np.array(x) for x in zip(*snake))
     assert set(mx.label_cells(m, i, j).tolist()) == {0}
     assert mx.label_cells(np.array([1, 1, 2]), np.array([0, 0, 1]), np.array([0, 2, 0])).tolist() == [0, 1, 2]
+
+
+def test_placement_by_tiers(spark):
+    # a 2x2 world seeded once; a child matrix whose uncles disagree; one that only a tie speaks for
+    cells = [("w", 1, 0, 0), ("w", 2, 0, 1), ("w", 3, 1, 1), ("w", 4, 1, 0)]
+    cells += [("c", 10, 0, 0), ("c", 11, 0, 1), ("c", 12, 1, 1), ("tie", 20, 0, 0), ("tie", 21, 0, 1), ("s", 30, 0, 0), ("s", 31, 0, 1), ("out", 40, 0, 0), ("out", 41, 1, 0)]
+    uncles = [(10, 1, 0), (11, 1, 1), (12, 1, 1), (20, 2, 0), (21, 3, 2), (30, 2, 2), (31, 2, 2), (40, 3, 3), (41, 99, 0)]
+    seeds = [(1, "00"), (30, "0200")]  # one seed outvotes the uncles of its matrix
+    got = {r.tile_id: (r.matrix_id, r.path) for r in mx.place_matrices(
+        spark.createDataFrame(cells, "matrix_id string, tile_id bigint, i int, j int"), spark.createDataFrame(uncles, "tile_id bigint, uncle_id bigint, digit int"), spark.createDataFrame(seeds, "tile_id bigint, path string"),
+    ).collect()}
+    assert {t: p for t, (m, p) in got.items() if m == "w"} == {1: "00", 2: "01", 3: "02", 4: "03"}
+    assert {t: p for t, (m, p) in got.items() if m == "c"} == {10: "000", 11: "001", 12: "002"}
+    assert {t: p for t, (m, p) in got.items() if m == "s"} == {30: "0200", 31: "0201"}
+    assert not any(m in ("tie", "out") for m, _ in got.values())  # no majority, and beyond the last row
+
+
+def test_places_and_paths_are_inverse(spark):
+    paths = ["0", "01", "02", "03", "0123", "03210", "00000"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").withColumn("x", mx.place_of(F.col("p")))
+    assert all(r.p == r.q for r in df.select("p", mx.path_of(F.col("x.level"), F.col("x.row"), F.col("x.col")).alias("q")).collect())
+
+
+def test_sweeps_to_the_end():
+    a, b, c = [(1, 0, 0), (2, 0, 1)], [(2, 3, 3), (3, 3, 4)], [(3, 0, 0), (4, 0, 1)]
+    alone = [(9, 0, 0)]
+    # b joins a, c joins a and b; cut at tile 3, the left part is a matrix of its own and joins no more: no tile is shared
+    assert mx.grouping_fixpoint([(1, a), (5, alone), (2, b), (3, c)], set()) == [(0, 1, 1, 0, 0), (0, 1, 2, 0, 1), (0, 1, 3, 0, 2), (0, 1, 4, 0, 3), (1, 5, 9, 0, 0)]
+    got = mx.grouping_fixpoint([(1, a), (2, b), (3, c)], {3})
+    assert {(g, t): (i, j) for g, _, t, i, j in got} == {(0, 3): (0, 0), (0, 4): (0, 1), (1, 1): (0, 0), (1, 2): (0, 1)}
+    assert mx.full_merge([(3, c), (1, a), (2, b)]) == [(3, 3, 0, 2), (3, 4, 0, 3), (3, 2, 0, 1), (3, 1, 0, 0)]
+    assert mx.full_merge([]) == [] and mx.grouping_fixpoint([], {1}) == []
+    clash = [(2, 0, 0), (7, 0, -1)]  # 7 would lie on 1
+    assert mx.merged(dict((t, (i, j)) for t, i, j in a), dict((t, (i, j)) for t, i, j in clash)) is None
