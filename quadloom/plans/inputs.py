@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 
 from quadloom.model import CELLS_SQL, cells
 from quadloom.runtime import Scratch, table
-from quadloom.sources import blobs, frames
+from quadloom.sources import blobs, frames, traces
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -89,13 +93,23 @@ def snk4(spark, d):
     return spark.read.schema("matrix_id bigint, tile_id bigint, i int, j int").json(s.base).groupBy("matrix_id").agg(F.count(F.lit(1)).alias("n_tiles"))
 
 
-@query("snk5_layer_textures", f"with {CELLS_SQL}, a as (select p_partkey as tile_id, 'abs/' || p_partkey as path from part where p_partkey % 3 = 0), r as (select p_partkey as tile_id, 'rel/' || p_partkey as path from part where p_partkey % 2 = 0) select c.matrix_id, c.tile_id, coalesce(a.path, r.path, '256x256_' || c.tile_id || '.png') as texture from cells c left join a using (tile_id) left join r using (tile_id)")
+@query("snk5_layer_export", f"""with {CELLS_SQL}, n as (select matrix_id from cells group by 1 having count(*) >= 5),
+  c as (select c.matrix_id, c.tile_id, case when tile_id % 3 = 0 then 'a' || tile_id || '.png' when tile_id % 2 = 0 then 'r' || tile_id || '.png' else '256x256_' || tile_id || '.png' end as texture, p.p_name as content from cells c semi join n using (matrix_id) join part p on p.p_partkey = c.tile_id)
+  select matrix_id, tile_id, texture, case when tile_id % 7 <> 0 then content end as content from c""")
 def snk5(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("tile_id"))
-    a = p.filter("tile_id % 3 = 0").select("tile_id", F.concat(F.lit("abs/"), "tile_id").alias("a"))
-    r = p.filter("tile_id % 2 = 0").select("tile_id", F.concat(F.lit("rel/"), "tile_id").alias("r"))
-    c = cells(spark, d).join(a, "tile_id", "left").join(r, "tile_id", "left")
-    return c.select("matrix_id", "tile_id", F.coalesce("a", "r", F.concat(F.lit("256x256_"), F.col("tile_id").cast("string"), F.lit(".png"))).alias("texture"))
+    """Layers written with their textures and read back from the folders."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("tile_id"), F.encode("p_name", "utf-8").alias("content"))
+    file = lambda folder, mark, keep: F.when(F.col("tile_id") % keep == 0, F.concat(F.lit(f"{folder}/{mark}"), F.col("tile_id").cast("string"), F.lit(".png")))
+    c = cells(spark, d)
+    c = c.join(c.groupBy("matrix_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5"), "matrix_id", "left_semi").join(p, "tile_id")
+    s = Scratch(spark, "snk5")
+    out = frames.export_layers(c.select("matrix_id", "tile_id", "i", "j", file("/abs", "a", 3).alias("absolute"), file("rel", "r", 2).alias("relative"), F.when(F.col("tile_id") % 7 != 0, F.col("content")).alias("content")), s.base)
+    out.write.format("noop").mode("overwrite").save()
+    layers = spark.read.schema("matrixIndex bigint, tiles array<struct<id:string,i:int,j:int,textureFile:string>>").option("recursiveFileLookup", "true").option("pathGlobFilter", "matrixLayer.json").json(s.base)
+    tiles = layers.select(F.col("matrixIndex").alias("matrix_id"), F.explode("tiles").alias("t")).select("matrix_id", F.col("t.id").cast("bigint").alias("tile_id"), F.col("t.textureFile").alias("texture"))
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(s.base)
+    held = held.select(F.regexp_extract("path", r"/matrix_(\d+)/", 1).cast("bigint").alias("matrix_id"), F.regexp_extract("path", r"/([^/]+)$", 1).alias("texture"), F.decode("content", "utf-8").alias("content"))
+    return tiles.join(held, ["matrix_id", "texture"], "left").select("matrix_id", "tile_id", "texture", "content")
 
 
 @query("snk10_repack", "select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem")
@@ -112,32 +126,80 @@ def snk12(spark, d):
     return f.select("file_id", F.octet_length(blobs.to_rgba(F.col("content"), F.lit("GL_BGR"))).alias("n_bytes"))
 
 
-@query("src2_container_kinds", r"select file_id, case when left(hex(content), 6) = '425A68' then 'bzip2' when left(hex(content), 4) = '1F8B' then 'gzip' when left(hex(content), 8) = '28B52FFD' then 'zstd' else 'plain' end as kind from tile_files where content is not null")
+@query("src2_container_kinds", r"select file_id, case when left(hex(content), 6) = '425A68' then 'bzip2' when left(hex(content), 4) = '1F8B' then 'gzip' when left(hex(content), 8) = '28B52FFD' then 'zstd' when left(hex(content), 4) = '6174' then 'snappy' else 'plain' end as kind from tile_files where content is not null")
 def src2(spark, d):
-    h = F.hex("content")
-    return table(spark, d, "tile_files").filter("content is not null").select("file_id", F.when(h.startswith("425A68"), "bzip2").when(h.startswith("1F8B"), "gzip").when(h.startswith("28B52FFD"), "zstd").otherwise("plain").alias("kind"))
+    return table(spark, d, "tile_files").filter("content is not null").select("file_id", blobs.container_kind(F.col("content")).alias("kind"))
+
+
+@query("src9_containers", "select file_id, (file_id % 6)::int as container, sha256(content) as digest from tile_files where content is not null and file_id % 6 < 5")
+def src9b(spark, d):
+    """Contents put into every kind of container and taken out again."""
+    t = table(spark, d, "tile_files").filter("content is not null and file_id % 6 < 5")
+    packed = t.select("file_id", (F.col("file_id") % 6).cast("int").alias("container"), blobs.pack(F.col("content"), (F.col("file_id") % 6).cast("int")).alias("packed"))
+    return packed.select("file_id", "container", F.sha2(blobs.unpack("packed"), 256).alias("digest"))
+
+
+EVENTS_A_TRACE = 4_000
+_BLOCKS = f"b as (select *, row_number() over (partition by event_id // {EVENTS_A_TRACE} order by event_id) - 1 as n from events)"
+
+
+def _traces(spark, d, bookmarks: int | None = 500) -> str:
+    """Events written as binary traces of a few thousand calls, beside their bookmarks; returns the files' pattern."""
+    base = Scratch(spark, "traces").base
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), F.expr(f"event_id div {EVENTS_A_TRACE}").alias("block"))
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.sort_by("event_id").to_pylist()
+        data = traces.write_trace([(r["user_id"], r["event_type"], {"k": r["k"], "data": str(r["event_id"]).encode()}, r["event_id"]) for r in rows])
+        store, at = blobs.file_store(base)
+        kind = rows[0]["block"] % 3  # plain, gzip and zstandard containers
+        blobs.write_whole(store, f"{at}/t{rows[0]['block']:08d}.trace", data if kind == 0 else gzip.compress(data) if kind == 1 else zstandard.compress(data))
+        return pa.table({"n": pa.array([t.num_rows], pa.int64())})
+
+    e.groupBy("block").applyInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
+    pattern = f"{base}/*.trace"
+    if bookmarks:
+        traces.write_bookmarks(spark, pattern, bookmarks).write.format("noop").mode("overwrite").save()
+    return pattern
 
 
 @query("src1_trace_round_trip", "select event_id as call_no, user_id as thread_id, event_type as name, try_cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def src1(spark, d):
-    """Events written as binary traces and parsed again, a trace for each day, in parallel."""
-    import json
+    """Events written as binary traces and read again in parts between bookmarks."""
+    t = traces.read_traces(spark, _traces(spark, d))
+    return t.select(F.col("ret").cast("bigint").alias("call_no"), "thread_id", "name", F.get_json_object("args", "$.k").cast("bigint").alias("k"))
 
-    import pyarrow as pa
 
-    from quadloom.sources import traces
+@query("src3_names_only", "select event_type as name, count(*) as n_calls from events group by 1")
+def src3(spark, d):
+    """Values that nobody asks for are passed over: only names and numbers are made."""
+    t = traces.read_traces(spark, _traces(spark, d, None), columns=["call_no", "name"])
+    return t.groupBy("name").agg(F.count(F.lit(1)).alias("n_calls"))
 
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), F.to_date("ts").alias("day"))
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("event_id")
-        rows = t.to_pylist()
-        data = traces.write_trace([(r["user_id"], r["event_type"], {"k": r["k"]}, r["event_id"]) for r in rows])
-        out = [(int(json.loads(c["ret"]) if isinstance(c["ret"], str) else c["ret"]), c["thread_id"], c["name"], c["args"]["k"]) for c in traces.Trace(data).calls()]
-        a, b, n, k = zip(*out)
-        return pa.table({"call_no": pa.array(a, pa.int64()), "thread_id": pa.array(b, pa.int64()), "name": pa.array(n, pa.string()), "k": pa.array(k, pa.int64())})
+@query("src4_bookmark", f"with {_BLOCKS} select n as call_no, event_type as name, user_id as thread_id from b where n >= 2500")
+def src4(spark, d):
+    """Reading on from a call: parts that end before it are not opened."""
+    return traces.read_traces(spark, _traces(spark, d), columns=["call_no", "name", "thread_id"], first=2500)
+
+
+@query("flt5_early_stop", f"with {_BLOCKS} select n as call_no, user_id as thread_id from b where event_type = 'click' and n <= 1000")
+def flt5(spark, d):
+    """Reading ends a hundred calls after the last one wanted."""
+    t = traces.read_traces(spark, _traces(spark, d), columns=["call_no", "name", "thread_id"], last=1000)
+    return t.filter("name = 'click'").select("call_no", "thread_id")
 
-    return e.groupBy("day").applyInArrow(run, "call_no bigint, thread_id bigint, name string, k bigint")
+
+@query("snk13_blob_export", "select event_id, octet_length(event_id::varchar::blob)::bigint as n_bytes from events where event_type = 'view'")
+def snk13(spark, d):
+    """Buffers of calls written as compressed files with manifest lines, and read back from both."""
+    t = traces.read_traces(spark, _traces(spark, d), blobs="base64").filter("name = 'view'")
+    s = Scratch(spark, "snk13")
+    lines = s.save(traces.export_blobs(t.select((F.col("ret").cast("bigint") % 50).alias("frame_id"), F.col("ret").cast("bigint").alias("call_no"), "name", "args"), f"{s.home}/frames"))
+    traces.write_frame_files(lines.select("frame_id", F.col("call_no").alias("order"), "line"), f"{s.home}/frames", "manifest.txt").write.format("noop").mode("overwrite").save()
+    m = frames.read_manifests(spark, f"{s.home}/frames").select(F.col("fields")["file"].alias("file"), F.col("fields")["bytes"].cast("bigint").alias("n_bytes"))
+    held = blobs.read_blobs(spark, f"{s.home}/frames").select(F.regexp_extract("path", r"/(\d+/[^/]*)$", 1).alias("at"), F.decode("content", "utf-8").cast("bigint").alias("event_id"))
+    return m.withColumn("at", F.regexp_extract("file", r"/(\d+/[^/]*)\.bz2$", 1)).join(held, "at").select("event_id", "n_bytes")
 
 
 def _drain(stream, base: str, mode: str = "append"):
@@ -185,26 +247,3 @@ def src19(spark, d):
     marks = F.array_join(F.transform("names", lambda x: F.concat(F.lit("<Placemark><name>"), x, F.lit("</name></Placemark>"))), "")
     n.select(F.concat(F.lit("<kml><Folder><name>r"), "n_regionkey", F.lit("</name>"), marks, F.lit("</Folder></kml>")).alias("value"), "n_regionkey").write.partitionBy("n_regionkey").text(s.base)  # a document a file
     return frames.count_placemarks(spark, s.base, "r2")
-
-
-@query("src3_names_only", "select event_type as name, max(event_id) as last_call from events group by 1")
-def src3(spark, d):
-    """Values that nobody asks for are not read: the scan holds two columns."""
-    from quadloom.model import calls
-
-    return calls(spark, d).groupBy("name").agg(F.max("call_no").alias("last_call"))
-
-
-@query("src4_bookmark", "select event_id as call_no, event_type as name from events where event_id >= 5000")
-def src4(spark, d):
-    """Reading on from a bookmark is a filter that reaches the scan."""
-    from quadloom.model import calls
-
-    return calls(spark, d).filter("call_no >= 5000").select("call_no", "name")
-
-
-@query("flt5_early_stop", "select event_id as call_no from events where event_type = 'click' and event_id <= 1000")
-def flt5(spark, d):
-    from quadloom.model import calls
-
-    return calls(spark, d).filter("call_no <= 1000 and name = 'click'").select("call_no")

@@ -9,7 +9,8 @@ from quadloom.functions import callset as cs
 from quadloom.functions import calls as fc
 from quadloom.model import CALLS_SQL, calls
 from quadloom.operators import trace
-from quadloom.runtime import table
+from quadloom.runtime import Scratch, table
+from quadloom.sources import frames, traces
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -218,9 +219,12 @@ def src7(spark, d):
 
 @query("snk8_frame_lines", f"with {_FRAMED} select (frame_id + 1)::bigint as file_no, count(*) as n_lines, sum(length(name || '(' || args || ')') + 1)::bigint as n_chars from framed group by 1")
 def snk8(spark, d):
-    # files count from 1; the closing call is the last line of its file
+    """A file of lines for each frame, written and read back; files count from 1, the closing call is the last line."""
     line = F.concat("name", F.lit("("), "args", F.lit(")"))
-    return _framed(spark, d).groupBy((F.col("frame_id") + 1).alias("file_no")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length(line).cast("bigint") + 1).alias("n_chars"))
+    s = Scratch(spark, "snk8")
+    traces.write_frame_files(_framed(spark, d).select((F.col("frame_id") + 1).alias("frame_id"), F.col("call_no").alias("order"), line.alias("line")), s.base).write.format("noop").mode("overwrite").save()
+    back = frames.read_frame_lines(spark, s.base)
+    return back.groupBy(F.col("frame_id").cast("bigint").alias("file_no")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line").cast("bigint") + 1).alias("n_chars"))
 
 
 @query("agg4_program_totals", "select user_id as program, count(*) as n_calls, sum(event_id % 1000)::bigint as cpu, sum(event_id % 77)::bigint as gpu, sum(event_id % 13 - 3)::bigint as pixels from events where event_id % 13 - 3 >= 0 group by 1")

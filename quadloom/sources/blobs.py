@@ -4,21 +4,97 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
+import os
+import re
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # fixed values: leading bytes of compressed containers
-MAGIC = {b"BZh": "bzip2", b"\x1f\x8b": "gzip", b"\x28\xb5\x2f\xfd": "zstd"}
+MAGIC = {b"BZh": "bzip2", b"\x1f\x8b": "gzip", b"\x28\xb5\x2f\xfd": "zstd", b"at": "snappy"}
+SNAPPY_CHUNK = 1 << 20
+SEEKABLE_END = b"\xb1\xea\x92\x8f"  # last bytes of a zstd file with a table of its frames
 
 
 def container_of(data: bytes) -> str:
     return next((name for magic, name in MAGIC.items() if data.startswith(magic)), "plain")
 
 
+def file_store(path: str):
+    """pyarrow's file system of a path or URI, and the path on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if re.match(r"^[a-z0-9+]+:", path) else f"file://{os.path.abspath(path)}")
+
+
+def write_whole(store, path: str, data: bytes) -> None:
+    """Writes a file under another name and moves it into its place, so no half of it is ever there."""
+    folder = path.rsplit("/", 1)[0]
+    store.create_dir(folder, recursive=True)
+    part = f"{folder}/.{uuid.uuid4().hex}"
+    with store.open_output_stream(part, compression=None) as f:
+        f.write(data)
+    store.move(part, path)
+
+
+class SnappyChunks(io.RawIOBase):
+    """Contents of a snappy container: a two-byte mark, then chunks, each after its length in four bytes."""
+
+    def __init__(self, raw) -> None:
+        self.raw, self.held = raw, b""
+        self.raw.read(2)
+
+    def readable(self) -> bool:
+        return True
+
+    def _next(self) -> bytes:
+        head = self.raw.read(4)
+        if len(head) < 4:
+            return b""
+        chunk = self.raw.read(int.from_bytes(head, "little"))
+        size = shift = 0
+        for b in chunk:  # the chunk begins with its plain length
+            size |= (b & 0x7F) << shift
+            shift += 7
+            if not b & 0x80:
+                break
+        return pa.decompress(chunk, decompressed_size=size, codec="snappy", asbytes=True)
+
+    def read(self, n: int = -1) -> bytes:
+        while n < 0 or len(self.held) < n:
+            more = self._next()
+            if not more:
+                break
+            self.held += more
+        out, self.held = (self.held, b"") if n < 0 else (self.held[:n], self.held[n:])
+        return out
+
+
+def open_plain(raw, fallback: str = "plain"):
+    """A stream of the contents of a binary file, whichever container it is in; ``fallback`` for those without a mark."""
+    head = raw.read(4)
+    raw.seek(0)
+    kind = container_of(head)
+    kind = fallback if kind == "plain" else kind
+    if kind == "bzip2":
+        return bz2.BZ2File(raw)
+    if kind == "gzip":
+        return gzip.GzipFile(fileobj=raw)
+    if kind == "zstd":  # with or without a table of frames, which is a frame to be skipped
+        import zstandard
+
+        return zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+    if kind == "snappy":
+        return SnappyChunks(raw)
+    return pa.CompressedInputStream(raw if isinstance(raw, pa.NativeFile) else pa.PythonFile(raw), "brotli") if kind == "brotli" else raw
+
+
 def plain_bytes(data: bytes | None) -> bytes | None:
     """Contents of a blob, whichever container it is in; null for null or broken data."""
     if data is None:
@@ -32,12 +108,44 @@ def plain_bytes(data: bytes | None) -> bytes | None:
         if kind == "zstd":
             import zstandard
 
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-        return data
+            return zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
+        return SnappyChunks(io.BytesIO(data)).read() if kind == "snappy" else data
     except Exception:
         return None
 
 
+def container_kind(content: Column) -> Column:
+    """Name of the container a binary value is in, by its leading bytes."""
+    c = None
+    for mark, name in MAGIC.items():
+        hit = F.substring(content, 1, len(mark)) == F.lit(mark)
+        c = F.when(hit, name) if c is None else c.when(hit, name)
+    return F.when(content.isNotNull(), c.otherwise("plain"))
+
+
+def packed_bytes(data: bytes, kind: str) -> bytes:
+    """The bytes in a container of the given kind."""
+    if kind == "bzip2":
+        return bz2.compress(data)
+    if kind == "gzip":
+        return gzip.compress(data)
+    if kind == "zstd":
+        import zstandard
+
+        return zstandard.compress(data)
+    if kind == "snappy":
+        chunks = [pa.compress(data[i : i + SNAPPY_CHUNK], codec="snappy", asbytes=True) for i in range(0, len(data), SNAPPY_CHUNK)]
+        return b"at" + b"".join(len(c).to_bytes(4, "little") + c for c in chunks)
+    return data
+
+
+@F.pandas_udf(T.BinaryType())
+def pack(data: pd.Series, kind: pd.Series) -> pd.Series:
+    """Binary values in containers of the given numbers: plain, then those of ``MAGIC`` in order."""
+    names = ["plain", *MAGIC.values()]
+    return pd.Series([None if b is None else packed_bytes(b, names[int(k)]) for b, k in zip(data, kind)])
+
+
 @F.pandas_udf(T.BinaryType())
 def unpack(data: pd.Series) -> pd.Series:
     return data.map(plain_bytes)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions.ids import five_digit
 from quadloom.functions.quadkey import is_valid, layout_of
+from quadloom.runtime import ship_package
+from quadloom.sources.blobs import file_store, write_whole
 
 FRAME_SCHEMA = "id string, tiles array<struct<contentId:string,textureFile:string,southNeighbor:string,northNeighbor:string,eastNeighbor:string,westNeighbor:string,primitive:string,skipped:boolean>>"
 MATRIX_FIELDS = "rows:int,cols:int,tiles:array<struct<id:string,i:int,j:int,textureFile:string,uncles:array<struct<direction:string,uncleContentId:string>>>>"
@@ -97,3 +102,36 @@ def layer_textures(cells: DataFrame, absolute: DataFrame, relative: DataFrame) -
 
 def repack(df: DataFrame, path: str, codec: str = "zstd") -> None:
     df.write.mode("overwrite").option("compression", codec).parquet(path)
+
+
+def export_layers(layers: DataFrame, uri: str) -> DataFrame:
+    """Clears ``uri`` and writes a folder a matrix: its textures and its ``matrixLayer.json``.
+
+    ``layers``: ``matrix_id, tile_id, i, j``, the texture's ``absolute`` and ``relative`` paths and its
+    ``content``, each perhaps null.  A texture keeps the file name of the first path there is, else
+    ``256x256_<tile>.png``; one without content is named in the JSON but not copied.  Returns
+    ``matrix_id, file, n_tiles, n_textures``; a matrix is a task's group.
+    """
+    ship_package(layers.sparkSession)
+    store, base = file_store(uri)
+    store.create_dir(base, recursive=True)
+    store.delete_dir_contents(base)
+    named = layers.withColumn("texture", F.element_at(F.split(F.coalesce("absolute", "relative", F.concat(F.lit("256x256_"), F.col("tile_id").cast("string"), F.lit(".png"))), "/"), -1))
+
+    def run(t: pa.Table) -> pa.Table:
+        store, base = file_store(uri)
+        t = t.sort_by([("i", "ascending"), ("j", "ascending"), ("tile_id", "ascending")])
+        m = t.column("matrix_id")[0].as_py()
+        folder = f"{base}/matrix_{m}"
+        tiles, n = [], 0
+        for r in t.to_pylist():
+            if r["content"] is not None:
+                write_whole(store, f"{folder}/{r['texture']}", r["content"])
+                n += 1
+            tiles.append({"id": str(r["tile_id"]), "i": r["i"], "j": r["j"], "textureFile": r["texture"]})
+        file = f"{folder}/matrixLayer.json"
+        write_whole(store, file, json.dumps({"contractVersion": 3, "matrixIndex": m, "rows": max(x["i"] for x in tiles) + 1, "cols": max(x["j"] for x in tiles) + 1, "tiles": tiles}).encode())
+        return pa.table({"matrix_id": pa.array([m], pa.int64()), "file": [file], "n_tiles": pa.array([len(tiles)], pa.int64()), "n_textures": pa.array([n], pa.int64())})
+
+    cols = [F.col("matrix_id").cast("bigint").alias("matrix_id"), F.col("tile_id").cast("bigint").alias("tile_id"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "texture", "content"]
+    return named.select(*cols).filter("matrix_id is not null").groupBy("matrix_id").applyInArrow(run, "matrix_id bigint, file string, n_tiles bigint, n_textures bigint")
