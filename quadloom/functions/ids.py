@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BLANKS = r"^\s+|\s+$"
-_ID = r"^0*([0-9]{1,18})_0*([0-9]{1,18})$"
+_BLANKS = " \t\n\x0b\f\r"
+_ID = r"^0*[0-9]{1,18}_0*[0-9]{1,18}$"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _BLANKS, "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def reference_or_none(c: Column) -> Column:
@@ -20,11 +20,13 @@ def reference_or_none(c: Column) -> Column:
 
 
 def id_frame(c: Column) -> Column:
-    return F.regexp_extract(strip(c), _ID, 1).try_cast("bigint")
+    s = strip(c)
+    return F.when(s.rlike(_ID), F.substring_index(s, "_", 1).try_cast("bigint"))
 
 
 def id_tile(c: Column) -> Column:
-    return F.regexp_extract(strip(c), _ID, 2).try_cast("bigint")
+    s = strip(c)
+    return F.when(s.rlike(_ID), F.substring_index(s, "_", -1).try_cast("bigint"))
 
 
 def format_id(frame: Column, tile: Column) -> Column:
@@ -42,9 +44,9 @@ def five_digit(c: Column) -> Column:
 
 def packed_id(c: Column) -> Column:
     """The id as one bigint, null where either number needs more than 31 bits or the form differs."""
-    f, t = id_frame(c), id_tile(c)
-    small = (f < (1 << 31)) & (t < (1 << 31))
-    return F.when(small, F.shiftleft(f, 31).bitwiseOR(t))
+    s = strip(c)
+    f, t = F.substring_index(s, "_", 1).try_cast("bigint"), F.substring_index(s, "_", -1).try_cast("bigint")
+    return F.when(s.rlike(_ID) & (f < (1 << 31)) & (t < (1 << 31)), F.shiftleft(f, 31).bitwiseOR(t))
 
 
 def canonical_path(c: Column) -> Column:

@@ -22,6 +22,7 @@ from quadloom.runtime import dealt_join, ship_package, spread
 
 NODE_SCHEMA = "frame_key bigint, tile_no bigint, parent_id string, child_kind string, child_no bigint, object_id string, body string"
 # fixed values: field names of the nested contract
+KEYS_TO_ALL = 100_000
 NESTED = ("triangleStrip", "uncles", "modelViewMatrix")
 _ARROW = pa.schema([("frame_key", pa.int64()), ("tile_no", pa.int64()), ("parent_id", pa.string()), ("child_kind", pa.string()), ("child_no", pa.int64()), ("object_id", pa.string()), ("body", pa.string())])
 
@@ -284,11 +285,15 @@ def _mapper(with_body: bool):
 def once(frames: DataFrame) -> DataFrame:
     """``frame_key, body`` of one file a key.
 
-    Only the bodies of files that were sent again are compared; those of all others stay where they are
-    as long as the list of repeated keys is small enough for Spark to broadcast it.
+    Only the bodies of files that were sent again are compared, and the others stay where they are, while
+    at most ``KEYS_TO_ALL`` keys come more than once, so that the list of those can go to all tasks; above
+    that all bodies are shuffled by key.
     """
     f = frames.filter("frame_key is not null and body is not null").select(F.col("frame_key").cast("bigint").alias("frame_key"), "body")
     again = f.groupBy("frame_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("frame_key")
+    if again.count() > KEYS_TO_ALL:
+        return f.groupBy("frame_key").agg(F.min("body").alias("body"))
+    again = F.broadcast(again)
     return f.join(again, "frame_key", "left_anti").unionByName(f.join(again, "frame_key", "left_semi").groupBy("frame_key").agg(F.min("body").alias("body")))
 
 
