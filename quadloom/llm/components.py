@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.functions.ids import format_id, id_frame, id_tile, reference_or_none
+from quadloom.functions.ids import format_id, packed_id
 from quadloom.runtime import HOT_ROWS, Scratch, dealt_join, ship_package
 
 BETA = 0.8
@@ -129,10 +129,8 @@ def tile_links(tiles: DataFrame, fields: list[str]) -> DataFrame:
     ``id`` packs frame and tile number into one bigint (31 bits each; ids beyond that, or of another
     form, are no tiles).  Repeated records and links are combined before the shuffle.
     """
-    pack = lambda c: F.shiftleft(id_frame(c), 31).bitwiseOR(id_tile(c))
-    ok = lambda c: (id_frame(c) < (1 << 31)) & (id_tile(c) < (1 << 31))
-    ref = [F.when(ok(F.col(f)), pack(reference_or_none(F.col(f)))) for f in fields]
-    rows = tiles.filter(F.col("session_id").isNotNull() & ok(F.col("content_id"))).select(F.col("session_id").cast("bigint").alias("session_id"), pack(F.col("content_id")).alias("id"), F.explode(F.array(*ref)).alias("to"))
+    ref = [packed_id(F.col(f)) for f in fields]
+    rows = tiles.filter("session_id is not null").select(F.col("session_id").cast("bigint").alias("session_id"), packed_id(F.col("content_id")).alias("id"), F.explode(F.array(*ref)).alias("to")).filter("id is not null")
     return rows.withColumn("to", F.when(F.col("to") != F.col("id"), F.col("to"))).distinct()
 
 
