@@ -12,11 +12,11 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.ids import has_tile_key, with_tile_key
-from quadloom.runtime import Scratch, range_blocks, ship_package
+from quadloom.runtime import Scratch, prefix_sums, ship_package
 
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"  # fixed value: frame header of the public format
 TARGET_BYTES = 128 * 1024 * 1024
@@ -104,15 +104,7 @@ def numbered(parts: DataFrame, scratch: Scratch, order: list[str], target_bytes:
     where its members lie in the order, whatever the partitions.  The prefix sum is taken in ranges of
     ``block_rows`` rows, whose sums are carried over.
     """
-    saved = scratch.save(parts)
-    blocks = saved.count() // block_rows + 1
-    if blocks == 1:
-        before = F.coalesce(F.sum("n_bytes").over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return saved.withColumn("container_no", F.floor(before / target_bytes).cast("bigint"))
-    r = range_blocks(saved, scratch, order, blocks)
-    carried = r.groupBy("_b").agg(F.sum("n_bytes").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry"))  # a row a block
-    inside = F.coalesce(F.sum("n_bytes").over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return r.withColumn("_in", inside).join(carried, "_b").withColumn("container_no", F.floor((F.col("_in") + F.col("_carry")) / target_bytes).cast("bigint")).drop("_b", "_in", "_carry")
+    return prefix_sums(parts, scratch, order, "n_bytes", "_before", block_rows).withColumn("container_no", F.floor(F.col("_before") / target_bytes).cast("bigint")).drop("_before")
 
 
 _CONTAINER = pa.schema([

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.runtime import two_level_rank
+from quadloom.runtime import Scratch, blocks_in_files, read_block, ship_package, two_level_rank
 
 RMSE_MAX, RATIO_MAX = 35.0, 0.75  # fixed values: an accepted match, and best against second best
 
@@ -24,51 +26,59 @@ def spaced_sample(df: DataFrame, group: str, order: str, n: int = 16) -> DataFra
     return d.filter((F.col("_n") <= n) | F.array_contains(wanted, F.col("_p").cast("bigint"))).drop("_p", "_n")
 
 
+def _nearest(ids: np.ndarray, mat: np.ndarray, own: np.ndarray, rid: np.ndarray, rows: np.ndarray, groups: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """The ``k`` rows nearest to each query, ties by id: squared errors by one product, the few best exactly."""
+    near = (rows * rows).sum(1)[None, :] + (mat * mat).sum(1)[:, None] - 2 * mat @ rows.T
+    slack = 1e-9 * (1 + np.abs(near).max(initial=0))
+    near[ids[:, None] == rid[None, :]] = np.inf
+    near[(own[:, None] == groups[None, :]) & (own != "")[:, None]] = np.inf
+    out = []
+    kth = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
+    for q in range(len(ids)):
+        at = np.flatnonzero((near[q] <= kth[q] + slack) & np.isfinite(near[q]))
+        e = np.sqrt(((rows[at] - mat[q]) ** 2).sum(1) / mat.shape[1])
+        for j in np.lexsort((rid[at], e))[:k]:
+            out.append((int(ids[q]), int(rid[at[j]]), float(e[j])))
+    return out
+
+
 def nearest_vectors(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 2, block: int = 4096, group: str | None = None) -> DataFrame:
     """For every query row the ``k`` rows with the smallest error, itself and rows of its ``group`` left out.
 
-    The queries are a stated set and go to the tasks in blocks of at most ``block``; each task keeps
-    its best ``k`` a query, so the shuffle carries queries times tasks rows, never all pairs.
+    The queries are a stated set.  Up to ``block`` of them go with the tasks; more are read by them
+    from the shared folder, block by block, so the rows are read once.  Each task keeps its best ``k`` a
+    query and batch, so the shuffle carries those, never all pairs.  Null vectors, and those of another
+    length than the queries', are no partners.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    q = queries.select(F.col(key).cast("bigint").alias("q"), F.col(vector).alias("v"), (F.col(group) if group else F.lit(None)).cast("string").alias("g")).filter("q is not null and v is not null")
+    ship_package(rows.sparkSession)
+    name = lambda g: F.coalesce((F.col(g) if g else F.lit(None)).cast("string"), F.lit(""))
+    q = queries.select(F.col(key).cast("bigint").alias("q"), F.col(vector).alias("v"), name(group).alias("g")).filter("q is not null and v is not null")
     n = q.count()
-    parts = max(1, -(-n // block))
     schema = "query_id bigint, vec_id bigint, rmse double"
-    out = None
-    for p in range(parts):
-        part = (q if parts == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(parts)) == p)).collect()
-        if not part:
-            continue
-        ids, mat, own = np.array([r["q"] for r in part]), np.array([r["v"] for r in part], float), [r["g"] for r in part]
-
-        def run(batches, ids=ids, mat=mat, own=own):
-            best: list[tuple] = []
-            for b in batches:
-                keep = [i for i, x in enumerate(b.column(1).to_pylist()) if x is not None and len(x) == mat.shape[1]]
-                if not keep:
-                    continue
-                rid = np.array(b.column(0).take(pa.array(keep)).to_pylist())
-                rows_ = np.array(b.column(1).take(pa.array(keep)).to_pylist(), float)
-                groups = np.array(b.column(2).take(pa.array(keep)).to_pylist(), object)
-                for i in range(len(ids)):
-                    e = np.sqrt(((rows_ - mat[i]) ** 2).sum(1) / mat.shape[1])
-                    e[rid == ids[i]] = np.inf
-                    if own[i] is not None:
-                        e[groups == own[i]] = np.inf
-                    o = np.lexsort((rid, e))[:k]
-                    best += [(int(ids[i]), int(rid[j]), float(e[j])) for j in o if np.isfinite(e[j])]
+    if not n:
+        return rows.sparkSession.createDataFrame([], schema + ", rank int")
+
+    def build(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(t.column("q").to_pylist()), np.array(t.column("v").to_pylist(), float), np.array(t.column("g").to_pylist(), object)
+
+    one = build(pa.Table.from_pylist([r.asDict() for r in q.collect()])) if n <= block else None  # bounded by block
+    paths = [] if one else blocks_in_files(q, Scratch(rows.sparkSession, "queries"), "q", -(-n // block), build)
+
+    def run(batches):
+        for b in batches:
+            vs = b.column(1).to_pylist()
+            best: list[tuple[int, int, float]] = []
+            for ids, mat, own in [one] if one else map(read_block, paths):
+                keep = [i for i, x in enumerate(vs) if x is not None and len(x) == mat.shape[1]]
+                if keep:
+                    take = pa.array(keep)
+                    best += _nearest(ids, mat, own, np.array(b.column(0).take(take).to_pylist()), np.array([vs[i] for i in keep], float), np.array(b.column(2).take(take).to_pylist(), object), k)
             cols = list(zip(*best)) if best else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "rmse"])
 
-        hits = rows.select(F.col(key).cast("bigint").alias(key), vector, (F.col(group) if group else F.lit(None)).cast("string").alias("_g")).mapInArrow(run, schema)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], schema + ", rank int")
+    hits = rows.select(F.col(key).cast("bigint").alias(key), vector, name(group).alias("_g")).filter(F.col(key).isNotNull()).mapInArrow(run, schema)
     w = Window.partitionBy("query_id").orderBy("rmse", "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def best_two(pairs: DataFrame, key: str, error: str, tie: str) -> DataFrame:

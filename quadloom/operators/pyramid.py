@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions import quadkey as qk
+from quadloom.runtime import Scratch, prefix_sums
 
 RMSE_LIMIT = 0.03  # fixed value: tiles up to this normalized error look alike
 
@@ -92,3 +93,14 @@ def exit_status(classified: DataFrame) -> int:
     """0: nothing to merge, 1: mergeable, 2: blocked by conflicts."""
     r = classified.agg(F.count_if(F.col("kind") == "conflict").alias("c"), F.count_if(F.col("kind") == "new").alias("n")).first()
     return 2 if r["c"] else 1 if r["n"] else 0
+
+
+def cached_within(items: DataFrame, age: str, size: str, budget: int) -> DataFrame:
+    """``cached``: whether an item is among the youngest whose sizes together stay within ``budget``.
+
+    Sizes of 0 and null take no room; items of one ``age`` are taken in the order of all their columns.
+    """
+    held = items.withColumn("_size", F.coalesce(F.col(size), F.lit(0)))
+    order = [age, *[c for c in items.columns if c != age]]
+    s = prefix_sums(held, Scratch(items.sparkSession, "cache"), order, "_size", "_before")
+    return s.withColumn("cached", F.col("_before") + F.col("_size") <= budget).drop("_size", "_before")

@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.functions import geometry as g
+from quadloom.runtime import Scratch, range_blocks
 
 # fixed values: precedence of directions when borders of several sides meet
 SIDES = ("EAST", "WEST", "NORTH", "SOUTH")
 OPPOSITE = {"EAST": "WEST", "WEST": "EAST", "NORTH": "SOUTH", "SOUTH": "NORTH"}
 
 
+GRID = 16  # cells are so many tolerances wide: one point in eight reaches into the next cell of an axis
+
+
+def _cells(c: Column, eps: float) -> Column:
+    """Grid cells that hold anything within ``eps`` of a coordinate: one, or two near an edge."""
+    return F.array_distinct(F.array(*[F.floor((c + d) / (GRID * eps)).cast("bigint") for d in (-eps, eps)]))
+
+
 def neighbours(tiles: DataFrame, eps: float = 1e-4) -> DataFrame:
     """Tiles of one frame whose opposing borders agree within ``eps``: ``frame_id, a, b, direction, d2``.
 
     ``tiles``: ``frame_id, seq, x0, y0, x1, y1``.  Borders meet where their end points do, so every
-    border's start is put on a grid of width 2 eps and joined by equality with the start of the
-    opposing border, one side looking at the neighbouring grid cells too; the exact test follows.
+    border's start is put on a grid and joined by equality with the start of the opposing border, one
+    side also in the next cell where it is within ``eps`` of it; the exact test follows.
     """
-    grid = 2 * eps
-    q = lambda c: F.round(c / grid).cast("bigint")
+    grid = GRID * eps
+    q = lambda c: F.floor(c / grid).cast("bigint")
     x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
     # starts of the eastern/western and northern/southern borders
     side = {"EAST": (x1, y0, y1), "WEST": (x0, y0, y1), "NORTH": (y1, x0, x1), "SOUTH": (y0, x0, x1)}
     row = lambda s: F.struct(F.lit(s).alias("side"), *[c.alias(n) for n, c in zip(("at", "lo", "hi"), side[s])])
     b = tiles.select("frame_id", "seq", ((x0 + x1) / 2).alias("cx"), ((y0 + y1) / 2).alias("cy"), F.explode(F.array(*[row(s) for s in SIDES])).alias("s")).select("frame_id", "seq", "cx", "cy", "s.*")
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
     a = b.filter("side in ('EAST', 'NORTH')").select("frame_id", F.col("seq").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), "side", F.col("at").alias("a_at"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    a = a.select("*", F.explode(step).alias("i")).select("*", F.explode(step).alias("j")).withColumn("g_at", q(F.col("a_at")) + F.col("i")).withColumn("g_lo", q(F.col("a_lo")) + F.col("j")).drop("i", "j")
+    a = a.select("*", F.explode(_cells(F.col("a_at"), eps)).alias("g_at")).select("*", F.explode(_cells(F.col("a_lo"), eps)).alias("g_lo"))
     o = b.filter("side in ('WEST', 'SOUTH')").select("frame_id", F.col("seq").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.when(F.col("side") == "WEST", "EAST").otherwise("NORTH").alias("side"), "at", "lo", "hi", q(F.col("at")).alias("g_at"), q(F.col("lo")).alias("g_lo"))
     near = lambda p, r: F.abs(F.col(p) - F.col(r)) <= eps
     m = a.join(o, ["frame_id", "side", "g_at", "g_lo"]).filter((F.col("a") != F.col("b")) & near("a_at", "at") & near("a_lo", "lo") & near("a_hi", "hi"))
@@ -51,7 +59,8 @@ def uncles(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ``tiles`` also holds ``u0, v0, u1, v1``.  Lower-left quarters and full textures are no uncles.
     """
-    n = best_neighbours(pairs).groupBy("frame_id", "a").agg(F.countDistinct("direction").alias("n"))
+    pairs = Scratch(tiles.sparkSession, "uncles").save(pairs)  # read twice
+    n = pairs.groupBy("frame_id", "a").agg(F.countDistinct("direction").alias("n"))
     lacking = tiles.select("frame_id", F.col("seq").alias("a")).join(n, ["frame_id", "a"], "left").filter("n is null or n < 4").select("frame_id", "a")
     u0, v0, u1, v1 = (F.col(c) for c in ("u0", "v0", "u1", "v1"))
     cand = tiles.withColumn("uh", g.half(u0, u1)).withColumn("vh", g.half(v0, v1)).filter(
@@ -82,28 +91,37 @@ def l_shaped_uncles(strips: DataFrame, borders: DataFrame) -> DataFrame:
 
 
 def fuzzy_identity(strips: DataFrame, catalog: DataFrame, eps: float = 1e-4) -> DataFrame:
-    """Strips and catalog entries whose centres agree within ``eps`` on each axis, the nearest entry first.
+    """Strips and catalog entries whose centres agree within ``eps`` on each axis; the smallest entry where several do.
 
-    Both carry ``x, y``; equality on a grid of width ``eps`` with the neighbouring cells, then the test.
+    Both carry ``x, y``; equality on a grid, strips also in the next cell near an edge, then the test.
     """
-    q = lambda c: F.floor(c / eps).cast("bigint")
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    s = strips.select("strip_id", "x", "y", F.explode(step).alias("i")).select("*", F.explode(step).alias("j")).select("strip_id", "x", "y", (q(F.col("x")) + F.col("i")).alias("gx"), (q(F.col("y")) + F.col("j")).alias("gy"))
+    q = lambda c: F.floor(c / (GRID * eps)).cast("bigint")
+    s = strips.select("strip_id", "x", "y", F.explode(_cells(F.col("x"), eps)).alias("gx")).select("*", F.explode(_cells(F.col("y"), eps)).alias("gy"))
     c = catalog.select("entry_id", F.col("x").alias("cx"), F.col("y").alias("cy"), q(F.col("x")).alias("gx"), q(F.col("y")).alias("gy"))
     m = s.join(c, ["gx", "gy"]).filter((F.abs(F.col("x") - F.col("cx")) <= eps) & (F.abs(F.col("y") - F.col("cy")) <= eps))
     return m.groupBy("strip_id").agg(F.min("entry_id").alias("entry_id"))
 
 
-def resample(points: DataFrame, route: str, seq: str, spacing: float) -> DataFrame:
+def resample(points: DataFrame, route: str, seq: str, spacing: float, block_rows: int = 1_000_000) -> DataFrame:
     """Points at equal distances along each polyline, ends kept, attributes interpolated.
 
     ``points``: ``route, seq, x, y, alt`` (planar).  Repeated points are skipped; a route of one point
-    gives that point.
+    gives that point.  Points are ordered in ranges, so a route of any length is spread over tasks: the
+    next point and the length so far are carried from range to range.
     """
-    w = Window.partitionBy(route).orderBy(seq)
-    p = points.select(route, seq, "x", "y", "alt", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny"), F.lead("alt").over(w).alias("nalt"))
-    p = p.withColumn("len", F.coalesce(F.sqrt((F.col("nx") - F.col("x")) ** 2 + (F.col("ny") - F.col("y")) ** 2), F.lit(0.0)))
-    p = p.withColumn("start", F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    s = Scratch(points.sparkSession, "resample")
+    saved = s.save(points.select(route, seq, "x", "y", "alt"))
+    r = range_blocks(saved, s, [route, seq], saved.count() // block_rows + 1)
+    nxt = F.struct(route, "x", "y", "alt")
+    heads = r.groupBy("_b").agg(F.min_by(nxt, F.struct(route, seq)).alias("f")).select("_b", F.lead("f").over(Window.orderBy("_b")).alias("_head"))  # a row a block
+    p = r.withColumn("_n", F.lead(nxt).over(Window.partitionBy("_b").orderBy(route, seq))).join(F.broadcast(heads), "_b", "left").withColumn("_n", F.coalesce("_n", "_head"))
+    p = p.withColumn("_n", F.when(F.col(f"_n.{route}") == F.col(route), F.col("_n")))
+    p = p.select("_b", route, seq, "x", "y", "alt", F.col("_n.x").alias("nx"), F.col("_n.y").alias("ny"), F.col("_n.alt").alias("nalt"))
+    p = s.save(p.withColumn("len", F.coalesce(F.sqrt((F.col("nx") - F.col("x")) ** 2 + (F.col("ny") - F.col("y")) ** 2), F.lit(0.0))))
+    before = Window.partitionBy(route).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = p.groupBy(route, "_b").agg(F.sum("len").alias("_l")).select(route, "_b", F.coalesce(F.sum("_l").over(before), F.lit(0.0)).alias("_carry"))
+    inside = Window.partitionBy("_b", route).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("_in", F.coalesce(F.sum("len").over(inside), F.lit(0.0))).join(carried, [route, "_b"]).withColumn("start", F.col("_in") + F.col("_carry"))
     first, last = F.ceil(F.col("start") / spacing), F.ceil((F.col("start") + F.col("len")) / spacing) - 1
     steps = F.when((F.col("len") > 0) & (last >= first), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     on = p.select(route, F.explode(steps).alias("k"), "start", "len", "x", "y", "alt", "nx", "ny", "nalt")

@@ -88,12 +88,19 @@ def first_outcome(df: DataFrame, group: list[str], order: str, patterns: dict[st
     return df.withColumn("_o", c).filter("_o is not null").groupBy(*group).agg(F.min_by("_o", order).alias("outcome"), F.min(order).alias("at"))
 
 
-def frame_spans(profile: DataFrame, partition: list[str], order: str, start: str, end: str) -> DataFrame:
-    """Spans of consecutive frames: a frame starts where the largest end so far lies."""
-    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = F.coalesce(F.max(end).over(w), F.col(start))
-    return profile.withColumn("span_start", s).withColumn("span_duration", F.max(end).over(upto) - F.col("span_start"))
+def frame_spans(profile: DataFrame, partition: list[str], order: str, start: str, end: str, width: int = 65536) -> DataFrame:
+    """Spans of consecutive frames: a frame starts where the largest end so far lies.
+
+    The largest end is taken within blocks of ``width`` order values and carried over the blocks, so a
+    partition of any size is spread over tasks.
+    """
+    p = profile.withColumn("_b", F.floor(F.col(order) / width))
+    close = p.groupBy(*partition, "_b").agg(F.max(end).alias("_m"))
+    carried = close.select(*partition, "_b", F.max("_m").over(Window.partitionBy(*partition).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    w = Window.partitionBy(*partition, "_b").orderBy(order)
+    past = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))  # nulls are passed over
+    s = p.join(carried, [*partition, "_b"]).withColumn("_s", F.coalesce(past, F.col(start))).withColumn("_e", F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_carry")))
+    return s.withColumn("span_start", F.col("_s")).withColumn("span_duration", F.col("_e") - F.col("_s")).drop("_b", "_carry", "_s", "_e")
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:

@@ -199,7 +199,23 @@ def _route(spark, d):
 _ROUTE = "route as (select o_orderkey as seq, o_orderkey % 1500 / 10.0::double - 75 as lat, o_orderkey * 7 % 3600 / 10.0::double - 180 as lon, o_custkey as route from orders)"
 
 
-@query("sc22_direct_geodesic")
+def _direct_sql() -> str:
+    """The direct geodesic of 100 km to the north-east from every route point, its angle refined eight times."""
+    a, f = geo.A, geo.FLAT
+    b = a * (1 - f)
+    out = f"""{_ROUTE}, d0 as (select seq, radians(lat) as p1, radians(lon) as l1, sin(radians(45)) as sa, cos(radians(45)) as ca, (1 - {f!r}) * tan(radians(lat)) as tu from route),
+    d1 as (select *, 1 / sqrt(1 + tu * tu) as cu, tu / sqrt(1 + tu * tu) as su, atan2(tu, ca) as s1 from d0), d2 as (select *, cu * sa as al, 1 - cu * sa * cu * sa as c2 from d1),
+    d3 as (select *, c2 * ({a!r} * {a!r} - {b!r} * {b!r}) / ({b!r} * {b!r}) as k from d2),
+    d4 as (select *, 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k))) as ba, k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))) as bb from d3), g0 as (select *, 100000 / ({b!r} * ba) as sig from d4)"""
+    for n in range(8):
+        out += f""", m{n} as (select *, cos(2 * s1 + sig) as m from g{n}),
+    g{n + 1} as (select * exclude (m, sig), 100000 / ({b!r} * ba) + bb * sin(sig) * (m + bb / 4 * (cos(sig) * (2 * m * m - 1) - bb / 6 * m * (4 * sin(sig) * sin(sig) - 3) * (4 * m * m - 3))) as sig from m{n})"""
+    return out + f""", e as (select *, cos(2 * s1 + sig) as m, su * sin(sig) - cu * cos(sig) * ca as t, {f!r} / 16 * c2 * (4 + {f!r} * (4 - 3 * c2)) as c, atan2(sin(sig) * sa, cu * cos(sig) - su * sin(sig) * ca) as lam from g8),
+    h as (select seq, degrees(atan2(su * cos(sig) + cu * sin(sig) * ca, (1 - {f!r}) * sqrt(al * al + t * t))) as lat, degrees(l1 + lam - (1 - c) * {f!r} * al * (sig + c * sin(sig) * (m + c * cos(sig) * (2 * m * m - 1)))) as x from e)
+    select seq, round(lat, 6) as lat, round((x + 540) - 360 * floor((x + 540) / 360) - 180, 6) as lon from h"""
+
+
+@query("sc22_direct_geodesic", f"with {_direct_sql()}")
 def sc22(spark, d):
     p = geo.direct_udf(F.col("lat"), F.col("lon"), F.lit(45.0), F.lit(100000.0))
     return _route(spark, d).select("seq", p.alias("p")).select("seq", r6(F.col("p.lat")).alias("lat"), r6(F.col("p.lon")).alias("lon"))
@@ -374,9 +390,11 @@ def gen3(spark, d):
     return _points(spark, geo.rectangle_zigzag(-20.0, -60.0, 3.0, -30.0, 0.75))
 
 
-@query("gen4_globe")
+@query("gen4_globe", """with r as (select r, degrees(atan(sinh(pi() * (1 - 2 * (r + 0.5) / 24)))) as lat from unnest(range(0, 24)) as t(r)), m as (select *, 1 - sqrt(abs(sin(radians(lat)))) as g from r),
+  p as (select r, c, lat, -180 - g + (360 + 2 * g) * (case when r % 2 = 0 then c else 47 - c end) / 47.0::double as x from m, unnest(range(0, 48)) as t(c))
+  select (r * 48 + c)::bigint as seq, round(lat, 6) as lat, round((x + 540) - 360 * floor((x + 540) / 360) - 180, 6) as lon from p""")
 def gen4(spark, d):
-    return _points(spark, geo.globe_serpentine(24, 48))
+    return _points(spark, geo.globe_serpentine(24, 48)).select("seq", r6(F.col("lat")).alias("lat"), r6(F.col("lon")).alias("lon"))
 
 
 @query("snk9_route_names", f"with {_ROUTE} select seq, 'L' || (seq % 16) || '/z' || lpad((seq % 10000)::varchar, 4, '0') as marker, round(abs(lat) * 3, 6) as altitude from route")

@@ -40,11 +40,12 @@ def src9(spark, d):
     return f.select("file_id", F.octet_length(blobs.unpack("content")).alias("n"))
 
 
-@query("src11_frame_reader")
+@query("src11_frame_reader", r"""with f as (select frame_key, min(body) as body from frame_json group by 1), g as (select frame_key, case when json_valid(body) and json_type(body) = 'OBJECT' then body end as body from f)
+  select frame_key, try_cast(nullif(regexp_extract(json_extract_string(body, '$.id'), '(\d+)\D*$', 1), '') as int) as frame_id, case when json_type(body, '$.tiles') = 'ARRAY' then json_array_length(body, '$.tiles')::int else 0 end as n_tiles from g""")
 def src11(spark, d):
     """Tolerant reading of plain frame bodies with a fixed schema; other shapes go to the nested-record operator."""
     f = table(spark, d, "frame_json").groupBy("frame_key").agg(F.min("body").alias("body"))
-    p = f.select("frame_key", F.from_json("body", frames.FRAME_SCHEMA).alias("f"))
+    p = f.select("frame_key", F.when(F.try_parse_json("body").isNotNull(), F.from_json("body", frames.FRAME_SCHEMA)).alias("f"))  # broken bodies give no id
     return p.select("frame_key", F.regexp_extract("f.id", r"(\d+)\D*$", 1).try_cast("int").alias("frame_id"), F.coalesce(F.size("f.tiles"), F.lit(0)).alias("n_tiles"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quadloom.functions import quadkey as qk
 from quadloom.model import PYRAMID_SQL, pyramid, quadkey_of
 from quadloom.operators import pyramid as py
+from quadloom.runtime import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,8 +35,6 @@ def qk1(spark, d):
 
 
 def pyramid_all(spark, d):
-    from quadloom.runtime import table
-
     return table(spark, d, "customer").select(F.col("c_custkey").alias("tile_no"), quadkey_of("c_custkey").alias("quadkey"))
 
 
@@ -114,16 +113,12 @@ def qk10(spark, d):
 
 @query("qk11_unit_index", "select c_custkey, case when isnan(x) then -1 else least(floor(least(greatest(x, 0), 1) * 20)::int, 19) end as idx from (select c_custkey, case when c_custkey % 50 = 0 then 'nan'::double else c_acctbal / 10000 end as x from customer)")
 def qk11(spark, d):
-    from quadloom.runtime import table
-
     x = F.when(F.col("c_custkey") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal") / 10000)
     return table(spark, d, "customer").select("c_custkey", qk.unit_index(x, F.lit(20)).alias("idx"))
 
 
 @query("qk12_flip_wrap", "select c_custkey, ((1 << 6) - 1 - c_custkey % 64)::bigint as north_row, ((((c_custkey - 500) % 64) + 64) % 64)::bigint as wrapped_col from customer")
 def qk12(spark, d):
-    from quadloom.runtime import table
-
     return table(spark, d, "customer").select("c_custkey", qk.flip_row(F.col("c_custkey") % 64, F.lit(6)).alias("north_row"), qk.wrap_column(F.col("c_custkey") - 500, F.lit(6)).alias("wrapped_col"))
 
 
@@ -164,8 +159,6 @@ def jn15(spark, d):
 @query("jn15_pyramid_tiles", r"""with t as (select distinct pyramid_id, quad_key from pyramid_tiles where regexp_full_match(quad_key, '0[0-3]*')), big as (select pyramid_id, quad_key || '0123' as q from t)
   select b.pyramid_id, b.q as quadkey, arg_max(a.quad_key, length(a.quad_key)) as ancestor from big b join t a on a.pyramid_id = b.pyramid_id and starts_with(b.q, a.quad_key) group by all""")
 def jn15b(spark, d):
-    from quadloom.runtime import table
-
     t = table(spark, d, "pyramid_tiles").filter(qk.is_valid(F.col("quad_key"))).select("pyramid_id", "quad_key").distinct()
     asked = t.select("pyramid_id", F.concat("quad_key", F.lit("0123")).alias("quadkey")).select("*", F.explode(qk.prefixes(F.col("quadkey"))).alias("quad_key"))
     return asked.join(t, ["pyramid_id", "quad_key"]).groupBy("pyramid_id", "quadkey").agg(F.max_by("quad_key", F.length("quad_key")).alias("ancestor"))
@@ -201,8 +194,6 @@ def mrg2(spark, d):
 @query("mrg3_visual_equivalence", """select a.vec_id, sqrt(list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(a.embedding::double[], b.embedding::double[])]) / len(a.embedding)) <= 0.15 as equivalent from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
 def mrg3(spark, d):
     from quadloom.operators.matching import rmse
-    from quadloom.runtime import table
-
     e = table(spark, d, "embeddings")
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     return e.join(b, "vec_id").select("vec_id", (rmse(F.col("embedding"), F.col("other")) <= 0.15).alias("equivalent"))
@@ -210,8 +201,6 @@ def mrg3(spark, d):
 
 @query("mrg4_resolution", "select c_custkey, c_custkey * c_custkey * 1000000000 + least(c_nationkey * 100000000::bigint, 999999999) as score, (c_custkey + c_nationkey % 3 > c_custkey + 1) as replaces from customer")
 def mrg4(spark, d):
-    from quadloom.runtime import table
-
     c = table(spark, d, "customer")
     pixels, size = F.col("c_custkey") * F.col("c_custkey"), F.col("c_nationkey") * F.lit(100_000_000).cast("bigint")
     return c.select("c_custkey", py.resolution_score(pixels, size).alias("score"), (py.resolution_score(F.col("c_nationkey") % 3, F.lit(0)) > py.resolution_score(F.lit(1).cast("bigint"), F.lit(0))).alias("replaces"))
@@ -271,15 +260,5 @@ def agg14(spark, d):
 @query("srt7_cache_budget", "select c_custkey, sum(c_custkey % 97 + 1) over (order by c_custkey desc)::bigint <= 5000 as cached from customer")
 def srt7(spark, d):
     """What a cache with a byte budget still holds, newest first: running size up to the budget."""
-    from quadloom.runtime import table
-
-    return cached_within(table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 97 + 1).alias("n_bytes")), 5000)
-
-
-def cached_within(items, budget: int):
-    from pyspark.sql import Window
-
-    # sizes are positive: only the newest ``budget`` items can fit, so the running sum needs no more rows
-    newest = items.orderBy(F.col("c_custkey").desc()).limit(budget)
-    fits = newest.withColumn("s", F.sum("n_bytes").over(Window.orderBy(F.col("c_custkey").desc()))).filter(F.col("s") <= budget).select("c_custkey", F.lit(True).alias("hit"))
-    return items.select("c_custkey").join(fits, "c_custkey", "left").select("c_custkey", F.coalesce("hit", F.lit(False)).alias("cached"))
+    items = table(spark, d, "customer").select("c_custkey", (-F.col("c_custkey")).alias("age"), (F.col("c_custkey") % 97 + 1).alias("n_bytes"))
+    return py.cached_within(items, "age", "n_bytes", 5000).select("c_custkey", "cached")

@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
-MODULES = ("training", "trace", "quadtree", "pyramid", "matrices", "matching", "geometry", "quality", "inputs")
+MODULES = ("training", "trace", "quadtree", "matrices", "matching", "geometry", "quality", "inputs")
 
 
 def _modules():
-    for m in MODULES:
-        name = f"quadloom.plans.{m}"
-        if importlib.util.find_spec(name):
-            yield importlib.import_module(name)
+    return [importlib.import_module(f"quadloom.plans.{m}") for m in MODULES]
 
 
 def queries() -> dict:

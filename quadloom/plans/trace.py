@@ -336,7 +336,7 @@ def src18(spark, d):
     return text.filter(p[0] == "call").select(p[1].cast("bigint").alias("no"), p[2].cast("bigint").alias("gpu_dur"), p[3].alias("program"))
 
 
-@query("evt7_logical_lines")
+@query("evt7_logical_lines", r"select (event_id % 50)::bigint as file_id, row_number() over (partition by event_id % 50 order by event_id) - 1 as line_no, event_id || ' gl' || event_type || '(a = ' || case when event_id % 3 = 0 then '\n' else '' end || props || ')' as line from events")
 def evt7(spark, d):
     files = table(spark, d, "events").groupBy((F.col("event_id") % 50).alias("file_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "props"))), lambda x: F.concat(x["event_id"].cast("string"), F.lit(" gl"), x["event_type"], F.lit("(a = "), F.when(x["event_id"] % 3 == 0, "\n").otherwise(""), x["props"], F.lit(")"))), "\n").alias("body"))
     return trace.stitch(files, "file_id", "body")

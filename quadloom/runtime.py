@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -171,3 +174,46 @@ def range_blocks(df: DataFrame, scratch: Scratch, order: list[str], blocks: int)
     Windows over ``_b`` see one range each, so no key of any size is one task's work.
     """
     return scratch.save(df.repartitionByRange(max(1, blocks), *order).withColumn("_b", F.spark_partition_id()))
+
+
+def prefix_sums(df: DataFrame, scratch: Scratch, order: list[str], value: str, out: str, block_rows: int = 1_000_000) -> DataFrame:
+    """Sum of ``value`` over all rows before each row in ``order``, in ranges of about ``block_rows`` rows."""
+    saved = scratch.save(df)
+    blocks = saved.count() // block_rows + 1
+    before = lambda *keys: F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if blocks == 1:
+        return saved.withColumn(out, before(F.lit(0)))
+    r = range_blocks(saved, scratch, order, blocks)
+    carried = r.groupBy("_b").agg(F.sum(value).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry"))  # a row a block
+    return r.withColumn(out, before("_b")).join(carried, "_b").withColumn(out, F.col(out) + F.col("_carry")).drop("_b", "_carry")
+
+
+def blocks_in_files(df: DataFrame, scratch: Scratch, key: str, blocks: int, build: Callable[[pa.Table], object]) -> list[str]:
+    """``build`` of each of ``blocks`` parts of the rows, by a hash of ``key``, pickled to a file in the shared folder.
+
+    The files are made by the tasks that hold the parts; one name a part comes back.
+    """
+    base = f"{scratch.home}/blocks"
+
+    def run(t: pa.Table) -> pa.Table:
+        from pyarrow import fs
+
+        b = t.column("_block")[0].as_py()
+        store, at = fs.FileSystem.from_uri(base)
+        store.create_dir(at, recursive=True)
+        part = f"{at}/.{b:06d}-{uuid.uuid4().hex}"
+        with store.open_output_stream(part, compression=None) as f:
+            f.write(pickle.dumps(build(t)))
+        store.move(part, f"{at}/{b:06d}")
+        return pa.table({"path": [f"{base}/{b:06d}"]})
+
+    made = df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).groupBy("_block").applyInArrow(run, "path string")
+    return sorted(r["path"] for r in made.collect())
+
+
+def read_block(path: str) -> object:
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(at, compression=None) as f:
+        return pickle.loads(f.read())

@@ -29,15 +29,10 @@ def stop_after(events: DataFrame, key: str, limit: int) -> DataFrame:
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
-        out = []
-        for pdf in batches:
-            for _ in range(len(pdf)):
-                if seen >= limit:
-                    break
-                seen += 1
-                out.append((k[0], seen, seen == limit))
-        state.update((seen,))
-        yield pd.DataFrame(out, columns=["key", "n", "stopped"])
+        new = min(sum(map(len, batches)), limit - seen)
+        n = pd.Series(range(seen + 1, seen + new + 1), dtype="int32")
+        state.update((seen + new,))
+        yield pd.DataFrame({"key": pd.Series([k[0]] * new), "n": n, "stopped": n == limit})
 
     kind = dict(events.dtypes)[key]
     return events.groupBy(key).applyInPandasWithState(step, f"key {kind}, n int, stopped boolean", "seen int", "append", GroupStateTimeout.NoTimeout)
