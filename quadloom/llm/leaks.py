@@ -16,7 +16,6 @@ where few files hold them.
 from __future__ import annotations
 
 import html
-import pickle
 import re
 import unicodedata
 from collections import defaultdict
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm.mojibake import look_alike
-from quadloom.runtime import Scratch, ship_package, spread
+from quadloom.runtime import Scratch, blocks_in_files, read_block, ship_package, spread
 
 MIN_WORDS = 14  # fixed values of the definition: words of the item, and words an edit
 WORDS_PER_EDIT = 8
@@ -245,21 +244,13 @@ class Index:
 _PAIRS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
 
 
-def _read(path: str) -> Index:
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(at, compression=None) as f:
-        return pickle.loads(f.read())
-
-
 def _mapper(index: Index | None, paths: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple[int, int]] = []
             keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             some = [(k, w) for k, w in zip(keys, map(encode, texts)) if len(w) >= MIN_WORDS - 2]
-            for ix in [index] if index else map(_read, paths):
+            for ix in [index] if index else map(read_block, paths):
                 for i in range(0, len(some), DOC_BATCH):
                     part = some[i : i + DOC_BATCH]
                     rows += [(part[d][0], item) for d, item in ix.found([w for _, w in part])]
@@ -268,25 +259,6 @@ def _mapper(index: Index | None, paths: list[str]):
     return run
 
 
-def write_indexes(items: DataFrame, blocks: int) -> list[str]:
-    """The items' indexes in the shared folder, a file a block, made by the tasks that hold the blocks."""
-    base = f"{Scratch(items.sparkSession, 'leaks').base}/index"
-
-    def run(t: pa.Table) -> pa.Table:
-        from pyarrow import fs
-
-        b = t.column("block")[0].as_py()
-        store, at = fs.FileSystem.from_uri(base)
-        store.create_dir(at, recursive=True)
-        data = pickle.dumps(Index(list(zip(t.column("item_id").to_pylist(), t.column("text").to_pylist()))))
-        with store.open_output_stream(f"{at}/{b:06d}", compression=None) as f:
-            f.write(data)
-        return pa.table({"path": [f"{base}/{b:06d}"]})
-
-    made = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(run, "path string")
-    return sorted(r["path"] for r in made.collect())  # one name a block
-
-
 def leaked_items(docs: DataFrame, items: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
     """Distinct ``doc_id, item_id`` where the document contains a passage of the item.
 
@@ -301,7 +273,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, item_block: int = ITEM_BLOCK
     if n <= item_block:
         index = Index([(r["item_id"], r["text"]) for r in items.collect()])  # bounded by item_block
     else:
-        paths = write_indexes(items, -(-n // item_block))
+        build = lambda t: Index(list(zip(t.column("item_id").to_pylist(), t.column("text").to_pylist())))
+        paths = blocks_in_files(items, Scratch(docs.sparkSession, "leaks"), "item_id", -(-n // item_block), build)
     return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(_mapper(index, paths), "doc_id bigint, item_id bigint").distinct()
 
 

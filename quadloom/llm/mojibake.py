@@ -14,7 +14,6 @@ all documents' words.  A last pass over the documents looks their words up among
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.runtime import Scratch, ship_package, spread
+from quadloom.runtime import Scratch, blocks_in_files, read_block, ship_package, spread
 
 SAMPLE_DOCS = 6000
 HASH_BITS = 15
@@ -457,7 +456,7 @@ def _mapper(model: Model, known: dict | None, paths: list[str], with_text: bool)
             hits: list[dict] = [{} for _ in texts]
             n = [0] * len(texts)
             words = [[*zip(ws, shapes(ws))] for ws in map(words_of, texts)]
-            for garbled in [known] if known is not None else map(_read, paths):
+            for garbled in [known] if known is not None else map(read_block, paths):
                 for i, ws in enumerate(words):
                     for w, key in ws:
                         got = garbled.get(key)
@@ -474,32 +473,6 @@ def _mapper(model: Model, known: dict | None, paths: list[str], with_text: bool)
     return run
 
 
-def _read(path: str) -> dict:
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(at, compression=None) as f:
-        return pickle.loads(f.read())
-
-
-def _write_blocks(garbled: DataFrame, scratch: Scratch, blocks: int) -> list[str]:
-    """The garbled words in the shared folder, a file a block of them."""
-    base = f"{scratch.base}/blocks"
-
-    def run(t: pa.Table) -> pa.Table:
-        from pyarrow import fs
-
-        b = t.column("block")[0].as_py()
-        store, at = fs.FileSystem.from_uri(base)
-        store.create_dir(at, recursive=True)
-        with store.open_output_stream(f"{at}/{b:06d}", compression=None) as f:
-            f.write(pickle.dumps({r["w"]: (r["k"], r["back"], r["pattern_word"]) for r in t.to_pylist()}))
-        return pa.table({"path": [f"{base}/{b:06d}"]})
-
-    made = garbled.withColumn("block", F.pmod(F.xxhash64("w"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(run, "path string")
-    return sorted(r["path"] for r in made.collect())  # one name a block
-
-
 def garbled_documents(docs: DataFrame, model: Model | None = None, with_text: bool = True, words_a_block: int = WORDS_A_BLOCK) -> DataFrame:
     """Documents with at least one garbled or lost character: chains, number of words, restored text.
 
@@ -517,6 +490,6 @@ def garbled_documents(docs: DataFrame, model: Model | None = None, with_text: bo
     if n <= words_a_block:
         known = {r["w"]: (r["k"], r["back"], r["pattern_word"]) for r in garbled.collect()}  # bounded by words_a_block
     else:
-        paths = _write_blocks(garbled, scratch, -(-n // words_a_block))
+        paths = blocks_in_files(garbled, scratch, "w", -(-n // words_a_block), lambda t: {r["w"]: (r["k"], r["back"], r["pattern_word"]) for r in t.to_pylist()})
     weights = Model(model.classes)  # the pass over the documents needs the chains only
     return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(_mapper(weights, known, paths, with_text), _OUT)
