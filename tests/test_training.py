@@ -309,12 +309,11 @@ def test_frames_are_rebuilt_whole(spark):
 def test_scratch_tables_live_in_the_checkpoint_folder(spark):
     s = Scratch(spark, "t")
     d = s.save(spark.range(5))
-    folder = checkpoint_dir(spark).removeprefix("file://")
-    assert d.count() == 5 and s.base.startswith(checkpoint_dir(spark)) and glob.glob(f"{folder}/quadloom-t-*/tables/00001")
+    assert d.count() == 5 and s.base.startswith(checkpoint_dir(spark)) and glob.glob(f"{s.base.removeprefix('file://')}/00001")
     s.drop(d)
     assert not glob.glob(f"{s.base.removeprefix('file://')}/00001")
     s.close()
-    assert not glob.glob(f"{folder}/quadloom-t-*")
+    assert not glob.glob(s.home.removeprefix("file://"))
 
 
 def test_dealt_join_of_hot_keys(spark):
