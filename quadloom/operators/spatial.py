@@ -102,26 +102,42 @@ def fuzzy_identity(strips: DataFrame, catalog: DataFrame, eps: float = 1e-4) ->
     return m.groupBy("strip_id").agg(F.min("entry_id").alias("entry_id"))
 
 
-def resample(points: DataFrame, route: str, seq: str, spacing: float, block_rows: int = 1_000_000) -> DataFrame:
-    """Points at equal distances along each polyline, ends kept, attributes interpolated.
+def _length() -> Column:
+    return F.coalesce(F.sqrt((F.col("nx") - F.col("x")) ** 2 + (F.col("ny") - F.col("y")) ** 2), F.lit(0.0)).alias("len")
 
-    ``points``: ``route, seq, x, y, alt`` (planar).  Repeated points are skipped; a route of one point
-    gives that point.  Points are ordered in ranges, so a route of any length is spread over tasks: the
-    next point and the length so far are carried from range to range.
-    """
-    s = Scratch(points.sparkSession, "resample")
-    saved = s.save(points.select(route, seq, "x", "y", "alt"))
-    r = range_blocks(saved, s, [route, seq], saved.count() // block_rows + 1)
+
+def _lengths(p: DataFrame, route: str, seq: str) -> DataFrame:
+    """Each point with the next one, the length to it and the length so far, by windows over whole routes."""
+    w = Window.partitionBy(route).orderBy(seq)
+    p = p.select("*", *[F.lead(c).over(w).alias(f"n{c}") for c in ("x", "y", "alt")]).select("*", _length())
+    return p.withColumn("start", F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+
+
+def _lengths_in_ranges(p: DataFrame, route: str, seq: str, blocks: int) -> DataFrame:
+    """The same in ranges of rows: the next point and the length so far are carried from range to range."""
+    s = Scratch(p.sparkSession, "resample")
+    r = range_blocks(p, s, [route, seq], blocks)
     nxt = F.struct(route, "x", "y", "alt")
     heads = r.groupBy("_b").agg(F.min_by(nxt, F.struct(route, seq)).alias("f")).select("_b", F.lead("f").over(Window.orderBy("_b")).alias("_head"))  # a row a block
     p = r.withColumn("_n", F.lead(nxt).over(Window.partitionBy("_b").orderBy(route, seq))).join(F.broadcast(heads), "_b", "left").withColumn("_n", F.coalesce("_n", "_head"))
     p = p.withColumn("_n", F.when(F.col(f"_n.{route}") == F.col(route), F.col("_n")))
-    p = p.select("_b", route, seq, "x", "y", "alt", F.col("_n.x").alias("nx"), F.col("_n.y").alias("ny"), F.col("_n.alt").alias("nalt"))
-    p = s.save(p.withColumn("len", F.coalesce(F.sqrt((F.col("nx") - F.col("x")) ** 2 + (F.col("ny") - F.col("y")) ** 2), F.lit(0.0))))
+    p = s.save(p.select("_b", route, seq, "x", "y", "alt", *[F.col(f"_n.{c}").alias(f"n{c}") for c in ("x", "y", "alt")]).select("*", _length()))
     before = Window.partitionBy(route).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = p.groupBy(route, "_b").agg(F.sum("len").alias("_l")).select(route, "_b", F.coalesce(F.sum("_l").over(before), F.lit(0.0)).alias("_carry"))
     inside = Window.partitionBy("_b", route).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    p = p.withColumn("_in", F.coalesce(F.sum("len").over(inside), F.lit(0.0))).join(carried, [route, "_b"]).withColumn("start", F.col("_in") + F.col("_carry"))
+    return p.withColumn("_in", F.coalesce(F.sum("len").over(inside), F.lit(0.0))).join(carried, [route, "_b"]).withColumn("start", F.col("_in") + F.col("_carry")).drop("_b", "_in", "_carry")
+
+
+def resample(points: DataFrame, route: str, seq: str, spacing: float, block_rows: int = 1_000_000) -> DataFrame:
+    """Points at equal distances along each polyline, ends kept, attributes interpolated.
+
+    ``points``: ``route, seq, x, y, alt`` (planar).  Repeated points are skipped; a route of one point
+    gives that point.  More than ``block_rows`` points are ordered in ranges, so a route of any length is
+    spread over tasks.
+    """
+    rows = points.select(route, seq, "x", "y", "alt")
+    n = rows.count()
+    p = _lengths(rows, route, seq) if n <= block_rows else _lengths_in_ranges(rows, route, seq, n // block_rows + 1)
     first, last = F.ceil(F.col("start") / spacing), F.ceil((F.col("start") + F.col("len")) / spacing) - 1
     steps = F.when((F.col("len") > 0) & (last >= first), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     on = p.select(route, F.explode(steps).alias("k"), "start", "len", "x", "y", "alt", "nx", "ny", "nalt")
