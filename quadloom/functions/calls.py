@@ -130,3 +130,13 @@ def format_channels(name: Column) -> Column:
 def clock_text(ts: Column) -> Column:
     """Year, month number and name, day and time as ``2024_01jan05_06:07.08``."""
     return F.lower(F.concat(F.date_format(ts, "yyyy_MM"), F.date_format(ts, "MMM"), F.date_format(ts, "dd_HH:mm.ss")))
+
+
+def is_draw(name: Column, flags: Column, count: Column, names: list[str]) -> Column:
+    """A call of one of the given names that renders and has something to draw; null counts draw nothing."""
+    return F.coalesce(name.isin(names) & (flags.bitwiseAND(RENDER) != 0) & (count > 0), F.lit(False))
+
+
+def skip_reason(no_data: Column, known_primitive: Column, several_strips: Column, bad_strip: Column) -> Column:
+    """Why a draw gives no tile, the first that holds; null where it gives one."""
+    return F.when(no_data, "null blob").when(~known_primitive, "unsupported primitive").when(several_strips, "multiple strips").when(bad_strip, "invalid strip data")

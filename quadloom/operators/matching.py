@@ -100,6 +100,20 @@ def majority(votes: DataFrame, group: list[str], value: list[str], order: str, l
     return total.filter((F.col("n_votes") >= least) & (2 * F.col("n_votes") > F.col("n_all"))).select(*group, *[F.col(f"v.{c}").alias(c) for c in value], "n_votes", "n_all")
 
 
+def tiered_vote(votes: DataFrame, key: str, tier: str, row: str, col: str, order: str) -> DataFrame:
+    """``key, row_offset, col_offset, joint`` by the votes of each key's best tier.
+
+    The pair with a strict majority, the first seen among equals; without one each part by itself, by
+    number of votes and then the smaller value.
+    """
+    t = votes.join(votes.groupBy(key).agg(F.min(tier).alias(tier)), [key, tier])
+    n = t.groupBy(key, row, col).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("f"))
+    joint = n.groupBy(key).agg(F.max_by(F.struct(F.col(row).alias("r"), F.col(col).alias("c")), F.struct("n", (-F.col("f")).alias("f"))).alias("rc"), F.max("n").alias("n"), F.sum("n").alias("a"))
+    own = lambda c, out: n.groupBy(key, c).agg(F.sum("n").alias("n")).groupBy(key).agg(F.max_by(c, F.struct("n", (-F.col(c)).alias("o"))).alias(out))
+    j = joint.join(own(row, "pr"), key).join(own(col, "pc"), key).withColumn("joint", 2 * F.col("n") > F.col("a"))
+    return j.select(key, F.when(F.col("joint"), F.col("rc.r")).otherwise(F.col("pr")).alias("row_offset"), F.when(F.col("joint"), F.col("rc.c")).otherwise(F.col("pc")).alias("col_offset"), "joint")
+
+
 def asof_path(queries: DataFrame, textures: DataFrame, key: str, at: str, version: str, path: str, width: int = 4096) -> DataFrame:
     """Path of a texture as of a frame: the exact or latest version up to it, else the earliest.
 

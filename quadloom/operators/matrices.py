@@ -461,3 +461,29 @@ def priority_order(parents: dict[int, set[int]], rank: dict[int, tuple]) -> list
         for k in kids.get(m, ()):
             heapq.heappush(heap, (rank[k], k, level + 1))
     return out if len(out) == len(ids) else plain
+
+
+def anchor(parent: Column, quadrant: Column, own: Column) -> Column:
+    """Offset of a matrix that one tile gives along an axis: its parent's place, a level down, less its own cell."""
+    return 2 * parent + quadrant - own
+
+
+def full_world(layers: DataFrame) -> DataFrame:
+    """Layers with offset 0 along each axis on which they span the world of their level.
+
+    Layers without a level from 0 to 30 stay out.
+    """
+    world = F.pow(F.lit(2), F.col("hierarchy_level")).cast("bigint")
+    zero = lambda n, off: F.when(F.col(n) == world, 0).otherwise(F.col(off))
+    return layers.filter("hierarchy_level between 0 and 30").withColumns({"col_offset": zero("n_cols", "col_offset"), "row_offset": zero("n_rows", "row_offset")})
+
+
+def export_manifest(tiles: DataFrame, path: str, tile: str, size: str) -> DataFrame:
+    """One tile a path, native (with a size) before derived, then the smallest id; ``must_abort`` where sizes differ."""
+    order = F.struct(F.col(size).isNull().cast("int").alias("derived"), tile)
+    return tiles.groupBy(path).agg(F.min_by(tile, order).alias(tile), F.count(F.lit(1)).alias("n_rows"), (F.countDistinct(size) > 1).alias("must_abort"))
+
+
+def native_tiles(tiles: DataFrame) -> DataFrame:
+    """Tiles of a native texture of 256 pixels with four points that were not skipped."""
+    return tiles.filter(F.col("texture_file").rlike(r"/256x256_[0-9]+\.") & (F.col("number_of_points") == 4) & ~F.coalesce("skipped", F.lit(False)))

@@ -94,12 +94,7 @@ def agg12(spark, d):
     """Votes of the best tier only; the joint anchor if it has a strict majority, else each part's own."""
     o = table(spark, d, "orders")
     v = o.select(F.col("o_custkey").alias("matrix_id"), F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("tier"), (F.col("o_orderkey") % 3).cast("int").alias("r"), F.pmod(F.col("o_orderkey") - 5, F.lit(4)).cast("int").alias("c"), "o_orderkey")
-    t = v.join(v.groupBy("matrix_id").agg(F.min("tier").alias("tier")), ["matrix_id", "tier"])
-    n = t.groupBy("matrix_id", "r", "c").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("f"))
-    joint = n.groupBy("matrix_id").agg(F.max_by(F.struct("r", "c"), F.struct("n", (-F.col("f")).alias("f"))).alias("rc"), F.max("n").alias("n"), F.sum("n").alias("a"))
-    own = lambda c: t.groupBy("matrix_id", c).agg(F.count(F.lit(1)).alias("n")).groupBy("matrix_id").agg(F.max_by(c, F.struct("n", (-F.col(c)).alias("o"))).alias(f"p{c}"))
-    j = joint.join(own("r"), "matrix_id").join(own("c"), "matrix_id").withColumn("joint", 2 * F.col("n") > F.col("a"))
-    return j.select("matrix_id", F.when(F.col("joint"), F.col("rc.r")).otherwise(F.col("pr")).alias("row_offset"), F.when(F.col("joint"), F.col("rc.c")).otherwise(F.col("pc")).alias("col_offset"), "joint")
+    return mt.tiered_vote(v, "matrix_id", "tier", "r", "c", "o_orderkey")
 
 
 @query("agg22_relative_rank", "select vec_id, label, percent_rank() over (partition by label order by embedding[1]) as rank from embeddings")

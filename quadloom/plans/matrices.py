@@ -367,10 +367,8 @@ def mtx20f(spark, d):
 
 @query("mtx17_anchor", "select p_partkey, (2 * (p_partkey % 50) + (p_size % 2) - (p_partkey % 7))::bigint as anchor_row, (2 * (p_partkey % 40) + (p_size % 3) % 2 - (p_partkey % 5))::bigint as anchor_col from part")
 def mtx17(spark, d):
-    p = table(spark, d, "part")
-    anchor = lambda parent, quadrant, own: 2 * parent + quadrant - own
     k, s = F.col("p_partkey"), F.col("p_size")
-    return p.select("p_partkey", anchor(k % 50, s % 2, k % 7).alias("anchor_row"), anchor(k % 40, (s % 3) % 2, k % 5).alias("anchor_col"))
+    return table(spark, d, "part").select("p_partkey", mx.anchor(k % 50, s % 2, k % 7).alias("anchor_row"), mx.anchor(k % 40, (s % 3) % 2, k % 5).alias("anchor_col"))
 
 
 @query("mtx18_grid_assembly", f"with {_PIECES} select matrix_id, i, j, (i - root_i)::bigint as grid_i, 0::bigint as grid_j from pieces")
@@ -387,9 +385,7 @@ def mtx19(spark, d):
 
 @query("mtx21_full_world", "select layer_id, case when n_cols = (1::bigint << hierarchy_level) then 0 else col_offset end as col_offset, case when n_rows = (1::bigint << hierarchy_level) then 0 else row_offset end as row_offset from matrix_layers where hierarchy_level between 0 and 30")
 def mtx21(spark, d):
-    m = table(spark, d, "matrix_layers").filter("hierarchy_level between 0 and 30")
-    full = lambda n: F.col(n) == F.pow(F.lit(2), F.col("hierarchy_level")).cast("bigint")
-    return m.select("layer_id", F.when(full("n_cols"), 0).otherwise(F.col("col_offset")).alias("col_offset"), F.when(full("n_rows"), 0).otherwise(F.col("row_offset")).alias("row_offset"))
+    return mx.full_world(table(spark, d, "matrix_layers")).select("layer_id", "col_offset", "row_offset")
 
 
 @query("mtx22_displacement", f"with recursive {UNCLES_SQL}, pl(tile_id, col, root, rcol, d) as (select tile_id, 0::bigint, tile_id, 5::bigint, 0 from edges where uncle_id = 0 and tile_id > 0 union all select e.tile_id, 2 * p.col + e.direction % 2, p.root, 2 * p.rcol + e.direction % 2, p.d + 1 from edges e join pl p on e.uncle_id = p.tile_id) select tile_id, (rcol - col)::bigint as shift, (5 * (1::bigint << d))::bigint as law from pl")
@@ -407,13 +403,12 @@ def mtx22(spark, d):
 @query("mtx24_export_manifest", r"""with m as (select pyramid_id, image_path, pyramid_tile_id, n_bytes from pyramid_tiles where regexp_full_match(quad_key, '0[0-3]*'))
   select image_path, arg_min(pyramid_tile_id, row(case when n_bytes is null then 1 else 0 end, pyramid_tile_id)) as pyramid_tile_id, count(*) as n_rows, count(distinct n_bytes) > 1 as must_abort from m group by image_path""")
 def mtx24(spark, d):
-    m = table(spark, d, "pyramid_tiles").filter(is_valid(F.col("quad_key")))
-    return m.groupBy("image_path").agg(F.min_by("pyramid_tile_id", F.struct(F.col("n_bytes").isNull().cast("int").alias("derived"), "pyramid_tile_id")).alias("pyramid_tile_id"), F.count(F.lit(1)).alias("n_rows"), (F.countDistinct("n_bytes") > 1).alias("must_abort"))
+    return mx.export_manifest(table(spark, d, "pyramid_tiles").filter(is_valid(F.col("quad_key"))), "image_path", "pyramid_tile_id", "n_bytes")
 
 
 @query("mtx25_native_only", "select row_id from frame_tiles where regexp_matches(texture_file, '/256x256_[0-9]+\\.') and number_of_points = 4 and not coalesce(skipped, false)")
 def mtx25(spark, d):
-    return table(spark, d, "frame_tiles").filter(F.col("texture_file").rlike(r"/256x256_[0-9]+\.") & (F.col("number_of_points") == 4) & ~F.coalesce("skipped", F.lit(False))).select("row_id")
+    return mx.native_tiles(table(spark, d, "frame_tiles")).select("row_id")
 
 
 @query("evt6_last_capture_frame", "select session_id, max(split_part(trim(content_id), '_', 1)::bigint) as last_frame from frame_tiles where regexp_full_match(trim(content_id), '[0-9]+_[0-9]+') group by 1")

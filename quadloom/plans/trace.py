@@ -10,7 +10,7 @@ from quadloom.functions import calls as fc
 from quadloom.model import CALLS_SQL, calls
 from quadloom.operators import trace
 from quadloom.runtime import Scratch, table
-from quadloom.sources import frames, traces
+from quadloom.sources import frames, profiles, traces
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -298,13 +298,13 @@ def sc2(spark, d):
 
 @query("flt12_draw_predicate", f"with {CALLS_SQL} select call_no from calls where name in ('click', 'view') and flags & 8 <> 0 and k > 0")
 def flt12(spark, d):
-    return calls(spark, d).filter(F.col("name").isin("click", "view") & (F.col("flags").bitwiseAND(cs.RENDER) != 0) & (F.col("k") > 0)).select("call_no")
+    return calls(spark, d).filter(fc.is_draw(F.col("name"), F.col("flags"), F.col("k"), ["click", "view"])).select("call_no")
 
 
 @query("sc19_skip_reason", f"""with {CALLS_SQL} select call_no, case when name = 'error' then 'null blob' when name <> 'click' then 'unsupported primitive' when k % 3 = 0 then 'multiple strips' when k < 20 then 'invalid strip data' end as skip_reason from calls""")
 def sc19(spark, d):
     n, k = F.col("name"), F.col("k")
-    return calls(spark, d).select("call_no", F.when(n == "error", "null blob").when(n != "click", "unsupported primitive").when(k % 3 == 0, "multiple strips").when(k < 20, "invalid strip data").alias("skip_reason"))
+    return calls(spark, d).select("call_no", fc.skip_reason(n == "error", n == "click", k % 3 == 0, k < 20).alias("skip_reason"))
 
 
 @query("sc28_clock_text", "select event_id, strftime(ts, '%Y_%m') || lower(strftime(ts, '%b')) || strftime(ts, '%d_%H:%M.%S') as clock from events")
@@ -329,11 +329,15 @@ def leaks(spark, d):
     return trace.object_balance(calls(spark, d).withColumnRenamed("k", "object_id"), F.col("name") == "signup", F.col("name") == "purchase", "object_id")
 
 
-@query("src18_profile_text", f"with {CALLS_SQL} select call_no as no, k * 10 as gpu_dur, name as program from calls where k is not null")
+@query("src18_profile_text", f"with {CALLS_SQL} select call_no as no, k * 10 as gpu_dur, call_no % 77 as cpu_dur, k - 3 as pixels, thread_id as program, name from calls where k is not null")
 def src18(spark, d):
-    text = calls(spark, d).filter("k is not null").select(F.concat_ws(" ", F.lit("call"), "call_no", F.col("k") * 10, "name").alias("line"))
-    p = F.split("line", " ")
-    return text.filter(p[0] == "call").select(p[1].cast("bigint").alias("no"), p[2].cast("bigint").alias("gpu_dur"), p[3].alias("program"))
+    """Calls as lines of a profile listing among others, and parsed again."""
+    k, no = F.col("k"), F.col("call_no")
+    zero = F.lit(0)
+    text = F.concat_ws(" ", F.lit("call"), no, zero, k * 10, zero, no % 77, zero, zero, zero, zero, k - 3, "thread_id", "name")
+    c = calls(spark, d)
+    lines = c.filter("k is not null").select(text.alias("line")).unionByName(c.select(F.concat_ws(" ", F.lit("frame"), no).alias("line")))
+    return profiles.parse_profile(lines).select("no", "gpu_dur", "cpu_dur", "pixels", "program", "name")
 
 
 @query("evt7_logical_lines", r"select (event_id % 50)::bigint as file_id, row_number() over (partition by event_id % 50 order by event_id) - 1 as line_no, event_id || ' gl' || event_type || '(a = ' || case when event_id % 3 = 0 then '\n' else '' end || props || ')' as line from events")
