@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.ids import has_tile_key, with_tile_key
-from quadloom.runtime import Scratch, prefix_sums, ship_package
+from quadloom.runtime import Scratch, file_store, prefix_sums, ship_package, write_whole
 
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"  # fixed value: frame header of the public format
 TARGET_BYTES = 128 * 1024 * 1024
@@ -160,17 +160,9 @@ def _packer(uri: str | None):
 
 
 def _write_and_read(uri: str, name: str, payload: bytes) -> bytes:
-    """Writes a file under another name, moves it into its place whole, and reads it from there."""
-    import uuid
-
-    from pyarrow import fs
-
-    store, base = fs.FileSystem.from_uri(uri)
-    store.create_dir(base, recursive=True)
-    part = f"{base}/.{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(part, compression=None) as s:
-        s.write(payload)
-    store.move(part, f"{base}/{name}")
+    """Writes a file and reads it from where it lies."""
+    store, base = file_store(uri)
+    write_whole(store, f"{base}/{name}", payload)
     with store.open_input_stream(f"{base}/{name}", compression=None) as s:
         return s.read()
 

@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from quadloom.model import CELLS_SQL, cells
-from quadloom.runtime import Scratch, table
+from quadloom.runtime import Scratch, file_store, table, write_whole
 from quadloom.sources import blobs, frames, traces
 
 QUERIES: dict = {}
@@ -152,9 +152,9 @@ def _traces(spark, d, bookmarks: int | None = 500) -> str:
     def run(t: pa.Table) -> pa.Table:
         rows = t.sort_by("event_id").to_pylist()
         data = traces.write_trace([(r["user_id"], r["event_type"], {"k": r["k"], "data": str(r["event_id"]).encode()}, r["event_id"]) for r in rows])
-        store, at = blobs.file_store(base)
+        store, at = file_store(base)
         kind = rows[0]["block"] % 3  # plain, gzip and zstandard containers
-        blobs.write_whole(store, f"{at}/t{rows[0]['block']:08d}.trace", data if kind == 0 else gzip.compress(data) if kind == 1 else zstandard.compress(data))
+        write_whole(store, f"{at}/t{rows[0]['block']:08d}.trace", data if kind == 0 else gzip.compress(data) if kind == 1 else zstandard.compress(data))
         return pa.table({"n": pa.array([t.num_rows], pa.int64())})
 
     e.groupBy("block").applyInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()

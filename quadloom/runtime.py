@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import os
 import pickle
+import re
 import shutil
 import tempfile
 import uuid
@@ -147,6 +149,25 @@ def two_level_rank(df: DataFrame, keys: list[str], order: str, out: str, width:
     return rn.join(base, [*keys, "_b"]).withColumn(out, F.col("_rn") + F.col("_base")).drop("_b", "_rn", "_base")
 
 
+def file_store(path: str):
+    """pyarrow's file system of a path or URI, and the path on it; for files that tasks write and read themselves."""
+    from pyarrow import fs
+
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = f"file://{path[5:]}"
+    return fs.FileSystem.from_uri(path if re.match(r"^[a-z0-9+]+:", path) else f"file://{os.path.abspath(path)}")
+
+
+def write_whole(store, path: str, data: bytes) -> None:
+    """Writes a file under another name and moves it into its place, so no half of it is ever there."""
+    folder = path.rsplit("/", 1)[0]
+    store.create_dir(folder, recursive=True)
+    part = f"{folder}/.{uuid.uuid4().hex}"
+    with store.open_output_stream(part, compression=None) as f:
+        f.write(data)
+    store.move(part, path)
+
+
 HOT_ROWS = 2_000_000
 MOST_HOT_KEYS = 1_000
 
@@ -196,15 +217,9 @@ def blocks_in_files(df: DataFrame, scratch: Scratch, key: str, blocks: int, buil
     base = f"{scratch.home}/blocks"
 
     def run(t: pa.Table) -> pa.Table:
-        from pyarrow import fs
-
         b = t.column("_block")[0].as_py()
-        store, at = fs.FileSystem.from_uri(base)
-        store.create_dir(at, recursive=True)
-        part = f"{at}/.{b:06d}-{uuid.uuid4().hex}"
-        with store.open_output_stream(part, compression=None) as f:
-            f.write(pickle.dumps(build(t)))
-        store.move(part, f"{at}/{b:06d}")
+        store, at = file_store(base)
+        write_whole(store, f"{at}/{b:06d}", pickle.dumps(build(t)))
         return pa.table({"path": [f"{base}/{b:06d}"]})
 
     made = df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).groupBy("_block").applyInArrow(run, "path string")
@@ -212,8 +227,6 @@ def blocks_in_files(df: DataFrame, scratch: Scratch, key: str, blocks: int, buil
 
 
 def read_block(path: str) -> object:
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = file_store(path)
     with store.open_input_stream(at, compression=None) as f:
         return pickle.loads(f.read())

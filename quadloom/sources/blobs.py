@@ -5,9 +5,6 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
-import os
-import re
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -26,23 +23,6 @@ def container_of(data: bytes) -> str:
     return next((name for magic, name in MAGIC.items() if data.startswith(magic)), "plain")
 
 
-def file_store(path: str):
-    """pyarrow's file system of a path or URI, and the path on it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if re.match(r"^[a-z0-9+]+:", path) else f"file://{os.path.abspath(path)}")
-
-
-def write_whole(store, path: str, data: bytes) -> None:
-    """Writes a file under another name and moves it into its place, so no half of it is ever there."""
-    folder = path.rsplit("/", 1)[0]
-    store.create_dir(folder, recursive=True)
-    part = f"{folder}/.{uuid.uuid4().hex}"
-    with store.open_output_stream(part, compression=None) as f:
-        f.write(data)
-    store.move(part, path)
-
-
 class SnappyChunks(io.RawIOBase):
     """Contents of a snappy container: a two-byte mark, then chunks, each after its length in four bytes."""
 

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions.ids import five_digit
 from quadloom.functions.quadkey import is_valid, layout_of
-from quadloom.runtime import ship_package
-from quadloom.sources.blobs import file_store, write_whole
+from quadloom.runtime import file_store, ship_package, write_whole
 
 FRAME_SCHEMA = "id string, tiles array<struct<contentId:string,textureFile:string,southNeighbor:string,northNeighbor:string,eastNeighbor:string,westNeighbor:string,primitive:string,skipped:boolean>>"
 MATRIX_FIELDS = "rows:int,cols:int,tiles:array<struct<id:string,i:int,j:int,textureFile:string,uncles:array<struct<direction:string,uncleContentId:string>>>>"

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quadloom.runtime import ship_package
-from quadloom.sources.blobs import file_store, open_plain, write_whole
+from quadloom.runtime import file_store, ship_package, write_whole
+from quadloom.sources.blobs import open_plain
 
 FIELDS = {"path": "string", "call_no": "bigint", "thread_id": "bigint", "name": "string", "args": "string", "ret": "string", "complete": "boolean"}
 SCHEMA = ", ".join(f"{k} {v}" for k, v in FIELDS.items())
