@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -156,11 +157,25 @@ def pack_f32(c):
     return run(c)
 
 
-@query("sc16_texcoords")
+def _floats(values):
+    """An array of numbers as packed 32-bit floats."""
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: np.asarray(v, "<f4").tobytes())
+
+    return run(values)
+
+
+@query("sc16_texcoords", """select vec_id, n::int as n, round(((vec_id + 2 * n) / 7.0::double)::float::double, 4) as u, case when n < 2 then round(((vec_id + 2 * n + 1) / 7.0::double)::float::double, 4) else 0 end as v
+  from embeddings, unnest([0, 1, 2]) as t(n)""")
 def sc16(spark, d):
+    """Pairs of five packed floats: the last one lacks its second component."""
     from quadloom.sources.blobs import texture_coordinates
 
-    return table(spark, d, "embeddings").select("vec_id", texture_coordinates(pack_f32(F.col("vec_id") / 7), F.lit(8), F.lit(2)).alias("uv"))
+    data = _floats(F.array(*[(F.col("vec_id") + i) / 7 for i in range(5)]))
+    uv = table(spark, d, "embeddings").select("vec_id", F.posexplode(texture_coordinates(data, F.lit(8), F.lit(2))).alias("n", "p"))
+    return uv.select("vec_id", "n", *[F.round(F.col("p")[k].cast("double"), 4).alias(c) for k, c in enumerate("uv")])
 
 
 @query("sc17_triangle_strips", "select vec_id, ((vec_id % 10) // 3)::int as n_strips from embeddings")
@@ -170,12 +185,15 @@ def sc17(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.size(g.triangle_strips(idx)).alias("n_strips"))
 
 
-@query("sc18_line_strips")
+@query("sc18_line_strips", """with x as (select vec_id, i, (vec_id * 3 + i * i) % 12 as v from embeddings, unnest(range(0, 10)) as t(i)), y as (select *, sum((v >= 10)::int) over (partition by vec_id order by i) as g from x),
+  z as (select vec_id, g, string_agg(v::varchar, ',' order by i) as s, count(*) as n from y where v < 10 group by all)
+  select e.vec_id, coalesce(string_agg(s, ';' order by g) filter (n > 1), '') as strips from embeddings e left join z using (vec_id) group by e.vec_id""")
 def sc18(spark, d):
     from quadloom.sources.blobs import line_strips
 
     idx = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: ((F.col("vec_id") * 3 + i * i) % 12).cast("int"))
-    return table(spark, d, "embeddings").select("vec_id", line_strips(idx, F.lit(10), F.lit("GL_LINE_STRIP")).alias("strips"))
+    strips = line_strips(idx, F.lit(10), F.lit("GL_LINE_STRIP"))
+    return table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(strips, lambda x: F.array_join(x.cast("array<string>"), ",")), ";").alias("strips"))
 
 
 @query("sc20_id_normalize", "select row_id, case when regexp_full_match(trim(content_id), '[0-9]+_[0-9]+') then printf('%05d_%d', split_part(trim(content_id), '_', 1)::bigint, split_part(trim(content_id), '_', 2)::bigint) else trim(content_id) end as id, try_cast(split_part(trim(content_id), '_', 2) as bigint) as suffix from frame_tiles")
@@ -402,7 +420,12 @@ def snk9(spark, d):
     return _route(spark, d).select("seq", F.concat(F.lit("L"), F.col("seq") % 16, F.lit("/z"), F.lpad((F.col("seq") % 10000).cast("string"), 4, "0")).alias("marker"), r6(F.abs("lat") * 3).alias("altitude"))
 
 
-@query("srt2_visual_columns")
+@query("srt2_visual_columns", """with recursive v as (select l_orderkey, list_sort(list((l_partkey % 40)::double)) as x from lineitem group by 1),
+  t as (select *, greatest(1.0, (x[len(x)] - x[1]) * 0.1) as tol from v),
+  r(l_orderkey, i, mean, n, c) as (select l_orderkey, 1, x[1], 1, 1 from t
+    union all select r.l_orderkey, i + 1, case when abs(mean - x[i + 1]) <= tol then (mean * n + x[i + 1]) / (n + 1) else x[i + 1] end, case when abs(mean - x[i + 1]) <= tol then n + 1 else 1 end, case when abs(mean - x[i + 1]) <= tol then c else c + 1 end
+    from r join t using (l_orderkey) where i < len(x))
+  select l_orderkey, max(c)::int as n_columns from r group by 1""")
 def srt2(spark, d):
     """Clusters of tile centres along one axis, tolerance the larger of 1 and a tenth of the range."""
     v = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list((F.col("l_partkey") % 40).cast("double")).alias("x"))

@@ -219,7 +219,9 @@ def str1(spark, d):
     return spark.read.parquet(_drain(activity.file_events(spark, f"{s.base}/in", "event_id bigint, event_type string"), s.base))
 
 
-@query("str2_stream_sessions")
+@query("str2_stream_sessions", """with x as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end as fresh from events),
+  y as (select *, sum(fresh) over (partition by user_id order by ts) as s from x), z as (select user_id, min(ts) as a, max(ts) + interval 6 hours as b, count(*) as n_events from y group by user_id, s)
+  select user_id, epoch_us(a) as first_us, epoch_us(b) as closes_us, n_events from z where b <= (select max(ts) - interval 1 hour from events)""")
 def str2s(spark, d):
     """The continuous form of the inactivity sessions; sessions still open at the end are not out yet."""
     from quadloom.streaming import activity
@@ -227,7 +229,8 @@ def str2s(spark, d):
     s = Scratch(spark, "str2")
     table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(f"{s.base}/in")
     e = activity.file_events(spark, f"{s.base}/in", "user_id bigint, ts timestamp", "parquet")
-    return spark.read.parquet(_drain(activity.inactivity_sessions(e, "user_id", "ts", "6 hours", "1 hour"), s.base))
+    out = spark.read.parquet(_drain(activity.inactivity_sessions(e, "user_id", "ts", "6 hours", "1 hour"), s.base))
+    return out.select("user_id", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("closes_at").alias("closes_us"), "n_events")
 
 
 @query("str3_stream_stop", "select user_id as key, count(*) as n, count(*) filter (rn = 5) as n_stops from (select *, row_number() over (partition by user_id order by event_id) as rn from events) where rn <= 5 group by 1")
