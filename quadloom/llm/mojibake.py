@@ -175,18 +175,17 @@ class Model:
         for k, c in enumerate(self.classes):
             if not isinstance(c, tuple):
                 continue
-            back = invert(word, c) if s[k] > s[0] + MARGIN else None
-            if back is None or back == word or "�" in back:
-                back = self._invert_parts(word, k, c)
-            if back is None or not _readable(back) or _folded(back) == _folded(word):
-                continue
+            whole = invert(word, c) if s[k] > s[0] + MARGIN else None
             utf8 = c[-1][1] == "utf-8"
-            if not utf8 and (_letters(back) < 3 or look_alike(word).isascii()):
-                continue
-            # several bytes that form valid UTF-8 rarely do so by chance
-            score = float(self.scores(back)[0] / len(bigrams(back)) + (0.5 if utf8 else 0.0))
-            if score > s[0] / n:
-                out.append((score, k, back, utf8 or 2 * sum(not ch.isascii() for ch in word) >= len(word)))
+            for back in [whole] if whole is not None and whole != word and "�" not in whole else self._invert_parts(word, k, c):
+                if not _readable(back) or _folded(back) == _folded(word):
+                    continue
+                if not utf8 and (_letters(back) < 3 or look_alike(word).isascii()):
+                    continue
+                # several bytes that form valid UTF-8 rarely do so by chance
+                score = float(self.scores(back)[0] / len(bigrams(back)) + (0.5 if utf8 else 0.0))
+                if score > s[0] / n:
+                    out.append((score, k, back, utf8 or 2 * sum(not ch.isascii() for ch in word) >= len(word)))
         return sorted(out, key=lambda x: (-x[0], x[1]))
 
     def lost(self, word: str) -> bool:
@@ -202,16 +201,30 @@ class Model:
                 return chain_name(self.classes[k]), back
         return (LOST, self._restore_lost(word)) if self.lost(word) else None
 
-    def _invert_parts(self, word: str, k: int, chain: tuple[tuple[str, str], ...]) -> str | None:
-        """The word with every span restored that inverts strictly, if those spans look like the chain's work."""
+    def _invert_parts(self, word: str, k: int, chain: tuple[tuple[str, str], ...]) -> list[str]:
+        """The word with spans restored that invert strictly, if those look like the chain's work.
+
+        Clean characters may invert by chance beside garbled ones: all spans, those that look like the
+        chain's work by themselves, and the one that does most are tried.
+        """
         spans = invertible_spans(word, chain) if len(chain) < 3 else []
-        back, at, gain = [], 0, 0.0
-        for i, j, text in spans:
+        if not spans:
+            return []
+        gains = []
+        for i, j, _ in spans:
             s = self.logp[:, bigrams(word[max(0, i - 1) : j + 1])[1:-1]]
-            gain += float((s[k] - s[0]).sum())
-            back += [word[at:i], text]
-            at = j
-        return "".join([*back, word[at:]]) if gain > MARGIN else None
+            gains.append(float((s[k] - s[0]).sum()))
+        picks = {tuple(range(len(spans))), tuple(n for n, g in enumerate(gains) if g > 0), (int(np.argmax(gains)),)}
+        out = []
+        for pick in sorted(picks, reverse=True):
+            if sum(gains[n] for n in pick) > MARGIN:
+                back, at = [], 0
+                for n in pick:
+                    i, j, text = spans[n]
+                    back += [word[at:i], text]
+                    at = j
+                out.append("".join([*back, word[at:]]))
+        return out
 
 
 def invertible_spans(word: str, chain: tuple[tuple[str, str], ...]) -> list[tuple[int, int, str]]:

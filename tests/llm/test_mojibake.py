@@ -56,6 +56,7 @@ def test_held_out_accuracy(halves):
 def test_parts_and_losses(halves):
     model, _ = halves
     assert model.judge("estaÃ§ão")[1] == "estação"
+    assert model.judge("â€œMANHÃ”")[1] == "“MANHÃ”"  # its clean end inverts by chance
     assert model.judge("informa����o") is not None and model.judge("operator?s")[0] == mj.LOST
     assert model.judge("revisó?") is None and model.judge("remains?") is None
 
