@@ -177,7 +177,8 @@ class Model:
                 continue
             whole = invert(word, c) if s[k] > s[0] + MARGIN else None
             utf8 = c[-1][1] == "utf-8"
-            for back in [whole] if whole is not None and whole != word and "�" not in whole else self._invert_parts(word, k, c):
+            backs = [whole] if whole is not None and whole != word and "�" not in whole else []
+            for back in dict.fromkeys([*backs, *self._invert_parts(word, k, c)]):
                 if not _readable(back) or _folded(back) == _folded(word):
                     continue
                 if not utf8 and (_letters(back) < 3 or look_alike(word).isascii()):
