@@ -21,53 +21,87 @@ def _cells(c: Column, eps: float) -> Column:
     return F.array_distinct(F.array(*[F.floor((c + d) / (GRID * eps)).cast("bigint") for d in (-eps, eps)]))
 
 
+def _meets(direction: str, eps: float) -> Column:
+    """Whether the border of ``a`` on that side agrees with the opposing border of ``b``."""
+    at, lo, hi = ("x", "y0", "y1") if direction in ("EAST", "WEST") else ("y", "x0", "x1")
+    own, other = (f"{at}1", f"{at}0") if direction in ("EAST", "NORTH") else (f"{at}0", f"{at}1")
+    near = lambda p, r: F.abs(F.col(f"a_{p}") - F.col(f"b_{r}")) <= eps
+    return near(own, other) & near(lo, lo) & near(hi, hi)
+
+
+def _borders(tiles: DataFrame, own: bool) -> DataFrame:
+    """A row for each border of each tile: the side on which its own, or an adjoining tile lies, and its start."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    start = {"EAST": (x1, y0), "WEST": (x0, y0), "NORTH": (y1, x0), "SOUTH": (y0, x0)}
+    row = lambda s: F.struct(F.lit(s).alias("side"), *[c.alias(n) for n, c in zip(("at", "lo"), start[s if own else OPPOSITE[s]])])
+    return tiles.select("*", F.explode(F.array(*[row(s) for s in SIDES])).alias("s")).select("*", "s.*").drop("s")
+
+
+def _meeting(tiles: DataFrame, others: DataFrame, eps: float) -> DataFrame:
+    """Every tile of ``tiles`` with every other one of ``others`` that adjoins it: ``frame_id, a, b, direction, d2``.
+
+    Borders meet where their end points do, so every border's start is put on a grid and joined by
+    equality with the start of the opposing border, one side also in the next cell where it is within
+    ``eps`` of it; the exact test follows.  A pair that meets on several sides has the first one in
+    precedence, which the rectangles tell, so pairs are not gathered again.  Further columns of
+    ``others`` are handed on.
+    """
+    rect = ("x0", "y0", "x1", "y1")
+    q = lambda c: F.floor(F.col(c) / (GRID * eps)).cast("bigint")
+    more = [c for c in others.columns if c not in ("frame_id", "seq", *rect)]
+    a = _borders(tiles.select("frame_id", "seq", *rect), True).select("frame_id", F.col("seq").alias("a"), "side", *[F.col(c).alias(f"a_{c}") for c in rect], "lo", F.explode(_cells(F.col("at"), eps)).alias("g_at"))
+    a = a.select("*", F.explode(_cells(F.col("lo"), eps)).alias("g_lo")).drop("lo")
+    o = _borders(others, False).select("frame_id", F.col("seq").alias("b"), "side", *[F.col(c).alias(f"b_{c}") for c in rect], *more, q("at").alias("g_at"), q("lo").alias("g_lo"))
+    first = F.lit(None).cast("string")
+    for s in reversed(SIDES):
+        first = F.when(_meets(s, eps), s).otherwise(first)
+    m = a.join(o, ["frame_id", "side", "g_at", "g_lo"]).filter((F.col("a") != F.col("b")) & (F.col("side") == first))
+    mid = lambda k, c: (F.col(f"{k}_{c}0") + F.col(f"{k}_{c}1")) / 2
+    d2 = (mid("a", "x") - mid("b", "x")) ** 2 + (mid("a", "y") - mid("b", "y")) ** 2
+    return m.select("frame_id", "a", "b", F.col("side").alias("direction"), d2.alias("d2"), *more)
+
+
+def _two_of_each(tiles: DataFrame) -> DataFrame:
+    """The first two tiles of every rectangle: enough to stand for all of them beside any one tile."""
+    rect = ["frame_id", "x0", "y0", "x1", "y1"]
+    w = Window.partitionBy(*rect).orderBy("seq")
+    return tiles.select("seq", *rect).filter("seq is not null").distinct().withColumn("_rn", F.row_number().over(w)).filter("_rn <= 2").drop("_rn")
+
+
 def neighbours(tiles: DataFrame, eps: float = 1e-4) -> DataFrame:
     """Tiles of one frame whose opposing borders agree within ``eps``: ``frame_id, a, b, direction, d2``.
 
-    ``tiles``: ``frame_id, seq, x0, y0, x1, y1``.  Borders meet where their end points do, so every
-    border's start is put on a grid and joined by equality with the start of the opposing border, one
-    side also in the next cell where it is within ``eps`` of it; the exact test follows.
+    ``tiles``: ``frame_id, seq, x0, y0, x1, y1``.  Only borders are shuffled; pairs go straight to the result.
     """
-    grid = GRID * eps
-    q = lambda c: F.floor(c / grid).cast("bigint")
-    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    # starts of the eastern/western and northern/southern borders
-    side = {"EAST": (x1, y0, y1), "WEST": (x0, y0, y1), "NORTH": (y1, x0, x1), "SOUTH": (y0, x0, x1)}
-    row = lambda s: F.struct(F.lit(s).alias("side"), *[c.alias(n) for n, c in zip(("at", "lo", "hi"), side[s])])
-    b = tiles.select("frame_id", "seq", ((x0 + x1) / 2).alias("cx"), ((y0 + y1) / 2).alias("cy"), F.explode(F.array(*[row(s) for s in SIDES])).alias("s")).select("frame_id", "seq", "cx", "cy", "s.*")
-    a = b.filter("side in ('EAST', 'NORTH')").select("frame_id", F.col("seq").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), "side", F.col("at").alias("a_at"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    a = a.select("*", F.explode(_cells(F.col("a_at"), eps)).alias("g_at")).select("*", F.explode(_cells(F.col("a_lo"), eps)).alias("g_lo"))
-    o = b.filter("side in ('WEST', 'SOUTH')").select("frame_id", F.col("seq").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.when(F.col("side") == "WEST", "EAST").otherwise("NORTH").alias("side"), "at", "lo", "hi", q(F.col("at")).alias("g_at"), q(F.col("lo")).alias("g_lo"))
-    near = lambda p, r: F.abs(F.col(p) - F.col(r)) <= eps
-    m = a.join(o, ["frame_id", "side", "g_at", "g_lo"]).filter((F.col("a") != F.col("b")) & near("a_at", "at") & near("a_lo", "lo") & near("a_hi", "hi"))
-    d2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
-    one = m.select("frame_id", "a", "b", F.col("side").alias("direction"), d2.alias("d2"))
-    back = one.select("frame_id", F.col("b").alias("a"), F.col("a").alias("b"), F.when(F.col("direction") == "EAST", "WEST").otherwise("SOUTH").alias("direction"), "d2")
-    # a pair that meets on several sides has the first one in precedence
-    rank = F.array_position(F.array(*[F.lit(s) for s in SIDES]), F.col("direction"))
-    return one.unionByName(back).groupBy("frame_id", "a", "b").agg(F.min_by("direction", rank).alias("direction"), F.min("d2").alias("d2"))
-
-
-def best_neighbours(pairs: DataFrame) -> DataFrame:
-    """Closest neighbour of each tile and direction; the first found wins ties."""
-    w = Window.partitionBy("frame_id", "a", "direction").orderBy("d2", "b")
-    return pairs.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
-def uncles(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    return _meeting(tiles, tiles.select("frame_id", "seq", "x0", "y0", "x1", "y1"), eps)
+
+
+def best_neighbours(tiles: DataFrame, eps: float = 1e-4, digits: int = 9) -> DataFrame:
+    """Closest neighbour of each tile and direction, by ``d2`` to so many digits; the first tile wins ties.
+
+    Tiles of equal rectangles are equally far, so the first two of each are asked for all.
+    """
+    m = _meeting(tiles, _two_of_each(tiles), eps).withColumn("d2", F.round("d2", digits))
+    return m.groupBy("frame_id", "a", "direction").agg(F.min(F.struct("d2", "b")).alias("m")).select("frame_id", "a", "direction", "m.b", "m.d2")
+
+
+def uncles(tiles: DataFrame, eps: float = 1e-4) -> DataFrame:
     """Uncles of tiles that lack a neighbour: adjoining tiles that show one half of a shared texture.
 
     ``tiles`` also holds ``u0, v0, u1, v1``.  Lower-left quarters and full textures are no uncles.
     """
-    pairs = Scratch(tiles.sparkSession, "uncles").save(pairs)  # read twice
-    n = pairs.groupBy("frame_id", "a").agg(F.countDistinct("direction").alias("n"))
-    lacking = tiles.select("frame_id", F.col("seq").alias("a")).join(n, ["frame_id", "a"], "left").filter("n is null or n < 4").select("frame_id", "a")
+    rect = ["frame_id", "seq", "x0", "y0", "x1", "y1"]
+    bit = F.coalesce(*[F.when(F.col("direction") == s, F.lit(1 << k)) for k, s in enumerate(SIDES)])
+    full = _meeting(tiles, _two_of_each(tiles), eps).groupBy("frame_id", "a").agg(F.bit_or(bit).alias("sides")).filter(F.col("sides") == (1 << len(SIDES)) - 1)
+    lacking = tiles.select(*rect).distinct().join(full.select("frame_id", F.col("a").alias("seq")), ["frame_id", "seq"], "left_anti")
     u0, v0, u1, v1 = (F.col(c) for c in ("u0", "v0", "u1", "v1"))
     cand = tiles.withColumn("uh", g.half(u0, u1)).withColumn("vh", g.half(v0, v1)).filter(
         "uh is not null and vh is not null and not (uh = 'LOW' and vh = 'LOW')"
-    ).filter(~g.is_full_texture(u0, v0, u1, v1)).select("frame_id", F.col("seq").alias("b"), "uh", "vh")
-    p = pairs.join(lacking, ["frame_id", "a"], "left_semi").join(cand, ["frame_id", "b"])
-    return p.select("frame_id", F.col("a").alias("tile"), F.col("b").alias("uncle"), g.uncle_direction(F.col("direction"), F.col("uh"), F.col("vh")).alias("direction")).filter("direction is not null").distinct()
+    ).filter(~g.is_full_texture(u0, v0, u1, v1)).select(*rect, "uh", "vh").distinct()
+    p = _meeting(lacking, cand, eps).select("frame_id", F.col("a").alias("tile"), F.col("b").alias("uncle"), g.uncle_direction(F.col("direction"), F.col("uh"), F.col("vh")).alias("direction")).filter("direction is not null")
+    # a pair comes once where a frame has a tile once
+    again = tiles.groupBy("frame_id", "seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    return p.distinct() if again else p
 
 
 def l_shaped_uncles(strips: DataFrame, borders: DataFrame) -> DataFrame:

@@ -313,8 +313,7 @@ def jn4(spark, d):
 
 @query("jn5_best_neighbour", f"with {_TILES} select frame_id, a, direction, b from bn")
 def jn5(spark, d):
-    n = spatial.neighbours(_rects(spark, d)).withColumn("d2", F.round("d2", 9))
-    return spatial.best_neighbours(n).select("frame_id", "a", "direction", "b")
+    return spatial.best_neighbours(_rects(spark, d)).select("frame_id", "a", "direction", "b")
 
 
 SQL["jn5_best_neighbour"] = f"with {_TILES} select frame_id, a, direction, b from (select *, row_number() over (partition by frame_id, a, direction order by round(d2, 9), b) as rn from nb) where rn = 1"
@@ -326,8 +325,7 @@ SQL["jn5_best_neighbour"] = f"with {_TILES} select frame_id, a, direction, b fro
     when 'NORTH' then case when uh = 'LOW' then 'SOUTH_WEST' else 'SOUTH_EAST' end else case when uh = 'LOW' then 'NORTH_WEST' else 'NORTH_EAST' end end as direction
   from nb n join h on h.frame_id = n.frame_id and h.seq = n.b where uh is not null and not (uh = 'LOW' and vh = 'LOW') and not exists (select 1 from full_ f where f.frame_id = n.frame_id and f.a = n.a)""")
 def jn6(spark, d):
-    r = _rects(spark, d)
-    return spatial.uncles(r, spatial.neighbours(r))
+    return spatial.uncles(_rects(spark, d))
 
 
 @query("jn7_l_shaped_uncles", """with s as (select distinct l_orderkey as uncle, case l_suppkey % 4 when 0 then 'WEST_SOUTH' when 1 then 'WEST_NORTH' when 2 then 'EAST_SOUTH' else 'EAST_NORTH' end as q from lineitem),

@@ -55,3 +55,44 @@ def test_nearest_vectors_in_blocks(spark):
         # the row without an id is no partner
         assert {(r.query_id, r.vec_id, r.rank) for r in matching.nearest_vectors(df, q, "id", "v", group=group).collect()} == brute
     assert matching.nearest_vectors(df, df.limit(0), "id", "v").count() == 0
+
+
+def _tiles(n, seed=3):
+    """Rectangles that often repeat, some thinner than the tolerance and so beside their own kind."""
+    rng = np.random.default_rng(seed)
+    for k in range(n):
+        x, y, w = (int(v) for v in rng.integers(0, 4, 3))
+        yield k % 3, k, x + w * 2e-5, float(y), x + (2e-5 if k % 11 == 0 else 1.0), y + 1.0, 0.0 if k % 2 else 0.5, 0.5, 0.5 if k % 2 else 1.0, 1.0
+
+
+def _meetings(tiles, eps=1e-4):
+    near = lambda *p: all(abs(a - b) <= eps for a, b in p)
+    for f, a, ax0, ay0, ax1, ay1, *_ in tiles:
+        for h, b, bx0, by0, bx1, by1, *_ in tiles:
+            if f == h and a != b:
+                ys, xs = near((ay0, by0), (ay1, by1)), near((ax0, bx0), (ax1, bx1))
+                for s, hit in (("EAST", ys and near((ax1, bx0))), ("WEST", ys and near((ax0, bx1))), ("NORTH", xs and near((ay1, by0))), ("SOUTH", xs and near((ay0, by1)))):
+                    if hit:
+                        yield f, a, b, s, ((ax0 + ax1 - bx0 - bx1) / 2) ** 2 + ((ay0 + ay1 - by0 - by1) / 2) ** 2
+                        break
+
+
+TILES = "frame_id int, seq bigint, x0 double, y0 double, x1 double, y1 double, u0 double, v0 double, u1 double, v1 double"
+
+
+def test_uncles_are_not_gathered_again(spark):
+    tiles = list(_tiles(150))
+    df = spark.createDataFrame(tiles, TILES)
+    pairs = list(_meetings(tiles))
+    sides: dict = {}
+    for f, a, _, s, _ in pairs:
+        sides.setdefault((f, a), set()).add(s)
+    half = {t[1]: (("LOW" if t[6] == 0 else "HIGH"), "HIGH") for t in tiles}
+    name = lambda s, u: {"EAST": "WEST_NORTH", "WEST": "EAST_NORTH"}.get(s) or f"{'SOUTH' if s == 'NORTH' else 'NORTH'}_{'WEST' if u == 'LOW' else 'EAST'}"
+    want = {(f, a, b, name(s, half[b][0])) for f, a, b, s, _ in pairs if len(sides[f, a]) < 4}
+    u = spatial.uncles(df)
+    assert u._jdf.queryExecution().optimizedPlan().toString().splitlines()[0].startswith("Project")
+    got = [tuple(r) for r in u.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # a tile that comes twice still gives its uncles once
+    assert sorted(map(str, spatial.uncles(df.unionByName(df)).collect())) == sorted(map(str, u.collect()))
