@@ -80,6 +80,17 @@ def _meetings(tiles, eps=1e-4):
 TILES = "frame_id int, seq bigint, x0 double, y0 double, x1 double, y1 double, u0 double, v0 double, u1 double, v1 double"
 
 
+def test_best_neighbours_ask_two_tiles_of_a_rectangle(spark):
+    tiles = list(_tiles(150))
+    df = spark.createDataFrame(tiles, TILES)
+    best: dict = {}
+    for f, a, b, s, d2 in _meetings(tiles):
+        best[f, a, s] = min(best.get((f, a, s), (9e9, 0)), (round(d2, 9), b))
+    got = {(r.frame_id, r.a, r.direction): (r.d2, r.b) for r in spatial.best_neighbours(df).collect()}
+    assert got == best
+    assert spatial._two_of_each(df).groupBy("frame_id", "x0", "y0", "x1", "y1").count().agg(F.max("count")).first()[0] == 2
+
+
 def test_uncles_are_not_gathered_again(spark):
     tiles = list(_tiles(150))
     df = spark.createDataFrame(tiles, TILES)
