@@ -80,6 +80,15 @@ def _meetings(tiles, eps=1e-4):
 TILES = "frame_id int, seq bigint, x0 double, y0 double, x1 double, y1 double, u0 double, v0 double, u1 double, v1 double"
 
 
+def test_neighbours_are_not_gathered_again(spark):
+    tiles = list(_tiles(150))
+    n = spatial.neighbours(spark.createDataFrame(tiles, TILES))
+    assert "Aggregate" not in n._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.frame_id, r.a, r.b, r.direction, round(r.d2, 9)) for r in n.collect()]
+    want = {(*m[:4], round(m[4], 9)) for m in _meetings(tiles)}
+    assert len(got) == len(want) and set(got) == want and {m[3] for m in want} == set(spatial.SIDES)
+
+
 def test_best_neighbours_ask_two_tiles_of_a_rectangle(spark):
     tiles = list(_tiles(150))
     df = spark.createDataFrame(tiles, TILES)
