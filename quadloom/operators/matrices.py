@@ -124,13 +124,15 @@ def shared_tiles(cells: DataFrame, holders_a_task: int = HOLDERS_A_TASK) -> Data
     """Every pair of matrices ``a < b`` that share a tile, with ``tile_id, di, dj``, for each shared tile.
 
     A tile with more than ``holders_a_task`` holders is dealt out over several join keys: each cell is
-    once on the side of a, under its own key, and on the side of b under every key of its tile.
+    once on the side of a, under its own key, and on the side of b under every key of its tile.  Where
+    cells are marked ``_big``, only pairs of which one matrix at least is.
     """
     n = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("tile_id")) / holders_a_task).cast("int")
-    c = cells.filter("tile_id is not null").select("matrix_id", "tile_id", "i", "j", n.alias("_n"))
-    a = c.select(F.col("matrix_id").alias("a"), "tile_id", F.col("i").alias("ai"), F.col("j").alias("aj"), F.pmod(F.xxhash64("matrix_id"), F.col("_n")).cast("int").alias("_k"))
-    b = c.select(F.col("matrix_id").alias("b"), "tile_id", F.col("i").alias("bi"), F.col("j").alias("bj"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
-    return a.join(b, ["tile_id", "_k"]).filter("a < b").select("a", "b", "tile_id", (F.col("ai") - F.col("bi")).alias("di"), (F.col("aj") - F.col("bj")).alias("dj"))
+    big = ["_big"] if "_big" in cells.columns else []
+    c = cells.filter("tile_id is not null").select("matrix_id", "tile_id", "i", "j", *big, n.alias("_n"))
+    a = c.select(F.col("matrix_id").alias("a"), "tile_id", F.col("i").alias("ai"), F.col("j").alias("aj"), *[F.col(x).alias("_a") for x in big], F.pmod(F.xxhash64("matrix_id"), F.col("_n")).cast("int").alias("_k"))
+    b = c.select(F.col("matrix_id").alias("b"), "tile_id", F.col("i").alias("bi"), F.col("j").alias("bj"), *[F.col(x).alias("_b") for x in big], F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
+    return a.join(b, ["tile_id", "_k"]).filter("a < b and (_a or _b)" if big else "a < b").select("a", "b", "tile_id", (F.col("ai") - F.col("bi")).alias("di"), (F.col("aj") - F.col("bj")).alias("dj"))
 
 
 def unanimous(shared: DataFrame) -> DataFrame:

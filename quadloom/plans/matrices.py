@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quadloom.functions.ids import five_digit, id_frame
 from quadloom.functions.quadkey import is_valid
 from quadloom.model import CELLS_SQL, UNCLES_SQL, cells, uncle_edges
-from quadloom.operators import hierarchy, matrices as mx
+from quadloom.operators import hierarchy, matrices as mx, pairs
 from quadloom.operators.graph import inconsistent_links, placed_components
 from quadloom.runtime import table, two_level_rank
 
@@ -102,8 +102,7 @@ def mtx6(spark, d):
 
 @query("set2_union_cells", f"with {_MERGED} select a, b, tile_id, i, j from merged")
 def set2(spark, d):
-    c, u = _pairs(spark, d)
-    return mx.merge_pairs(u, c)
+    return pairs.merged_cells(cells(spark, d))
 
 
 @query("mtx7_merge_sweep")

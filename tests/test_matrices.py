@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadloom.model import CELLS_SQL
-from quadloom.operators import graph, matrices as mx
+from quadloom.operators import graph, matrices as mx, pairs
 from quadloom.plans import registry
 from tests.test_queries import canon, duck  # noqa: F401
 
@@ -115,3 +115,24 @@ def test_sweeps_to_the_end():
     assert mx.full_merge([]) == [] and mx.grouping_fixpoint([], {1}) == []
     clash = [(2, 0, 0), (7, 0, -1)]  # 7 would lie on 1
     assert mx.merged(dict((t, (i, j)) for t, i, j in a), dict((t, (i, j)) for t, i, j in clash)) is None
+
+
+@pytest.mark.parametrize("holders, whole", [(2000, 32), (3, 32), (3, 4), (2000, 0)])
+def test_pairs_are_compared_at_their_first_shared_tile(spark, holders, whole):
+    rng = np.random.default_rng(6)
+    rows = {(m, t): (i, int(rng.integers(-2, 3))) for m in range(40) for i, t in enumerate(rng.choice(12, rng.integers(1, 8), replace=False).tolist())}
+    rows |= {(m, 50 + k): (k // 3, k % 3) for m in (69, 70, 71) for k in range(6) if (m, k) != (71, 4)}
+    df = spark.createDataFrame([(m, t, i, j) for (m, t), (i, j) in rows.items()], "matrix_id bigint, tile_id bigint, i int, j int")
+    u = mx.unanimous(mx.shared_tiles(df))
+    for new, old in ((pairs.conflicts, mx.conflicts), (pairs.merged_sizes, mx.merged_sizes), (pairs.merged_cells, mx.merge_pairs)):
+        got = new(df, holders, whole)
+        assert dict(got.dtypes) == dict(old(u, df).dtypes)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, old(u, df).select(got.columns).collect()))
+    want = mx.conflicts(u, df).filter("n_conflicts = 0").groupBy("b").count().collect()
+    assert sorted(map(tuple, pairs.gone(df, holders, whole).collect())) == sorted(map(tuple, want)) and len(want)
+
+
+@pytest.mark.parametrize("name", ["set2_union_cells"])
+def test_pairs_are_not_shuffled(spark, sf, name):
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
