@@ -418,9 +418,9 @@ def evt6(spark, d):
 @query("evt8_retry_order", f"with {_SHARED}, c as (select distinct matrix_id from cells), f as (select matrix_id, matrix_id not in (select b from good) as failed from c) select matrix_id, failed, rank() over (partition by failed order by matrix_id)::bigint as place from f")
 def evt8(spark, d):
     """Order of the next sweep: merged matrices keep their order, failed ones come after them."""
-    c, u = _pairs(spark, d)
-    k = mx.conflicts(u, c)
-    c = c.select("matrix_id").distinct().join(k.filter("n_conflicts = 0").select(F.col("b").alias("matrix_id"), F.lit(True).alias("ok")).distinct(), "matrix_id", "left").select("matrix_id", F.col("ok").isNull().alias("failed"))
+    c = cells(spark, d)
+    ok = pairs.gone(c).select(F.col("b").alias("matrix_id"), F.lit(True).alias("ok"))
+    c = c.select("matrix_id").distinct().join(ok, "matrix_id", "left").select("matrix_id", F.col("ok").isNull().alias("failed"))
     return two_level_rank(c, ["failed"], "matrix_id", "place")
 
 
