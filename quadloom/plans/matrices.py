@@ -75,8 +75,7 @@ def _pairs(spark, d):
 
 @query("jn11_conflicts", f"with {_SHARED} select * from cf")
 def jn11(spark, d):
-    c, u = _pairs(spark, d)
-    return mx.conflicts(u, c)
+    return pairs.conflicts(cells(spark, d))
 
 
 _MERGED = f"""{_SHARED}, mu as (select g.a, g.b, c.tile_id, c.i, c.j from good g join cells c on c.matrix_id = g.a union select g.a, g.b, c.tile_id, c.i + g.di, c.j + g.dj from good g join cells c on c.matrix_id = g.b),
