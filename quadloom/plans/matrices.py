@@ -144,8 +144,7 @@ def mtx8(spark, d):
 
 @query("mtx9_full_merge", f"with {_SHARED} select count(*) as n_merges, count(distinct b) as n_gone from good")
 def mtx9(spark, d):
-    c, u = _pairs(spark, d)
-    return mx.conflicts(u, c).filter("n_conflicts = 0").agg(F.count(F.lit(1)).alias("n_merges"), F.countDistinct("b").alias("n_gone"))
+    return pairs.gone(cells(spark, d)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_merges"), F.count(F.lit(1)).alias("n_gone"))
 
 
 _CUT = f"""{CELLS_SQL}, cutters as (select distinct tile_id from cells where tile_id % 97 = 0), marked as (select distinct matrix_id, j from cells where tile_id in (select tile_id from cutters)),
