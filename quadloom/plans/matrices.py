@@ -67,12 +67,6 @@ def agg13(spark, d):
     return mx.unanimous(mx.shared_tiles(cells(spark, d)))
 
 
-def _pairs(spark, d):
-    c = cells(spark, d)
-    u = mx.unanimous(mx.shared_tiles(c))
-    return c, u
-
-
 @query("jn11_conflicts", f"with {_SHARED} select * from cf")
 def jn11(spark, d):
     return pairs.conflicts(cells(spark, d))
@@ -84,8 +78,7 @@ merged as (select a, b, tile_id, i - min(i) over (partition by a, b) as i, j - m
 
 @query("mtx4_pair_merge", f"with {_MERGED} select a, b, count(*) as n_cells, max(i)::int + 1 as n_rows, max(j)::int + 1 as n_cols from merged group by a, b")
 def mtx4(spark, d):
-    c, u = _pairs(spark, d)
-    return mx.merged_sizes(u, c)
+    return pairs.merged_sizes(cells(spark, d))
 
 
 @query("mtx5_normalize", f"with {CELLS_SQL} select matrix_id, tile_id, i - min(i) over (partition by matrix_id) as i, j - min(j) over (partition by matrix_id) as j from cells")

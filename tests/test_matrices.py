@@ -132,7 +132,7 @@ def test_pairs_are_compared_at_their_first_shared_tile(spark, holders, whole):
     assert sorted(map(tuple, pairs.gone(df, holders, whole).collect())) == sorted(map(tuple, want)) and len(want)
 
 
-@pytest.mark.parametrize("name", ["set2_union_cells", "jn11_conflicts"])
+@pytest.mark.parametrize("name", ["set2_union_cells", "jn11_conflicts", "mtx4_pair_merge"])
 def test_pairs_are_not_shuffled(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
