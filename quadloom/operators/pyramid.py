@@ -67,9 +67,17 @@ def classify(compared: DataFrame, error: Column) -> DataFrame:
     return compared.withColumn("kind", kind)
 
 
-def resolution_score(pixels: Column, n_bytes: Column) -> Column:
-    """More pixels win; among equal pixels more bytes, capped below one pixel's worth."""
-    return pixels * 1_000_000_000 + F.least(n_bytes, F.lit(999_999_999))
+MOST_PIXELS = ((1 << 63) - 1) // 1_000_000_000 - 1  # a score of more is no bigint
+
+
+def resolution_score(pixels: Column, n_bytes: Column, wide: bool = False) -> Column:
+    """More pixels win; among equal pixels more bytes, capped below one pixel's worth.
+
+    A bigint up to ``MOST_PIXELS``; ``wide`` scores are decimal(38,0) and hold any bigint of pixels.
+    """
+    p, b = (pixels.cast("decimal(19,0)"), F.least(n_bytes, F.lit(999_999_999)).cast("decimal(19,0)")) if wide else (pixels, F.least(n_bytes, F.lit(999_999_999)))
+    score = p * (F.lit(1_000_000_000).cast("decimal(10,0)") if wide else 1_000_000_000) + b
+    return score.cast("decimal(38,0)") if wide else score
 
 
 def upsert(classified: DataFrame, dest: DataFrame, replace: Column) -> DataFrame:

@@ -201,9 +201,11 @@ def mrg3(spark, d):
 
 @query("mrg4_resolution", "select c_custkey, c_custkey * c_custkey * 1000000000 + least(c_nationkey * 100000000::bigint, 999999999) as score, (c_custkey + c_nationkey % 3 > c_custkey + 1) as replaces from customer")
 def mrg4(spark, d):
+    """Scores are bigints where all of them fit, else decimal(38,0)."""
     c = table(spark, d, "customer")
     pixels, size = F.col("c_custkey") * F.col("c_custkey"), F.col("c_nationkey") * F.lit(100_000_000).cast("bigint")
-    return c.select("c_custkey", py.resolution_score(pixels, size).alias("score"), (py.resolution_score(F.col("c_nationkey") % 3, F.lit(0)) > py.resolution_score(F.lit(1).cast("bigint"), F.lit(0))).alias("replaces"))
+    wide = bool(c.agg(F.max(pixels) > py.MOST_PIXELS).first()[0])  # whole numbers in either case
+    return c.select("c_custkey", py.resolution_score(pixels, size, wide).alias("score"), (py.resolution_score(F.col("c_nationkey") % 3, F.lit(0)) > py.resolution_score(F.lit(1).cast("bigint"), F.lit(0))).alias("replaces"))
 
 
 @query("mrg5_gate", f"with recursive {_CLS} select count(*) filter (kind = 'conflict') = 0 as may_merge from cls")

@@ -116,3 +116,12 @@ def test_uncles_are_not_gathered_again(spark):
     assert len(got) == len(want) and set(got) == want
     # a tile that comes twice still gives its uncles once
     assert sorted(map(str, spatial.uncles(df.unionByName(df)).collect())) == sorted(map(str, u.collect()))
+
+
+def test_scores_beyond_a_bigint(spark, tmp_path):
+    from quadloom.plans import registry
+
+    keys = [1, 96_037, 96_038, 900_000, 3_000_000_000]
+    spark.createDataFrame([(k, 24) for k in keys], "c_custkey bigint, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.queries()["mrg4_resolution"](spark, str(tmp_path))
+    assert {r.c_custkey: int(r.score) for r in got.collect()} == {k: k * k * 10**9 + 999_999_999 for k in keys} and dict(got.dtypes)["score"] == "decimal(38,0)"
