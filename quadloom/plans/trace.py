@@ -222,8 +222,9 @@ def snk8(spark, d):
     """A file of lines for each frame, written and read back; files count from 1, the closing call is the last line."""
     line = F.concat("name", F.lit("("), "args", F.lit(")"))
     s = Scratch(spark, "snk8")
-    traces.write_frame_files(_framed(spark, d).select((F.col("frame_id") + 1).alias("frame_id"), F.col("call_no").alias("order"), line.alias("line")), s.base).write.format("noop").mode("overwrite").save()
-    back = frames.read_frame_lines(spark, s.base)
+    home = f"{s.home}/frames"
+    written = s.save(traces.write_frame_files(_framed(spark, d).select((F.col("frame_id") + 1).alias("frame_id"), F.col("call_no").alias("order"), line.alias("line")), home))
+    back = frames.read_written_lines(written, home)
     return back.groupBy(F.col("frame_id").cast("bigint").alias("file_no")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line").cast("bigint") + 1).alias("n_chars"))
 
 

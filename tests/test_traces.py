@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quadloom.runtime import Scratch, read_files
 from quadloom.sources import blobs, frames, traces
 
 CALLS = [(k % 3, f"gl{'ABC'[k % 3]}", {"x": k, "s": "t" * (k % 40), "b": bytes([k % 256]) * (k % 5), "l": [1.5, None, k]}, k) for k in range(1000)]
@@ -67,3 +68,21 @@ def test_containers(spark):
             assert blobs.plain_bytes(packed) == data and (not data or blobs.container_of(packed) == kind)
     df = spark.createDataFrame([(blobs.packed_bytes(b"hello", k),) for k in ("gzip", "snappy")] + [(b"x",), (None,)], "b binary")
     assert [r.k for r in df.select(blobs.container_kind(F.col("b")).alias("k")).collect()] == ["gzip", "snappy", "plain", None]
+
+
+def test_written_files_are_read_without_a_listing(spark, tmp_path):
+    uri = f"file://{tmp_path}/f"
+    lines = spark.createDataFrame([(k % 7, k, f"l\u00e9{k}" if k % 5 else "") for k in range(40)] + [(9, 1, None)], "frame_id bigint, order bigint, line string")
+    written = Scratch(spark, "t").save(traces.write_frame_files(lines, uri))
+    got = frames.read_written_lines(written, uri)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, frames.read_frame_lines(spark, uri).collect())) and got.count() == 41
+    from quadloom.plans import registry
+
+    plan = registry.queries()["snk8_frame_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.rstrip().endswith(" text") and "MapInArrow" in plan
+
+
+def test_files_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"1")
+    df = spark.createDataFrame([(1, f"{tmp_path}/a"), (2, f"{tmp_path}/none"), (3, None)], "k int, file string")
+    assert {r.k: r.content for r in read_files(df, "file", f"file://{tmp_path}").collect()} == {1: b"1", 2: None, 3: None}
