@@ -82,6 +82,14 @@ def test_written_files_are_read_without_a_listing(spark, tmp_path):
     assert not plan.rstrip().endswith(" text") and "MapInArrow" in plan
 
 
+@pytest.mark.parametrize("name", ["snk13_blob_export"])
+def test_exports_are_read_by_their_names(spark, name):
+    from quadloom.plans import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and "json\n" not in plan and "MapInArrow" in plan
+
+
 def test_files_are_read_by_name(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"1")
     df = spark.createDataFrame([(1, f"{tmp_path}/a"), (2, f"{tmp_path}/none"), (3, None)], "k int, file string")
