@@ -82,7 +82,7 @@ def test_written_files_are_read_without_a_listing(spark, tmp_path):
     assert not plan.rstrip().endswith(" text") and "MapInArrow" in plan
 
 
-@pytest.mark.parametrize("name", ["snk13_blob_export"])
+@pytest.mark.parametrize("name", ["snk5_layer_export", "snk13_blob_export"])
 def test_exports_are_read_by_their_names(spark, name):
     from quadloom.plans import registry
 
