@@ -10,15 +10,19 @@ from quadloom.runtime import Scratch, range_blocks
 
 # fixed values: precedence of directions when borders of several sides meet
 SIDES = ("EAST", "WEST", "NORTH", "SOUTH")
-OPPOSITE = {"EAST": "WEST", "WEST": "EAST", "NORTH": "SOUTH", "SOUTH": "NORTH"}
 
 
 GRID = 16  # cells are so many tolerances wide: one point in eight reaches into the next cell of an axis
 
 
+def _cell(c: Column, eps: float) -> Column:
+    """The grid cell of a coordinate. Round numbers lie in the middle of cells, so few of them are near an edge."""
+    return F.floor(c / (GRID * eps) + 0.5).cast("bigint")
+
+
 def _cells(c: Column, eps: float) -> Column:
-    """Grid cells that hold anything within ``eps`` of a coordinate: one, or two near an edge."""
-    return F.array_distinct(F.array(*[F.floor((c + d) / (GRID * eps)).cast("bigint") for d in (-eps, eps)]))
+    """Grid cells that hold anything within ``eps`` of a coordinate (and a little, for rounding): one, or two near an edge."""
+    return F.array_distinct(F.array(*[_cell(c + d, eps) for d in (-1.01 * eps, 1.01 * eps)]))
 
 
 def _meets(direction: str, eps: float) -> Column:
@@ -29,36 +33,44 @@ def _meets(direction: str, eps: float) -> Column:
     return near(own, other) & near(lo, lo) & near(hi, hi)
 
 
-def _borders(tiles: DataFrame, own: bool) -> DataFrame:
-    """A row for each border of each tile: the side on which its own, or an adjoining tile lies, and its start."""
-    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    start = {"EAST": (x1, y0), "WEST": (x0, y0), "NORTH": (y1, x0), "SOUTH": (y0, x0)}
-    row = lambda s: F.struct(F.lit(s).alias("side"), *[c.alias(n) for n, c in zip(("at", "lo"), start[s if own else OPPOSITE[s]])])
-    return tiles.select("*", F.explode(F.array(*[row(s) for s in SIDES])).alias("s")).select("*", "s.*").drop("s")
+# fixed values: the corner where a tile starts, and those where the next tile to the east and to the north does
+START, EASTERN, NORTHERN = 0, 1, 2
+MEETING = {"EAST": (EASTERN, START), "WEST": (START, EASTERN), "NORTH": (NORTHERN, START), "SOUTH": (START, NORTHERN)}
+
+
+def _corners(tiles: DataFrame, eps: float) -> DataFrame:
+    """A row for each of three corners of each tile and its cell; the start is in every cell near it."""
+    at, near = lambda c: F.array(_cell(F.col(c), eps)), lambda c: _cells(F.col(c), eps)
+    row = lambda k, x, y: F.struct(F.lit(k).cast("byte").alias("corner"), x.alias("xs"), y.alias("ys"))
+    rows = F.array(row(START, near("x0"), near("y0")), row(EASTERN, at("x1"), at("y0")), row(NORTHERN, at("x0"), at("y1")))
+    c = tiles.select("*", F.explode(rows).alias("c")).select(*tiles.columns, "c.*")
+    return c.select("*", F.explode("xs").alias("g_x")).select("*", F.explode("ys").alias("g_y")).drop("xs", "ys")
 
 
 def _meeting(tiles: DataFrame, others: DataFrame, eps: float) -> DataFrame:
     """Every tile of ``tiles`` with every other one of ``others`` that adjoins it: ``frame_id, a, b, direction, d2``.
 
-    Borders meet where their end points do, so every border's start is put on a grid and joined by
-    equality with the start of the opposing border, one side also in the next cell where it is within
-    ``eps`` of it; the exact test follows.  A pair that meets on several sides has the first one in
+    Borders meet where one tile starts at the other's eastern or northern corner, so three corners of
+    every tile are put on a grid and joined by equality, starts also in the next cell where they are
+    within ``eps`` of it; the exact test follows.  Both sides are made alike, so tiles joined with
+    themselves are shuffled once.  A pair that meets on several sides has the first one in
     precedence, which the rectangles tell, so pairs are not gathered again.  Further columns of
     ``others`` are handed on.
     """
     rect = ("x0", "y0", "x1", "y1")
-    q = lambda c: F.floor(F.col(c) / (GRID * eps)).cast("bigint")
     more = [c for c in others.columns if c not in ("frame_id", "seq", *rect)]
-    a = _borders(tiles.select("frame_id", "seq", *rect), True).select("frame_id", F.col("seq").alias("a"), "side", *[F.col(c).alias(f"a_{c}") for c in rect], "lo", F.explode(_cells(F.col("at"), eps)).alias("g_at"))
-    a = a.select("*", F.explode(_cells(F.col("lo"), eps)).alias("g_lo")).drop("lo")
-    o = _borders(others, False).select("frame_id", F.col("seq").alias("b"), "side", *[F.col(c).alias(f"b_{c}") for c in rect], *more, q("at").alias("g_at"), q("lo").alias("g_lo"))
-    first = F.lit(None).cast("string")
+    named = lambda d, k, *cs: _corners(d.select("frame_id", "seq", *rect, *cs), eps).select("frame_id", F.col("seq").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in (*rect, "corner")], *cs, "g_x", "g_y")
+    met = F.lit(None).cast("int")
     for s in reversed(SIDES):
-        first = F.when(_meets(s, eps), s).otherwise(first)
-    m = a.join(o, ["frame_id", "side", "g_at", "g_lo"]).filter((F.col("a") != F.col("b")) & (F.col("side") == first))
+        met = F.when(_meets(s, eps), 3 * MEETING[s][0] + MEETING[s][1]).otherwise(met)
+    one_starts = (F.col("a_corner") == START) != (F.col("b_corner") == START)
+    m = named(tiles, "a").join(named(others, "b", *more), ["frame_id", "g_x", "g_y"]).filter(one_starts & (F.col("a") != F.col("b")) & (F.col("a_corner") * 3 + F.col("b_corner") == met))
+    side = F.lit(None).cast("string")
+    for s, (k, o) in MEETING.items():
+        side = F.when((F.col("a_corner") == k) & (F.col("b_corner") == o), s).otherwise(side)
     mid = lambda k, c: (F.col(f"{k}_{c}0") + F.col(f"{k}_{c}1")) / 2
     d2 = (mid("a", "x") - mid("b", "x")) ** 2 + (mid("a", "y") - mid("b", "y")) ** 2
-    return m.select("frame_id", "a", "b", F.col("side").alias("direction"), d2.alias("d2"), *more)
+    return m.select("frame_id", "a", "b", side.alias("direction"), d2.alias("d2"), *more)
 
 
 def _two_of_each(tiles: DataFrame) -> DataFrame:
@@ -71,7 +83,7 @@ def _two_of_each(tiles: DataFrame) -> DataFrame:
 def neighbours(tiles: DataFrame, eps: float = 1e-4) -> DataFrame:
     """Tiles of one frame whose opposing borders agree within ``eps``: ``frame_id, a, b, direction, d2``.
 
-    ``tiles``: ``frame_id, seq, x0, y0, x1, y1``.  Only borders are shuffled; pairs go straight to the result.
+    ``tiles``: ``frame_id, seq, x0, y0, x1, y1``.  Only corners are shuffled, once; pairs go straight to the result.
     """
     return _meeting(tiles, tiles.select("frame_id", "seq", "x0", "y0", "x1", "y1"), eps)
 
@@ -129,9 +141,8 @@ def fuzzy_identity(strips: DataFrame, catalog: DataFrame, eps: float = 1e-4) ->
 
     Both carry ``x, y``; equality on a grid, strips also in the next cell near an edge, then the test.
     """
-    q = lambda c: F.floor(c / (GRID * eps)).cast("bigint")
     s = strips.select("strip_id", "x", "y", F.explode(_cells(F.col("x"), eps)).alias("gx")).select("*", F.explode(_cells(F.col("y"), eps)).alias("gy"))
-    c = catalog.select("entry_id", F.col("x").alias("cx"), F.col("y").alias("cy"), q(F.col("x")).alias("gx"), q(F.col("y")).alias("gy"))
+    c = catalog.select("entry_id", F.col("x").alias("cx"), F.col("y").alias("cy"), _cell(F.col("x"), eps).alias("gx"), _cell(F.col("y"), eps).alias("gy"))
     m = s.join(c, ["gx", "gy"]).filter((F.abs(F.col("x") - F.col("cx")) <= eps) & (F.abs(F.col("y") - F.col("cy")) <= eps))
     return m.groupBy("strip_id").agg(F.min("entry_id").alias("entry_id"))
 

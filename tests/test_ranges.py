@@ -89,6 +89,38 @@ def test_neighbours_are_not_gathered_again(spark):
     assert len(got) == len(want) and set(got) == want and {m[3] for m in want} == set(spatial.SIDES)
 
 
+def _shuffled(spark, df):
+    """Rows that each exchange of a plan wrote."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(was, ("false", "-1")):
+            spark.conf.set(k, v)
+        q = df.select("*")._jdf.queryExecution()
+        q.toRdd().count()
+        found, left = [], [q.executedPlan()]
+        while left:
+            node = left.pop()
+            if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+                found.append(node.metrics().apply("shuffleRecordsWritten").value())
+            left += [node.children().apply(i) for i in range(node.children().size())]
+        return found
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_neighbours_shuffle_three_corners_of_a_tile_once(spark):
+    n, eps = 300, 1e-4
+    df = spark.createDataFrame([(k % 2, k, float(k % 7), float(k % 6), k % 7 + 1.0, k % 6 + 1.0) for k in range(n)], "frame_id int, seq bigint, x0 double, y0 double, x1 double, y1 double")
+    assert _shuffled(spark, spatial.neighbours(df, eps)) == [3 * n]
+    # on the edges of cells, and a little to either side of them
+    half = spatial.GRID * eps / 2
+    edged = [(f, a, x0 + half - 3e-5, y0 - half + 3e-5, x1 + half - 3e-5, y1 - half + 3e-5, *uv) for f, a, x0, y0, x1, y1, *uv in _tiles(90)]
+    got = [(r.frame_id, r.a, r.b, r.direction) for r in spatial.neighbours(spark.createDataFrame(edged, TILES), eps).collect()]
+    want = {m[:4] for m in _meetings(edged)}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_best_neighbours_ask_two_tiles_of_a_rectangle(spark):
     tiles = list(_tiles(150))
     df = spark.createDataFrame(tiles, TILES)
