@@ -77,7 +77,8 @@ def _two_of_each(tiles: DataFrame) -> DataFrame:
     """The first two tiles of every rectangle: enough to stand for all of them beside any one tile."""
     rect = ["frame_id", "x0", "y0", "x1", "y1"]
     w = Window.partitionBy(*rect).orderBy("seq")
-    return tiles.select("seq", *rect).filter("seq is not null").distinct().withColumn("_rn", F.row_number().over(w)).filter("_rn <= 2").drop("_rn")
+    # ranked first, so that a task sends a few tiles of a rectangle and not all of them
+    return tiles.select("seq", *rect).filter("seq is not null").withColumn("_rank", F.dense_rank().over(w)).filter("_rank <= 2").drop("_rank").distinct()
 
 
 def neighbours(tiles: DataFrame, eps: float = 1e-4) -> DataFrame:

@@ -132,6 +132,19 @@ def test_best_neighbours_ask_two_tiles_of_a_rectangle(spark):
     assert spatial._two_of_each(df).groupBy("frame_id", "x0", "y0", "x1", "y1").count().agg(F.max("count")).first()[0] == 2
 
 
+def test_best_neighbours_shuffle_few_rows(spark):
+    n, rects, tasks = 300, 4, 4
+    tiles = [(0, k, k % 2 + 0.0, k // 2 % 2 + 0.0, k % 2 + 1.0, k // 2 % 2 + 1.0) for k in range(n)]
+    df = spark.createDataFrame(tiles, "frame_id int, seq bigint, x0 double, y0 double, x1 double, y1 double").repartition(tasks).localCheckpoint()
+    # three corners of a tile, and its best neighbours on at most two sides here; of a rectangle's tiles at most three a task, then two
+    assert max(_shuffled(spark, spatial.best_neighbours(df))) == 3 * n
+    assert sum(_shuffled(spark, spatial._two_of_each(df))) <= 3 * rects * tasks + 2 * rects
+    # a tile that comes several times is one of the two only once
+    twice = df.unionByName(df).unionByName(df)
+    assert {(r.x0, r.y0, r.seq) for r in spatial._two_of_each(twice).collect()} == {(t[2], t[3], t[1]) for t in tiles[:8]}
+    assert rows(spatial.best_neighbours(twice)) == rows(spatial.best_neighbours(df))
+
+
 def test_uncles_are_not_gathered_again(spark):
     tiles = list(_tiles(150))
     df = spark.createDataFrame(tiles, TILES)
