@@ -1,13 +1,17 @@
 """Traces in parts, containers of every kind, and exports."""
 
+import io
 import json
+import random
+import tarfile
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quadloom.runtime import Scratch, read_files
-from quadloom.sources import blobs, frames, traces
+from quadloom.runtime import Scratch, checkpoint_dir, read_files
+from quadloom.sources import archives, blobs, frames, traces
 
 CALLS = [(k % 3, f"gl{'ABC'[k % 3]}", {"x": k, "s": "t" * (k % 40), "b": bytes([k % 256]) * (k % 5), "l": [1.5, None, k]}, k) for k in range(1000)]
 DATA = traces.write_trace(CALLS)
@@ -94,3 +98,51 @@ def test_files_are_read_by_name(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"1")
     df = spark.createDataFrame([(1, f"{tmp_path}/a"), (2, f"{tmp_path}/none"), (3, None)], "k int, file string")
     assert {r.k: r.content for r in read_files(df, "file", f"file://{tmp_path}").collect()} == {1: b"1", 2: None, 3: None}
+
+
+def test_tar_entries():
+    files = [("a/b.png", b"x"), ("a/empty", b""), ("\u00e9/" + "n" * 98, b"y" * 512), ("d/" + "\u00e9" * 120, b"z" * 513), ("c", b"\0" * 700)]
+    data = b"".join(archives.tar_entry(*f) for f in files) + bytes(1024)
+    assert list(archives.tar_files(io.BytesIO(data))) == files
+    with tarfile.open(fileobj=io.BytesIO(data)) as t:
+        assert [(m.name, t.extractfile(m).read()) for m in t] == files
+    for n in (len(data) - 1024, 700, 100):
+        with pytest.raises(ValueError):
+            list(archives.tar_files(io.BytesIO(data[:n])))
+
+
+def test_packed_layers_are_the_folders(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(m, t, k // 4, k % 4, f"/a/{t}_x.png" if t % 3 == 0 else None, f"r/{t}.png" if t % 2 == 0 else None, bytes([t % 256]) * r.choice([0, 3, 600, 4000]) if t % 5 else None) for m in [*range(-3, 40), 9_000_000_000] for k, t in enumerate(r.sample(range(-50, 1000), 1 + m % 9))]
+    rows.append((None, 1, 0, 0, None, None, b"n"))
+    r.shuffle(rows)
+    layers = spark.createDataFrame(rows, "matrix_id bigint, tile_id bigint, i int, j int, absolute string, relative string, content binary")
+    n = frames.export_layers(layers, f"{tmp_path}/f").agg(F.count("matrix_id"), F.sum("n_tiles"), F.sum("n_textures")).first()
+    for _ in range(2):  # the folder is cleared first
+        (tmp_path / "p").mkdir(exist_ok=True)
+        (tmp_path / "p" / "old").write_text("x")
+        made = frames.pack_layers(layers, f"file://{tmp_path}/p", 1).collect()
+        assert sorted(str(p) for p in (tmp_path / "p").iterdir()) == sorted(m.file for m in made)
+    assert [sum(m[k] for m in made) for k in ("n_layers", "n_tiles", "n_textures")] == list(n) and len(made) <= 44
+    whole = frames.pack_layers(layers, f"{tmp_path}/w").collect()
+    assert len(whole) <= 4 and sum(m.n_layers for m in whole) == 44
+    for at, files in (("p", made), ("w", whole)):
+        for m in files:
+            with tarfile.open(fileobj=io.BytesIO(blobs.plain_bytes(Path(m.file).read_bytes()))) as t:
+                t.extractall(tmp_path / f"{at}-out", filter="data")
+        tree = [{str(p.relative_to(tmp_path / x)): p.read_bytes() for p in (tmp_path / x).rglob("*") if p.is_file()} for x in ("f", f"{at}-out")]
+        assert tree[0] == tree[1] and len(tree[0]) == n[0] + n[2]
+        got = frames.read_packed_layers(spark, [m.file for m in files], f"{tmp_path}/{at}").collect()
+        want = [(m, str(t), i, j, (a or b or f"256x256_{t}.png").split("/")[-1], c) for m, t, i, j, a, b, c in rows if m is not None]
+        assert sorted((*x[:5], x[5] and bytes(x[5])) for x in got) == sorted((*x[:5], x[5] and bytes(x[5])) for x in want)
+    assert frames.read_packed_layers(spark, [], f"{tmp_path}/p").count() == 0
+
+
+def test_layer_export_takes_no_block_a_texture(spark):
+    from quadloom.plans import registry
+
+    home = Path(checkpoint_dir(spark).removeprefix("file://"))
+    before = set(home.rglob("*"))
+    n = registry.queries()["snk5_layer_export"](spark, "/root/testdata/sf0.001").count()
+    new = set(home.rglob("*")) - before
+    assert n > 3000 and len(new) < 20 and sum(p.stat().st_blocks * 512 for p in new) < 100 * n
